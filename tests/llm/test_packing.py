@@ -1,0 +1,108 @@
+"""Packing: exact round trips of ids, whole coverage, little padding, and fillings against brute force."""
+
+import itertools
+import zlib
+from array import array
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rankloom.llm import packing
+from rankloom.llm.registry import tokenizer_file
+from rankloom.llm.units import UnitEncoder, split_units
+
+TOKENIZER = packing.load_tokenizer(tokenizer_file("byte_bpe_50k.json"))
+ODD = ["", None, " ", "  lead", "trail  ", "a  b", "a \n b", "a\n\nb c", "x y z", "tab\tand space \t mix", "it's we'll <|endoftext|> x<|endoftext|>", "été ñandú über", "1234 5678,90 $$$ ***", "w " * 3000, "z" * 5000, "a　 b  c"]
+
+
+def plain(tok, text):
+    return tok.encode(text or "", add_special_tokens=False).ids + [0]
+
+
+@pytest.fixture(scope="module")
+def tok():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(TOKENIZER)
+
+
+def test_units_give_the_whole_text_back():
+    for text in filter(None, ODD):
+        first, rest = split_units(text)
+        assert " ".join([first, *rest]) == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab 'sE1,\n\t é", max_size=30), max_size=4))
+def test_unit_ids_equal_whole_text_ids(texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(TOKENIZER)
+    encode = UnitEncoder(lambda us: [e.ids for e in tok.encode_batch_fast(us, add_special_tokens=False)], most=20, longest=5)
+    assert [list(array("I", b)) for b in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def check_pieces(rows, want):
+    """Each document's pieces cover its ids once; each sequence is gapless and fits."""
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for doc_id, ids in want.items():
+        found = sorted(by_doc[doc_id], key=lambda r: r.start)
+        assert [x for r in found for x in array("I", bytes(r.ids))] == ids
+        assert all(r.doc_tokens == len(ids) and len(r.ids) == 4 * r.length for r in found)
+        assert [r.start for r in found] == [0, *itertools.accumulate(r.length for r in found)][:-1]
+    for found in by_seq.values():
+        found.sort(key=lambda r: r.offset)
+        assert [r.offset for r in found] == [0, *itertools.accumulate(r.length for r in found)][:-1]
+        assert sum(r.length for r in found) <= 1024
+    return by_seq
+
+
+def test_documents(spark, tok):
+    rng = np.random.default_rng(2)
+    texts = ODD + [" ".join(rng.choice(["alpha", "beta", "gamma9"], size=int(n))) for n in rng.integers(1, 900, 150)]
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, row long").repartition(4)
+    rows = packing.pack_documents(docs, TOKENIZER, shard=64).collect()
+    by_seq = check_pieces(rows, {k: plain(tok, t) for k, t in enumerate(texts)})
+    total = sum(r.length for r in rows)
+    assert len(by_seq) <= -(-total // 1024) + -(-len(texts) // 64)  # at most the last window of a shard has padding
+
+
+def test_query_digests(spark, tok, tmp_path):
+    from rankloom.llm.registry import QUERIES
+
+    spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op6_packing"](spark, str(tmp_path)).collect()}
+    ids = plain(tok, "some words here")
+    assert got[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and got[2].ids_crc32 == zlib.crc32(bytes(4))
+    assert set(got[1].asDict()) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+
+
+def test_null_and_repeated_ids_and_empty_table(spark):
+    docs = spark.createDataFrame([(None, "a"), (3, "a b"), (3, "a b")], "doc_id long, text string")
+    rows = packing.pack_documents(docs, TOKENIZER).collect()
+    assert sorted((r.doc_id is None, r.length) for r in rows) == [(False, 3), (False, 3), (True, 2)]
+    assert len({r.sequence_id for r in rows}) == 1
+    assert packing.pack_documents(docs.limit(0), TOKENIZER).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 60), st.dictionaries(st.integers(1, 40), st.integers(1, 3), max_size=5))
+def test_best_fill_is_the_closest(room, counts):
+    used, total = packing.best_fill(room, counts)
+    sums = {sum(n * c for n, c in zip(counts, take)) for take in itertools.product(*(range(c + 1) for c in counts.values()))}
+    assert total == max(s for s in sums if s <= room) == sum(n * c for n, c in used.items())
+    assert all(c <= counts[n] for n, c in used.items())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 31), max_size=60))
+def test_pack_covers_all_and_pads_only_the_last(lengths):
+    windows = packing.pack(lengths, 32)
+    got = sorted((k, at + j) for w in windows for k, at, n in w for j in range(n))
+    assert got == [(k, j) for k, n in enumerate(lengths) for j in range(n)]
+    assert all(sum(n for *_, n in w) == 32 for w in windows[:-1])
