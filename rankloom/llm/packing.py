@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ from rankloom.llm.shared import cut
 from rankloom.llm.units import UnitEncoder, in_slices
 
 CAPACITY, END, SHARD = 1024, 0, 4096
+#: The space as byte-level tokenizers write it in their tokens.
+SPACE = "\u0120"
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -34,7 +37,9 @@ def encoder(tokenizer: str) -> UnitEncoder:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(tokenizer)
-    return UnitEncoder(lambda units: [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)])
+    leads = np.zeros(tok.get_vocab_size(), dtype=bool)
+    leads[[i for token, i in tok.get_vocab().items() if token[0] == SPACE]] = True
+    return UnitEncoder(lambda units: [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)], leads)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,14 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
+def cut(df: DataFrame, tag: str, compression: str = "zstd", parts: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs one stage at most.
 
-    Readers prune columns and push filters into the written table, and the next plan knows its size.
+    Readers prune columns and push filters into the written table, and the next plan knows its size. ``parts`` bounds
+    the number of files where rows are few and short.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rankloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    (df.coalesce(parts) if parts else df).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

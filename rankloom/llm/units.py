@@ -1,23 +1,28 @@
 """Token ids of whole texts through a cache of space-delimited units.
 
 Tokenizers of the byte-level and of the marker kind never merge across a space that stands between two characters
-that are not white space. A text is cut there, each unit goes through the tokenizer library once per worker, and the
+that are not white space. A text is cut there, a unit that the cache lacks goes through the tokenizer library, and the
 ids of a text are its units' ids in a row. Where a space touches other white space the neighbours stay one unit.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+
+import numpy as np
 
 Encode = Callable[[list[str]], list[list[int]]]
 
 
+def plain(part: str) -> bool:
+    """Whether the text can be cut on both sides of this part."""
+    return bool(part) and not part[0].isspace() and not part[-1].isspace()
+
+
 def split_units(text: str) -> tuple[str, list[str]]:
     """The first unit, and the others without the space that leads them."""
     parts = text.split(" ")
-    if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-        return parts[0], parts[1:]
     units = [parts[0]]
     sound = bool(parts[0]) and not parts[0][-1].isspace()
     for p in parts[1:]:
@@ -30,39 +35,74 @@ def split_units(text: str) -> tuple[str, list[str]]:
 
 
 class UnitEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. ``encode`` gives the ids of a list of strings."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    ``encode`` gives the ids of each of a list of strings; ``leads[i]`` tells whether token i begins with the space or
+    its marker, by which the ids of many units that were encoded as one string are told apart. ``verify`` is called with
+    each new unit (with its space) and its ids. The cache keeps units that came up again when it is full.
+    """
 
-    def __init__(self, encode: Encode, most: int = 300_000, longest: int = 64):
-        self.encode, self.most, self.longest = encode, most, longest
+    def __init__(self, encode: Encode, leads: np.ndarray, most: int = 250_000, longest: int = 64, verify: Callable[[list[str], list[bytes]], None] | None = None):
+        self.encode, self.leads, self.most, self.longest, self.verify = encode, leads, most, longest, verify
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
-    def _learn(self, cache: dict[str, bytes], wanted: Iterable[str], lead: str) -> dict[str, bytes]:
-        """Encode what the cache lacks; gives the units too long to keep."""
-        missing = list(wanted)
-        ids = self.encode([lead + u for u in missing]) if missing else []
-        brief: dict[str, bytes] = {}
-        for unit, found in zip(missing, ids):
-            (cache if len(unit) <= self.longest else brief)[unit] = array("I", found).tobytes()
-        return brief
+    def _apart(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit, whole runs of them encoded at once."""
+        ids = np.array(self.encode(["".join(" " + u for u in units)])[0], dtype="<u4")
+        at = np.flatnonzero(self.leads[ids])
+        if len(at) != len(units) or at[0]:  # a token holds a lead within a unit: take them one by one
+            return [array("I", x).tobytes() for x in self.encode([" " + u for u in units])]
+        raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]
+
+    def _learn(self, units: list[str], brief: dict[str, bytes]) -> None:
+        """Encode these units; those too long to keep go to ``brief``."""
+        joined = [u for u in units if " " not in u]
+        found = [x for k in range(0, len(joined), 8192) for x in self._apart(joined[k : k + 8192])]
+        alone = [u for u in units if " " in u]
+        if alone:
+            found += [array("I", x).tobytes() for x in self.encode([" " + u for u in alone])]
+        if self.verify and units:
+            self.verify([" " + u for u in joined + alone], found)
+        for unit, ids in zip(joined + alone, found):
+            (self.later if len(unit) <= self.longest else brief)[unit] = ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [split_units(t) for t in texts]
-        if len(self.later) + len(self.first) > self.most:
-            self.later.clear()
-            self.first.clear()
-        firsts, later = {u for u, _ in cut}, set().union(*(us for _, us in cut))
-        long_first = self._learn(self.first, firsts - self.first.keys(), "")
-        long_later = self._learn(self.later, later - self.later.keys(), " ")
-        get = {**long_later}.get if long_later else None
-        out = []
-        for unit, units in cut:
-            head = self.first[unit] if unit in self.first else long_first[unit]
-            try:
-                out.append(head + b"".join(map(self.later.__getitem__, units)))
-            except KeyError:
-                out.append(head + b"".join(self.later[u] if u in self.later else get(u) for u in units))
-        return out
+        if len(self.later) > self.most:
+            self.later = {u: self.later[u] for u in self.again if u in self.later}
+            self.again = set()
+            if len(self.later) > self.most // 2:
+                self.later = {}
+        if len(self.first) > self.most // 10:
+            self.first = {}
+        wanted, seen = set(), set()
+        firsts, rests = [], []
+        for text in texts:
+            first, *rest = text.split(" ")
+            units = set(rest)
+            new = units.difference(self.later)
+            if not (plain(first) or not rest and first) or not all(map(plain, new)):
+                first, rest = split_units(text)
+                units = set(rest)
+                new = units.difference(self.later)
+            firsts.append(first)
+            rests.append(rest)
+            wanted |= new
+            seen |= units
+        self.again |= seen - wanted
+        brief: dict[str, bytes] = {}
+        self._learn(list(wanted), brief)
+        heads = dict.fromkeys(f for f in firsts if f not in self.first)
+        if heads:
+            found = [array("I", x).tobytes() for x in self.encode(list(heads))]
+            if self.verify:
+                self.verify(list(heads), found)
+            heads = dict(zip(heads, found))
+            self.first |= {u: x for u, x in heads.items() if len(u) <= self.longest}
+        both = self.later | brief if brief else self.later
+        return [(heads[f] if f in heads else self.first[f]) + b"".join(map(both.__getitem__, rest)) for f, rest in zip(firsts, rests)]
 
 
 def in_slices(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
