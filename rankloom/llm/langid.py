@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.quality import span_hashes
 from rankloom.llm.shared import hash_share, held_out
 
-PER_LANG, MAX_LANGS, BITS = 120, 64, 15
+PER_LANG, MAX_LANGS, BITS = 90, 64, 15
 LETTER = re.compile(r"[^\W\d_]")
 #: Everything in ASCII that is no letter parts words; bytes of longer characters belong to them.
 BLANKS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -130,7 +130,7 @@ def splice(labels: np.ndarray, rng: np.random.Generator, length: int = 64) -> tu
     return order, begins, np.diff(np.append(begins, len(order)))
 
 
-def fit(texts: list[str], langs: list[str], bits: int = BITS, steps: int = 40, rate: float = 0.15, decay: float = 2e-3, frequent: int = 5, seed: int = 0) -> Model:
+def fit(texts: list[str], langs: list[str], bits: int = BITS, steps: int = 30, rate: float = 0.15, decay: float = 2e-3, frequent: int = 5, seed: int = 0) -> Model:
     """Adam on the mean log-likelihood of the words, from zero weights."""
     names = sorted(set(langs))
     feats, begins, hashes, words = word_features(texts, bits)

@@ -39,70 +39,72 @@ class UnitEncoder:
 
     ``encode`` gives the ids of each of a list of strings; ``leads[i]`` tells whether token i begins with the space or
     its marker, by which the ids of many units that were encoded as one string are told apart. ``verify`` is called with
-    each new unit (with its space) and its ids. The cache keeps units that came up again when it is full.
+    strings and the ids found for them, once for each time they are encoded. A unit enters the cache when it comes up in
+    a second call, so that words seen once don't crowd it.
     """
 
     def __init__(self, encode: Encode, leads: np.ndarray, most: int = 250_000, longest: int = 64, verify: Callable[[list[str], list[bytes]], None] | None = None):
         self.encode, self.leads, self.most, self.longest, self.verify = encode, leads, most, longest, verify
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.again: set[str] = set()
+        self.known: dict[str, bytes] = {}
+        self.once: set[str] = set()
 
     def _apart(self, units: list[str]) -> list[bytes]:
         """Ids of each unit, whole runs of them encoded at once."""
         ids = np.array(self.encode(["".join(" " + u for u in units)])[0], dtype="<u4")
         at = np.flatnonzero(self.leads[ids])
         if len(at) != len(units) or at[0]:  # a token holds a lead within a unit: take them one by one
-            return [array("I", x).tobytes() for x in self.encode([" " + u for u in units])]
+            return self._alone([" " + u for u in units])
         raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
         return [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]
 
-    def _learn(self, units: list[str], brief: dict[str, bytes]) -> None:
-        """Encode these units; those too long to keep go to ``brief``."""
-        joined = [u for u in units if " " not in u]
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x).tobytes() for x in self.encode(texts)] if texts else []
+
+    def _learn(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of these units, each with the space that leads it."""
+        joined, alone = [u for u in units if " " not in u], [u for u in units if " " in u]
         found = [x for k in range(0, len(joined), 8192) for x in self._apart(joined[k : k + 8192])]
-        alone = [u for u in units if " " in u]
-        if alone:
-            found += [array("I", x).tobytes() for x in self.encode([" " + u for u in alone])]
+        found += self._alone([" " + u for u in alone])
         if self.verify and units:
             self.verify([" " + u for u in joined + alone], found)
-        for unit, ids in zip(joined + alone, found):
-            (self.later if len(unit) <= self.longest else brief)[unit] = ids
+        return dict(zip(joined + alone, found))
+
+    def _admit(self, learned: dict[str, bytes]) -> None:
+        again = learned.keys() & self.once
+        if len(self.known) + len(again) > self.most:
+            self.known.clear()
+        if len(self.once) > 2 * self.most:
+            self.once.clear()
+        self.known.update((u, learned[u]) for u in again)
+        self.once.update(u for u in learned.keys() - again if len(u) <= self.longest)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) > self.most:
-            self.later = {u: self.later[u] for u in self.again if u in self.later}
-            self.again = set()
-            if len(self.later) > self.most // 2:
-                self.later = {}
-        if len(self.first) > self.most // 10:
-            self.first = {}
-        wanted, seen = set(), set()
-        firsts, rests = [], []
-        for text in texts:
-            first, *rest = text.split(" ")
-            units = set(rest)
-            new = units.difference(self.later)
-            if not (plain(first) or not rest and first) or not all(map(plain, new)):
+        rows, firsts, gaps, missing = [], [], [], {}
+        for k, text in enumerate(texts):
+            rest = text.split(" ")
+            first = rest.pop(0)
+            found = list(map(self.known.get, rest))
+            miss = [j for j, x in enumerate(found) if x is None] if None in found else []
+            if not (plain(first) or not rest) or not all(plain(rest[j]) for j in miss):
                 first, rest = split_units(text)
-                units = set(rest)
-                new = units.difference(self.later)
+                found = list(map(self.known.get, rest))
+                miss = [j for j, x in enumerate(found) if x is None]
+            for j in miss:
+                missing[rest[j]] = None
+            gaps.append([(j, rest[j]) for j in miss])
             firsts.append(first)
-            rests.append(rest)
-            wanted |= new
-            seen |= units
-        self.again |= seen - wanted
-        brief: dict[str, bytes] = {}
-        self._learn(list(wanted), brief)
-        heads = dict.fromkeys(f for f in firsts if f not in self.first)
-        if heads:
-            found = [array("I", x).tobytes() for x in self.encode(list(heads))]
-            if self.verify:
-                self.verify(list(heads), found)
-            heads = dict(zip(heads, found))
-            self.first |= {u: x for u, x in heads.items() if len(u) <= self.longest}
-        both = self.later | brief if brief else self.later
-        return [(heads[f] if f in heads else self.first[f]) + b"".join(map(both.__getitem__, rest)) for f, rest in zip(firsts, rests)]
+            rows.append(found)
+        learned = self._learn(list(missing))
+        heads = self._alone(firsts)
+        if self.verify:
+            self.verify(firsts, heads)
+        out = []
+        for head, found, gap in zip(heads, rows, gaps):
+            for j, unit in gap:
+                found[j] = learned[unit]
+            out.append(head + b"".join(found))
+        self._admit(learned)
+        return out
 
 
 def in_slices(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
