@@ -43,7 +43,7 @@ class UnitEncoder:
     a second call, so that words seen once don't crowd it.
     """
 
-    def __init__(self, encode: Encode, leads: np.ndarray, most: int = 250_000, longest: int = 64, verify: Callable[[list[str], list[bytes]], None] | None = None):
+    def __init__(self, encode: Encode, leads: np.ndarray, most: int = 400_000, longest: int = 64, verify: Callable[[list[str], list[bytes]], None] | None = None):
         self.encode, self.leads, self.most, self.longest, self.verify = encode, leads, most, longest, verify
         self.known: dict[str, bytes] = {}
         self.once: set[str] = set()
