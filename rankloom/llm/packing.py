@@ -13,6 +13,7 @@ id is null or repeats; further columns are ignored; an empty table gives no piec
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +37,7 @@ def encoder(tokenizer: str) -> UnitEncoder:
     """The encoder of a worker, from the tokenizer's definition in JSON."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")  # Spark has a task on each core already
     tok = Tokenizer.from_str(tokenizer)
     leads = np.zeros(tok.get_vocab_size(), dtype=bool)
     leads[[i for token, i in tok.get_vocab().items() if token[0] == SPACE]] = True

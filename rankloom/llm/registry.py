@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import exact_dedup, langid, lm_score, packing, quality, simhash
+from rankloom.llm import exact_dedup, langid, lm_score, packing, quality, sentencepiece_codec, simhash
 from rankloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
 
 
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_codec.load_model(tokenizer_file("piece_bpe_32k.model"))
+    coded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model)
+    return coded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "checked")
+
+
 ORACLES["op9_exact_dedup"] = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_cp,

@@ -15,22 +15,30 @@ import numpy as np
 Encode = Callable[[list[str]], list[list[int]]]
 
 
+#: The space as tokenizers of the marker kind write it. Texts that hold it are never cut beside it.
+MARKER = "\u2581"
+
+
+def blank(char: str) -> bool:
+    return char.isspace() or char == MARKER
+
+
 def plain(part: str) -> bool:
     """Whether the text can be cut on both sides of this part."""
-    return bool(part) and not part[0].isspace() and not part[-1].isspace()
+    return bool(part) and not blank(part[0]) and not blank(part[-1])
 
 
 def split_units(text: str) -> tuple[str, list[str]]:
     """The first unit, and the others without the space that leads them."""
     parts = text.split(" ")
     units = [parts[0]]
-    sound = bool(parts[0]) and not parts[0][-1].isspace()
+    sound = bool(parts[0]) and not blank(parts[0][-1])
     for p in parts[1:]:
-        if sound and p and not p[0].isspace():
+        if sound and p and not blank(p[0]):
             units.append(p)
         else:
             units[-1] += " " + p
-        sound = bool(p) and not p[-1].isspace()
+        sound = bool(p) and not blank(p[-1])
     return units[0], units[1:]
 
 
@@ -39,23 +47,28 @@ class UnitEncoder:
 
     ``encode`` gives the ids of each of a list of strings; ``leads[i]`` tells whether token i begins with the space or
     its marker, by which the ids of many units that were encoded as one string are told apart. ``verify`` is called with
-    strings and the ids found for them, once for each time they are encoded. A unit enters the cache when it comes up in
-    a second call, so that words seen once don't crowd it.
+    strings and the ids found for them, once for each time they are encoded. ``head`` leads the first unit of a text.
+    A unit enters the cache when it comes up in a second call, so that words seen once don't crowd it.
     """
 
-    def __init__(self, encode: Encode, leads: np.ndarray, most: int = 400_000, longest: int = 64, verify: Callable[[list[str], list[bytes]], None] | None = None):
-        self.encode, self.leads, self.most, self.longest, self.verify = encode, leads, most, longest, verify
+    def __init__(self, encode: Encode, leads: np.ndarray, most: int = 400_000, longest: int = 64, verify: Callable[[list[str], list[bytes]], None] | None = None, head: str = ""):
+        self.encode, self.leads, self.most, self.longest, self.verify, self.head = encode, leads, most, longest, verify, head
         self.known: dict[str, bytes] = {}
         self.once: set[str] = set()
 
-    def _apart(self, units: list[str]) -> list[bytes]:
+    def _apart(self, units: list[str], run: int = 2048) -> list[bytes]:
         """Ids of each unit, whole runs of them encoded at once."""
-        ids = np.array(self.encode(["".join(" " + u for u in units)])[0], dtype="<u4")
-        at = np.flatnonzero(self.leads[ids])
-        if len(at) != len(units) or at[0]:  # a token holds a lead within a unit: take them one by one
-            return self._alone([" " + u for u in units])
-        raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-        return [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]
+        runs = [units[k : k + run] for k in range(0, len(units), run)]
+        found: list[bytes] = []
+        for part, got in zip(runs, self.encode(["".join(" " + u for u in part) for part in runs]) if runs else []):
+            ids = np.array(got, dtype="<u4")
+            at = np.flatnonzero(self.leads[ids])
+            if len(at) != len(part) or at[0]:  # a token holds a lead within a unit: take them one by one
+                found += self._alone([" " + u for u in part])
+            else:
+                raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+                found += [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]
+        return found
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [array("I", x).tobytes() for x in self.encode(texts)] if texts else []
@@ -63,8 +76,7 @@ class UnitEncoder:
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         """The ids of these units, each with the space that leads it."""
         joined, alone = [u for u in units if " " not in u], [u for u in units if " " in u]
-        found = [x for k in range(0, len(joined), 8192) for x in self._apart(joined[k : k + 8192])]
-        found += self._alone([" " + u for u in alone])
+        found = self._apart(joined) + self._alone([" " + u for u in alone])
         if self.verify and units:
             self.verify([" " + u for u in joined + alone], found)
         return dict(zip(joined + alone, found))
@@ -95,6 +107,7 @@ class UnitEncoder:
             firsts.append(first)
             rows.append(found)
         learned = self._learn(list(missing))
+        firsts = [self.head + f for f in firsts]
         heads = self._alone(firsts)
         if self.verify:
             self.verify(firsts, heads)
