@@ -27,8 +27,8 @@ from rankloom.llm.shared import cut
 from rankloom.llm.units import UnitEncoder, in_slices
 
 CAPACITY, END, SHARD = 1024, 0, 4096
-#: The space as byte-level tokenizers write it in their tokens.
-SPACE = "\u0120"
+#: The space and the line feed as byte-level tokenizers write them in their tokens.
+SPACE, FEED = "\u0120", "\u010a"
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -40,8 +40,8 @@ def encoder(tokenizer: str) -> UnitEncoder:
     os.environ.setdefault("RAYON_NUM_THREADS", "1")  # Spark has a task on each core already
     tok = Tokenizer.from_str(tokenizer)
     leads = np.zeros(tok.get_vocab_size(), dtype=bool)
-    leads[[i for token, i in tok.get_vocab().items() if token[0] == SPACE]] = True
-    return UnitEncoder(lambda units: [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)], leads)
+    leads[[i for token, i in tok.get_vocab().items() if token[0] in (SPACE, FEED)]] = True
+    return UnitEncoder(lambda units: [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)], leads, parted=True)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 Tokenizers of the byte-level and of the marker kind never merge across a space that stands between two characters
 that are not white space. A text is cut there, a unit that the cache lacks goes through the tokenizer library, and the
 ids of a text are its units' ids in a row. Where a space touches other white space the neighbours stay one unit.
+Byte-level tokenizers also part a single line feed and a mark after letters from what stands beside them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ Encode = Callable[[list[str]], list[list[int]]]
 
 #: The space as tokenizers of the marker kind write it. Texts that hold it are never cut beside it.
 MARKER = "\u2581"
+#: Letters below are in the same classes for all versions of Unicode that matter.
+LATIN = "\u0250"
 
 
 def blank(char: str) -> bool:
@@ -28,6 +31,11 @@ def plain(part: str) -> bool:
     return bool(part) and not blank(part[0]) and not blank(part[-1])
 
 
+def led(unit: str) -> str:
+    """The unit with the space before it; a line feed stands for itself."""
+    return unit if unit[0] == "\n" else " " + unit
+
+
 def split_units(text: str) -> tuple[str, list[str]]:
     """The first unit, and the others without the space that leads them."""
     parts = text.split(" ")
@@ -48,23 +56,26 @@ class UnitEncoder:
     ``encode`` gives the ids of each of a list of strings; ``leads[i]`` tells whether token i begins with the space or
     its marker, by which the ids of many units that were encoded as one string are told apart. ``verify`` is called with
     strings and the ids found for them, once for each time they are encoded. ``head`` leads the first unit of a text.
-    A unit enters the cache when it comes up in a second call, so that words seen once don't crowd it.
+    A unit enters the cache when it comes up in a second call, so that words seen once don't crowd it. With ``parted``
+    single line feeds begin units of their own, and a full stop or comma after letters is looked up apart.
     """
 
-    def __init__(self, encode: Encode, leads: np.ndarray, most: int = 400_000, longest: int = 64, verify: Callable[[list[str], list[bytes]], None] | None = None, head: str = ""):
+    def __init__(self, encode: Encode, leads: np.ndarray, most: int = 400_000, longest: int = 64, verify: Callable[[list[str], list[bytes]], None] | None = None, head: str = "", parted: bool = False):
         self.encode, self.leads, self.most, self.longest, self.verify, self.head = encode, leads, most, longest, verify, head
+        self.parted, self.tails = parted, dict(zip(".,", self._alone([".", ","]))) if parted else {}
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.once: set[str] = set()
 
     def _apart(self, units: list[str], run: int = 2048) -> list[bytes]:
         """Ids of each unit, whole runs of them encoded at once."""
         runs = [units[k : k + run] for k in range(0, len(units), run)]
         found: list[bytes] = []
-        for part, got in zip(runs, self.encode(["".join(" " + u for u in part) for part in runs]) if runs else []):
+        for part, got in zip(runs, self.encode(["".join(map(led, part)) for part in runs]) if runs else []):
             ids = np.array(got, dtype="<u4")
             at = np.flatnonzero(self.leads[ids])
             if len(at) != len(part) or at[0]:  # a token holds a lead within a unit: take them one by one
-                found += self._alone([" " + u for u in part])
+                found += self._alone(list(map(led, part)))
             else:
                 raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
                 found += [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]
@@ -74,12 +85,22 @@ class UnitEncoder:
         return [array("I", x).tobytes() for x in self.encode(texts)] if texts else []
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
-        """The ids of these units, each with the space that leads it."""
+        """The ids of these units, each with the space or line feed that leads it."""
+        tailed = [u for u in units if u[-1] in self.tails and u[:-1].isalpha() and max(u) < LATIN]
+        if tailed:
+            rest = dict.fromkeys(units)
+            for u in tailed:
+                del rest[u]
+            rest.update((u[:-1], None) for u in tailed if u[:-1] not in self.known)
+            units = list(rest)
         joined, alone = [u for u in units if " " not in u], [u for u in units if " " in u]
         found = self._apart(joined) + self._alone([" " + u for u in alone])
         if self.verify and units:
             self.verify([" " + u for u in joined + alone], found)
-        return dict(zip(joined + alone, found))
+        learned = dict(zip(joined + alone, found))
+        for u in tailed:
+            learned[u] = (self.known[u[:-1]] if u[:-1] in self.known else learned[u[:-1]]) + self.tails[u[-1]]
+        return learned
 
     def _admit(self, learned: dict[str, bytes]) -> None:
         again = learned.keys() & self.once
@@ -93,11 +114,11 @@ class UnitEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         rows, firsts, gaps, missing = [], [], [], {}
         for k, text in enumerate(texts):
-            rest = text.split(" ")
+            rest = (text.replace("\n", " \n") if self.parted else text).split(" ")
             first = rest.pop(0)
             found = list(map(self.known.get, rest))
             miss = [j for j, x in enumerate(found) if x is None] if None in found else []
-            if not (plain(first) or not rest) or not all(plain(rest[j]) for j in miss):
+            if not (plain(first) or not rest) or not all(plain(u[1:] if self.parted and u[:1] == "\n" else u) for u in map(rest.__getitem__, miss)):
                 first, rest = split_units(text)
                 found = list(map(self.known.get, rest))
                 miss = [j for j, x in enumerate(found) if x is None]
@@ -108,9 +129,17 @@ class UnitEncoder:
             rows.append(found)
         learned = self._learn(list(missing))
         firsts = [self.head + f for f in firsts]
-        heads = self._alone(firsts)
-        if self.verify:
-            self.verify(firsts, heads)
+        if len(self.heads) > self.most // 10:
+            self.heads.clear()
+        new = [f for f in dict.fromkeys(firsts) if f not in self.heads]
+        found = self._alone(new)
+        if self.verify and new:
+            self.verify(new, found)
+        self.heads.update(zip(new, found))
+        heads = [self.heads[f] for f in firsts]
+        for f in new:
+            if len(f) > self.longest:
+                del self.heads[f]
         out = []
         for head, found, gap in zip(heads, rows, gaps):
             for j, unit in gap:

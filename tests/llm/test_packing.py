@@ -41,7 +41,7 @@ def test_unit_ids_equal_whole_text_ids(texts):
 
     tok = Tokenizer.from_str(TOKENIZER)
     full = packing.encoder(TOKENIZER)
-    encode = UnitEncoder(full.encode, full.leads, most=20, longest=5)
+    encode = UnitEncoder(full.encode, full.leads, most=20, longest=5, parted=True)
     for _ in range(3):
         assert [list(array("I", b)) for b in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
