@@ -16,19 +16,15 @@ import numpy as np
 Encode = Callable[[list[str]], list[list[int]]]
 
 
-#: The space as tokenizers of the marker kind write it. Texts that hold it are never cut beside it.
+#: The space as tokenizers of the marker kind write it. Texts that hold it aren't cut.
 MARKER = "\u2581"
 #: Letters below are in the same classes for all versions of Unicode that matter.
 LATIN = "\u0250"
 
 
-def blank(char: str) -> bool:
-    return char.isspace() or char == MARKER
-
-
 def plain(part: str) -> bool:
     """Whether the text can be cut on both sides of this part."""
-    return bool(part) and not blank(part[0]) and not blank(part[-1])
+    return part != "" and part.strip() == part
 
 
 def led(unit: str) -> str:
@@ -38,15 +34,17 @@ def led(unit: str) -> str:
 
 def split_units(text: str) -> tuple[str, list[str]]:
     """The first unit, and the others without the space that leads them."""
+    if MARKER in text:
+        return text, []
     parts = text.split(" ")
     units = [parts[0]]
-    sound = bool(parts[0]) and not blank(parts[0][-1])
+    sound = parts[0] != "" and not parts[0][-1].isspace()
     for p in parts[1:]:
-        if sound and p and not blank(p[0]):
+        if sound and p and not p[0].isspace():
             units.append(p)
         else:
             units[-1] += " " + p
-        sound = bool(p) and not blank(p[-1])
+        sound = p != "" and not p[-1].isspace()
     return units[0], units[1:]
 
 
@@ -112,22 +110,27 @@ class UnitEncoder:
         self.once.update(u for u in learned.keys() - again if len(u) <= self.longest)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        rows, firsts, gaps, missing = [], [], [], {}
-        for k, text in enumerate(texts):
+        rows, firsts, gaps = [], [], []
+        missing: dict[str, None] = {}  # units that can stand anywhere
+        rough: dict[str, None] = {}  # units with white space in or beside them, which hold for their text alone
+        for text in texts:
             rest = (text.replace("\n", " \n") if self.parted else text).split(" ")
             first = rest.pop(0)
             found = list(map(self.known.get, rest))
-            miss = [j for j, x in enumerate(found) if x is None] if None in found else []
-            if not (plain(first) or not rest) or not all(plain(u[1:] if self.parted and u[:1] == "\n" else u) for u in map(rest.__getitem__, miss)):
+            gap = [(j, rest[j]) for j, x in enumerate(found) if x is None] if None in found else []
+            new = [u for _, u in gap if u not in missing]
+            if (rest and not plain(first)) or not all(plain(u[1:] if self.parted and u[:1] == "\n" else u) for u in new) or MARKER in text:
                 first, rest = split_units(text)
-                found = list(map(self.known.get, rest))
-                miss = [j for j, x in enumerate(found) if x is None]
-            for j in miss:
-                missing[rest[j]] = None
-            gaps.append([(j, rest[j]) for j in miss])
+                found = [None] * len(rest)
+                gap = list(enumerate(rest))
+                rough.update(dict.fromkeys(rest))
+            else:
+                missing.update(dict.fromkeys(new))
+            gaps.append(gap)
             firsts.append(first)
             rows.append(found)
         learned = self._learn(list(missing))
+        apart = self._learn(list(rough)) if rough else learned
         firsts = [self.head + f for f in firsts]
         if len(self.heads) > self.most // 10:
             self.heads.clear()
@@ -143,7 +146,7 @@ class UnitEncoder:
         out = []
         for head, found, gap in zip(heads, rows, gaps):
             for j, unit in gap:
-                found[j] = learned[unit]
+                found[j] = learned[unit] if unit in learned else apart[unit]
             out.append(head + b"".join(found))
         self._admit(learned)
         return out
