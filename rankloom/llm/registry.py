@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import exact_dedup, langid, lm_score, packing, quality, sentencepiece_codec, simhash, urls
+from rankloom.llm import chat, exact_dedup, langid, lm_score, packing, quality, sentencepiece_codec, simhash, urls
 from rankloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,46 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.format_pairs(chat.mismatched_pairs(chat.gather(table(spark, sf_dir, "conversations"))))
+    return pairs.withColumns({side: chat.spans_text(F.col(side)) for side in ("chosen_spans", "rejected_spans")})
+
+
+ORACLES["op1_chat_preference"] = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), ch AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t
+), last AS (
+  SELECT conv_id, max(k) AS k, max_by(text, k) AS reply FROM ch WHERE role = 'assistant' GROUP BY conv_id
+), rj AS (
+  SELECT ch.conv_id, ch.role, CASE WHEN l.k = ch.k THEN n.reply ELSE ch.text END AS text,
+         row_number() OVER (PARTITION BY ch.conv_id ORDER BY ch.k) AS k
+  FROM ch LEFT JOIN last l ON l.conv_id = ch.conv_id LEFT JOIN last n ON n.conv_id = ch.conv_id + 1
+  WHERE l.k IS NULL OR l.k <> ch.k OR n.reply IS NOT NULL
+), n AS (
+  SELECT coalesce(ch.conv_id, rj.conv_id) AS conv_id,
+         coalesce(min(coalesce(ch.k, rj.k)) FILTER (ch.role IS DISTINCT FROM rj.role OR ch.text IS DISTINCT FROM rj.text) - 1, count(*)) AS n
+  FROM ch FULL JOIN rj ON ch.conv_id = rj.conv_id AND ch.k = rj.k GROUP BY 1
+), parts AS (
+  SELECT conv_id, k, role, text, 'c' AS side FROM ch UNION ALL SELECT conv_id, k, role, text, 'r' FROM rj
+), made AS (
+  SELECT conv_id, k, side, role, n, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s,
+         sum(CASE WHEN k > n THEN length(role) + length(text) + 24 ELSE 0 END) OVER (PARTITION BY conv_id, side ORDER BY k) AS upto,
+         length(text) AS len
+  FROM parts JOIN n USING (conv_id)
+)
+SELECT conv_id, CAST(max(n) AS INTEGER) AS prompt_turns,
+       coalesce(string_agg(s, '' ORDER BY k) FILTER (side = 'c' AND k <= n), '') AS prompt,
+       coalesce(string_agg(s, '' ORDER BY k) FILTER (side = 'c' AND k > n), '') AS chosen,
+       coalesce(string_agg(s, '' ORDER BY k) FILTER (side = 'r' AND k > n), '') AS rejected,
+       coalesce(string_agg((upto - 11 - len) || '-' || (upto - 1), ',' ORDER BY k) FILTER (side = 'c' AND k > n AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((upto - 11 - len) || '-' || (upto - 1), ',' ORDER BY k) FILTER (side = 'r' AND k > n AND role = 'assistant'), '') AS rejected_spans
+FROM made GROUP BY conv_id
+"""
+
+
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
