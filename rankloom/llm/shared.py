@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts define it: space and tab to carriage return.
@@ -49,3 +49,18 @@ def held_out(doc_id: Column) -> Column:
 def hash_share(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the values alone, for samples that come out alike on every run."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart: the id and a hash of the text. Rows that agree in both are the same row repeated."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``kept`` (one column, _key), a repeated row once, with all their columns.
+
+    One shuffle by key serves the join and the choice among repeated rows.
+    """
+    found = docs.withColumn("_key", row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).join(kept.hint("merge"), "_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return found.withColumn("_nth", first).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

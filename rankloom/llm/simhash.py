@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.components import components
-from rankloom.llm.shared import cut
+from rankloom.llm.shared import cut, keep_rows, row_key
 
 SHINGLE, SEED, RADIUS, TILE = 3, 42, 3, 512
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -48,15 +48,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and _key (what tells rows apart) of every row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "_key"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(of, "doc_id long, fp long")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), row_key(F.col(f"`{id_col}`"), text).alias("_key"))
+    return rows.mapInArrow(of, "doc_id long, fp long, _key string")
 
 
 def cell_code(fp: Column) -> Column:
@@ -147,16 +149,21 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    return _classed(docs, id_col, text_col, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
     fps = cut(fingerprints(docs, id_col, text_col), "doc-fingerprints")
     of_fp = components(links(fps, radius)).select(F.col("node").alias("fp"), "component")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     named = cut(first.join(of_fp, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")), "named")
     lowest = cut(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "lowest")
-    of_fp = cut(named.join(lowest, "component").select("fp", "component_id"), "classes")
-    return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_fp = cut(named.join(lowest, "component").select("fp", "component", "component_id"), "classes")
+    return fps.join(of_fp, "fp")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents that name their class, with all their columns: one of each group of near copies."""
-    kept = classes(docs, id_col, text_col, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One document of each class of near copies, that of the smallest id, with all its columns."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key"))
+    kept = _classed(docs, id_col, text_col, radius).groupBy("component").agg(best.alias("best")).select(F.col("best._key").alias("_key"))
+    return keep_rows(docs, kept, id_col, text_col)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import uuid
 
 from rankloom.llm.exact_dedup import DigestIndex, deduplicate, fresh_index, keep_first
 from rankloom.llm.shared import shared_dir
@@ -32,7 +33,7 @@ def test_repeated_ids_keep_one_row(spark):
 
 
 def test_later_batches_meet_the_index(spark):
-    path = f"{shared_dir(spark)}/index-test"
+    path = f"{shared_dir(spark)}/index-test-{uuid.uuid4().hex}"
     first = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     second = spark.createDataFrame([(0, "a "), (3, "c"), (4, "c")], "doc_id long, text string")
     assert sorted(r.doc_id for r in deduplicate(first, DigestIndex(spark, path, 4)).where("kept").collect()) == [1, 2]
@@ -42,7 +43,7 @@ def test_later_batches_meet_the_index(spark):
 
 
 def test_index_is_not_shuffled_for_the_anti_join(spark):
-    index = DigestIndex(spark, f"{shared_dir(spark)}/index-plan", 4)
+    index = DigestIndex(spark, f"{shared_dir(spark)}/index-plan-{uuid.uuid4().hex}", 4)
     plan = index.read().join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
