@@ -41,7 +41,7 @@ def encoder(tokenizer: str) -> UnitEncoder:
     tok = Tokenizer.from_str(tokenizer)
     leads = np.zeros(tok.get_vocab_size(), dtype=bool)
     leads[[i for token, i in tok.get_vocab().items() if token[0] in (SPACE, FEED)]] = True
-    return UnitEncoder(lambda units: [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)], leads, parted=True)
+    return UnitEncoder(lambda units: [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)], leads, most=700_000, parted=True)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

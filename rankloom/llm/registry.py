@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import chat, exact_dedup, langid, lm_score, packing, quality, sentencepiece_codec, simhash, urls
+from rankloom.llm import chat, embedding_dedup, exact_dedup, langid, lm_score, packing, quality, sentencepiece_codec, simhash, urls
 from rankloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ FROM made GROUP BY conv_id
 """
 
 
+@query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.deduplicate(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
