@@ -70,11 +70,8 @@ class PageParser(HTMLParser):
         elif self.inside and tag in ("td", "th"):
             self.cell = []
             for s, _ in self.inside:
-                rows = self.tables[s]
-                if not rows:
-                    rows.append((self._in_head(), []))
-                if tag == "td":
-                    rows[-1] = (rows[-1][0], rows[-1][1])
+                if not self.tables[s]:
+                    self.tables[s].append((self._in_head(), []))
         self.stack.append((tag, ratios, section))
 
     def _in_head(self) -> bool:
