@@ -1,10 +1,408 @@
-"""Queries over the test tables, one for each operator, with the SQL that must give the same rows."""
+"""Queries over the test tables, one for each operator. The SQL that must give the same rows is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from rankloom import oracles
+from rankloom.config import DEFAULT_GATE, DEFAULT_WEIGHTS, FundamentalThresholds
+from rankloom.functions import holdings
+from rankloom.functions import numeric as num
+from rankloom.operators import backtest as bt
+from rankloom.operators import fundamentals as fund
+from rankloom.operators import institutional as inst
+from rankloom.operators import performance as perf
+from rankloom.operators import portfolio, rank, universe
+from rankloom.operators.momentum import all_positive, score_momentum, weighted
+from rankloom.operators.returns import trailing_returns, universe_returns
+from rankloom.sources import pages, prices
+from rankloom.sources import tables as t
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
+PLACES = 4
+
+
+def query(f: Query) -> Query:
+    """Register a query. Dates come out as ISO text, which every client reads alike."""
+
+    def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = f(spark, sf_dir)
+        return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c, kind in rows.dtypes if kind == "date"})
+
+    QUERIES[f.__name__] = shown
+    return f
+
+
+def settled(rows: DataFrame, *columns: str) -> DataFrame:
+    """Long products and sums differ in the last bits between engines: shown to four places."""
+    return rows.withColumns({c: num.rounded(F.col(c), PLACES) for c in columns})
+
+
+@query
+def universe_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    brand = F.concat(F.lit("  "), F.lower("p_brand"), F.when(key % 3 == 0, ".ns").otherwise(""), F.lit("\t"))
+    raw = t.table(spark, sf_dir, "part").select(key, F.when(key % 50 == 0, " ").when(key % 51 == 0, "nan").when(key % 53 == 0, F.lit(None)).otherwise(brand).alias("ticker"), F.col("p_name").alias("name"))
+    return universe.normalize_universe(raw, F.col("p_partkey")).select("ticker", "name", "symbol", "page_url")
+
+
+@query
+def price_panel_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.supplier_panel(spark, sf_dir)
+
+
+@query
+def price_panel_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.nation_panel(spark, sf_dir)
+
+
+@query
+def price_panel_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.part_panel(spark, sf_dir)
+
+
+@query
+def price_panel_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.user_panel(spark, sf_dir)
+
+
+@query
+def trailing_returns_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trailing_returns(t.nation_panel(spark, sf_dir))
+
+
+@query
+def trailing_returns_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trailing_returns(t.part_panel(spark, sf_dir))
+
+
+@query
+def price_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some symbols are known without any close, and half of the universe is not known at all."""
+    panel = t.supplier_panel(spark, sf_dir).withColumn("close", F.when(~F.endswith("ticker", F.lit("7.NS")), F.col("close")))
+    return universe_returns(t.supplier_universe(spark, sf_dir), panel, prices.symbols_of(panel)).select("ticker", "symbol", "name", "cmp", "data_points", "price_error", "ret_5", "ret_252")
+
+
+@query
+def momentum_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_momentum(trailing_returns(t.supplier_panel(spark, sf_dir)))
+
+
+@query
+def momentum_score_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_momentum(trailing_returns(t.nation_panel(spark, sf_dir)))
+
+
+@query
+def momentum_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rets = trailing_returns(t.user_panel(spark, sf_dir))
+    return rets.select("ticker", "data_points", num.rounded(weighted(DEFAULT_WEIGHTS, True)).alias("score"), all_positive([f"ret_{h}" for h in DEFAULT_GATE]).alias("passes"))
+
+
+@query
+def topn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_momentum(trailing_returns(t.supplier_panel(spark, sf_dir)))
+    return rank.top_n(scored, [F.desc("score"), F.asc("ticker")], 100).select("ticker", "score")
+
+
+@query
+def nulls_last_marketcap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.table(spark, sf_dir, "customer").select(F.col("c_name").alias("ticker"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("market_cap_cr"))
+    return rank.top_n(rows.where("ticker < 'Customer#000000100'"), rank.nulls_last("market_cap_cr", "ticker"), 95)
+
+
+@query
+def forward_fill_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.forward_fill(t.user_panel(spark, sf_dir))
+
+
+@query
+def rebalance_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.rebalance_schedule(bt.calendar_of(t.nation_panel(spark, sf_dir)), 6).select("pid", "entry", "exit")
+
+
+@query
+def signal_date_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.rebalance_schedule(bt.calendar_of(t.supplier_panel(spark, sf_dir)), 12).select("pid", "entry", "signal")
+
+
+def supplier_run(spark: SparkSession, sf_dir: str) -> bt.WalkForward:
+    return bt.WalkForward(t.supplier_panel(spark, sf_dir))
+
+
+def nation_run(spark: SparkSession, sf_dir: str) -> bt.WalkForward:
+    return bt.WalkForward(t.nation_panel(spark, sf_dir))
+
+
+@query
+def score_at_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = supplier_run(spark, sf_dir)
+    return bt.score_at_dates(run.filled, run.periods)
+
+
+@query
+def top10_per_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supplier_run(spark, sf_dir).picks.select("pid", "ticker", "score", "rank")
+
+
+@query
+def tier_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nation_run(spark, sf_dir).picks.select("pid", "ticker", "rank", "weight")
+
+
+@query
+def period_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(supplier_run(spark, sf_dir).growth, "growth")
+
+
+@query
+def walk_forward_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(supplier_run(spark, sf_dir).curve(), "value")
+
+
+@query
+def walk_forward_curve_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(nation_run(spark, sf_dir).curve(), "value")
+
+
+@query
+def walk_forward_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = t.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit(".NS")).alias("ticker"), F.col("s_name").alias("name"))
+    return supplier_run(spark, sf_dir).ledger(names)
+
+
+@query
+def walk_forward_ledger_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nation_run(spark, sf_dir).ledger()
+
+
+#: The first candidate of the second label has no quotes, so that its second is taken; the third label has none at all.
+CANDIDATES = {"First nation": ("N1.NS",), "Second": ("NONE", "N2.NS"), "Nothing": ("NOBODY",)}
+
+
+@query
+def benchmark_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = supplier_run(spark, sf_dir).curve()
+    return settled(bt.benchmark_curves(curve, t.nation_panel(spark, sf_dir), CANDIDATES), "value")
+
+
+@query
+def first_available_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices.first_available(t.nation_panel(spark, sf_dir), ["NONE", "N3.NS", "N1.NS"]).select("ticker", "date", "close")
+
+
+@query
+def normalized_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(perf.normalized(nation_run(spark, sf_dir).curve()), "value")
+
+
+@query
+def performance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curves = t.nation_panel(spark, sf_dir).select("date", F.col("ticker").alias("series"), F.col("close").alias("value"))
+    return perf.performance_summary(curves)
+
+
+@query
+def walk_forward_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perf.performance_summary(supplier_run(spark, sf_dir).curve())
+
+
+def supplier_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = t.supplier_panel(spark, sf_dir)
+    return score_momentum(universe_returns(t.supplier_universe(spark, sf_dir), panel, prices.symbols_of(panel)))
+
+
+@query
+def current_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.current_allocation(supplier_momentum(spark, sf_dir))
+
+
+@query
+def buy_and_hold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve, _ = bt.buy_and_hold(supplier_momentum(spark, sf_dir), t.supplier_panel(spark, sf_dir))
+    return settled(curve, "value")
+
+
+@query
+def buy_and_hold_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.buy_and_hold(supplier_momentum(spark, sf_dir), t.supplier_panel(spark, sf_dir))[1]
+
+
+@query
+def parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = t.table(spark, sf_dir, "part").select(F.col("p_brand").alias("raw"))
+    priorities = t.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("raw"))
+    props = t.table(spark, sf_dir, "events").select(F.col("props").alias("raw"))
+    balances = t.table(spark, sf_dir, "customer").select(F.concat(F.lit("₹ 1,"), F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit(" Cr.%")).alias("raw"))
+    every = brands.unionByName(priorities).unionByName(props).unionByName(balances)
+    return every.groupBy("raw").agg(F.count("*").alias("n")).withColumn("number", num.parse_number(F.col("raw")))
+
+
+@query
+def clean_label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit(" "), "p_type", F.lit("  + "), "p_brand", F.lit(" "))
+    rows = t.table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n")).withColumn("label", num.clean_label(raw))
+    return rows.select("label", "n", num.starts_with_any(F.col("label"), ("standard", "Promo", "ECONOMY")).alias("matches"))
+
+
+@query
+def last_two_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = t.quarterly_sales(spark, sf_dir).select("ticker", F.struct("cells").alias("row"))
+    return cells.select("ticker", holdings.trailing_growth(holdings.numeric_cells(F.col("row"))).alias("growth_pct"))
+
+
+@query
+def holding_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.weekly_holdings(spark, sf_dir)
+    both = [c.alias(f"{h.lower()}_{n}") for h, labels in inst.HOLDER_LABELS.items() for n, c in holdings.holding_change(F.col("rows"), labels).items()]
+    return rows.select("ticker", *both)
+
+
+def stand_ins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, balance = F.col("c_custkey"), F.col("c_acctbal")
+    return t.table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("ticker"),
+        F.when(key % 9 != 0, balance).alias("market_cap_cr"),
+        F.when(key % 7 != 0, (key % 40).cast("double")).alias("quarterly_growth_pct"),
+        F.when(key % 11 != 0, (key % 60).cast("double")).alias("annual_growth_pct"),
+        F.when(key % 13 != 0, (key % 17 - 8).cast("double")).alias("promoter_change_pct"),
+    )
+
+
+@query
+def fundamental_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fund.apply_rules(stand_ins(spark, sf_dir)).where("fundamental_pass").select("ticker", *fund.METRICS)
+
+
+@query
+def fundamental_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = stand_ins(spark, sf_dir).withColumn("market_cap_cr", F.floor("market_cap_cr").cast("double"))
+    return fund.apply_rules(whole).select("ticker", "fundamental_pass", "fundamental_notes")
+
+
+LENIENT = FundamentalThresholds(1000.0, 5.0, 10.0, 5.0)
+
+
+def supplier_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fund.screen_fundamentals(rank.top_n(supplier_momentum(spark, sf_dir), [F.desc("score"), F.asc("ticker")], 100), pages.parse_pages(t.supplier_pages(spark, sf_dir)), LENIENT)
+
+
+@query
+def page_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics read from the HTML of a page for each supplier."""
+    return fund.page_metrics(pages.parse_pages(t.supplier_pages(spark, sf_dir))).select("ticker", *fund.METRICS)
+
+
+@query
+def final_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passed = supplier_screen(spark, sf_dir).where("fundamental_pass")
+    return rank.top_n(passed, [F.desc("score"), F.asc("ticker")], 100).select("ticker", "score", "fundamental_notes", *fund.METRICS)
+
+
+def user_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of every user; each fifth has no page."""
+    rows = t.weekly_holdings(spark, sf_dir)
+    users = t.table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id").distinct()
+    every = users.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"))
+    every = every.withColumns({"symbol": F.concat("ticker", F.lit(".NS")), "page_url": universe.page_url(F.col("ticker"))})
+    cap = F.array(F.concat(F.lit("Market Cap ₹ "), (F.crc32(F.col("ticker").cast("binary")) % 9000).cast("string"), F.lit(" Cr.")))
+    found = rows.where("NOT endswith(ticker, '5')").select("ticker", F.concat(F.lit("https://pages.example.com/company/"), "ticker", F.lit("/")).alias("page_url"), F.lit(None).cast("string").alias("error"), cap.alias("items"), F.array(F.lit("shareholding")).alias("sections"), "rows")
+    return inst.scan_holdings(every, found, "FII")
+
+
+@query
+def institutional_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_scan(spark, sf_dir).select("ticker", "page_url", "scan_notes", *inst.HOLDING_FIELDS)
+
+
+@query
+def institutional_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inst.shortlist(user_scan(spark, sf_dir).drop("market_cap_cr"), 50).select("ticker", "holding_change_pct")
+
+
+@query
+def institutional_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rising = inst.shortlist(user_scan(spark, sf_dir).drop("market_cap_cr"), 500)
+    panel = t.user_panel(spark, sf_dir)
+    scored = score_momentum(universe_returns(rising, panel, prices.symbols_of(panel)), gate=(5,))
+    return rank.top_n(scored, [F.desc("score"), F.asc("ticker")], 3).select("ticker", "score", "holding_change_pct")
+
+
+@query
+def marketcap_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = t.table(spark, sf_dir, "supplier").withColumn("symbol", F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".ns")))
+    have = s.select("symbol", F.when(F.col("s_suppkey") % 4 == 0, F.col("s_acctbal") * 1e6).alias("market_cap"))
+    lookup = s.where("s_suppkey % 3 <> 0").select(F.upper("symbol").alias("symbol"), F.when(F.col("s_suppkey") % 5 == 0, 0.0).otherwise(F.abs("s_acctbal") * 1e6).alias("market_cap"))
+    return inst.enrich_market_cap(have, lookup)
+
+
+def saved_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan saved in two goes: the first failed for each third supplier, the second did some of them again."""
+    key = F.col("s_suppkey")
+    s = t.table(spark, sf_dir, "supplier").select(key, F.concat(F.lit("S"), key.cast("string")).alias("ticker"))
+    note = F.when(key % 3 == 0, F.lit(f"{fund.FETCH_FAILED}: timeout")).otherwise("ok")
+    once = s.where("s_suppkey % 10 < 8").select("ticker", F.lit(1).alias("scan_order"), note.alias("scan_notes"), key.cast("double").alias("market_cap_cr"), F.lit(0.5).alias("holding_change_pct"))
+    again = s.where("s_suppkey % 10 < 4").select("ticker", F.lit(2).alias("scan_order"), F.when(key % 6 == 0, F.lit(f"{fund.FETCH_FAILED}: busy")).otherwise("missing FII row").alias("scan_notes"), key.cast("double").alias("market_cap_cr"), F.lit(None).cast("double").alias("holding_change_pct"))
+    return once.unionByName(again)
+
+
+@query
+def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inst.pending(t.supplier_universe(spark, sf_dir).where("NOT startswith(ticker, 'X')"), inst.completed(saved_scan(spark, sf_dir))).select("ticker", "name")
+
+
+@query
+def resume_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = inst.completed(saved_scan(spark, sf_dir)).drop("scan_order")
+    new = resume_pending(spark, sf_dir).select("ticker", "name", F.lit("ok").alias("scan_notes"))
+    return inst.resumed(done, new)
+
+
+@query
+def unpivot_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["N1.NS", "N2.NS", "N3.NS"]
+    curves = t.nation_panel(spark, sf_dir).where(F.col("ticker").isin(names)).select("date", F.col("ticker").alias("series"), F.col("close").alias("value"))
+    plain = perf.wide(curves, names).toDF("date", "N1", "N2", "N3")
+    return perf.long(plain, ["N1", "N2", "N3"])
+
+
+@query
+def scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inst.scan_counts(user_scan(spark, sf_dir))
+
+
+@query
+def text_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.element_at(F.array(*map(F.lit, ["True", "1", "YES", "false", "0", "", "y"])), (F.col("s_suppkey") % 8 + 1).cast("int"))
+    flag = F.when(F.col("s_suppkey") % 8 < 7, word)
+    return t.table(spark, sf_dir, "supplier").select("s_suppkey", num.text_bool(flag).alias("passed"))
+
+
+@query
+def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = t.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, "n/a").when(F.col("p_partkey") % 4 == 1, "NaN").otherwise(F.col("p_size").cast("string")).alias("Holding Change %"), F.col("p_brand").alias("Brand"))
+    found = num.percent_like(raw.columns)
+    return raw.withColumns({c: num.to_double(F.col(f"`{c}`")) for c in found}).withColumnsRenamed({c: "change_pct" for c in found}).drop("Brand")
+
+
+@query
+def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbol = F.concat("p_brand", F.lit("&~* +"), F.col("p_size").cast("string"))
+    return t.table(spark, sf_dir, "part").select("p_partkey", universe.page_url(symbol).alias("page_url"))
+
+
+@query
+def latest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices.latest_rows(t.part_panel(spark, sf_dir))
+
+
+@query
+def html_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the page parser finds in the raw pages, which have neither ratio lists nor tables."""
+    found = pages.parse_pages(t.table(spark, sf_dir, "pages").select("page_id", "html"))
+    return found.select("page_id", F.size("items").cast("long").alias("n_items"), F.size("rows").cast("long").alias("n_rows"))
