@@ -3,6 +3,8 @@
 On the dense panel (every ticker on every trading date, the last known close carried forward) a return over h
 observations is a lag, for all dates at once. Periods select their dates by a small broadcast table, picks are ranked
 within each period (tasks keep ten before the shuffle), and capital carried from period to period is a running product.
+The trading dates of the window, a few hundred, are the one thing that is fetched before the plan is made: they become
+a local table, so that the schedule costs no scan and the window's first date is a literal bound on the panel.
 """
 
 from __future__ import annotations
@@ -24,12 +26,6 @@ from rankloom.operators.universe import SUFFIX
 LEAD_MONTHS = 9
 
 
-def recent_panel(panel: DataFrame, months: int) -> DataFrame:
-    """The rows of the last ``months`` calendar months and the lead before them."""
-    last = panel.agg(F.max("date").alias("_last"))
-    return panel.join(F.broadcast(last), F.col("date") > F.add_months("_last", -(months + LEAD_MONTHS))).drop("_last")
-
-
 def calendar_of(panel: DataFrame) -> DataFrame:
     """The dates with any price."""
     return panel.where("close IS NOT NULL").select("date").distinct()
@@ -43,6 +39,21 @@ def forward_fill(panel: DataFrame) -> DataFrame:
     return grid.join(panel.select("ticker", "date", "close"), ["ticker", "date"], "left").withColumn("filled", F.last("close", ignorenulls=True).over(so_far))
 
 
+def carry_forward(panel: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The rows of ``forward_fill`` that have a value, without a grid: each close is repeated up to the ticker's next.
+
+    One shuffle by ticker serves this, and windows by ticker over the result.
+    """
+    order = Window.orderBy("date")  # trading dates: some 250 a year
+    days = calendar.select("date", F.row_number().over(order).alias("pos"), F.count("*").over(Window.partitionBy()).alias("n_days"))
+    by_pos = Window.partitionBy("ticker").orderBy("pos")
+    known = panel.where("close IS NOT NULL").join(F.broadcast(days), "date").select("ticker", "pos", "close", "n_days")
+    until = F.coalesce(F.lead("pos").over(by_pos) - 1, F.col("n_days").cast("int"))
+    known = known.withColumn("until", until)
+    spans = known.select("ticker", "close", F.col("pos").alias("at"), F.explode(F.sequence("pos", "until")).alias("pos"))
+    return spans.join(F.broadcast(days.select("pos", "date")), "pos").select("ticker", "date", F.when(F.col("pos") == F.col("at"), F.col("close")).alias("close"), F.col("close").alias("filled"))
+
+
 def rebalance_schedule(calendar: DataFrame, months: int) -> DataFrame:
     """pid, entry, exit and signal of each period: trading dates on or after month anchors counted back from the last
     date, each period's end, and the last date before its entry. Periods without a signal date stay out."""
@@ -151,10 +162,14 @@ class WalkForward:
 
     def __init__(self, panel: DataFrame, months: int = 6, capital: float = INITIAL_CAPITAL, weights: Mapping[int, float] | None = None, gate: Sequence[int] = DEFAULT_GATE):
         months = max(int(months), 1)
-        recent = recent_panel(panel, months)
+        spark = panel.sparkSession
+        last = panel.agg(F.add_months(F.max("date"), -(months + LEAD_MONTHS)).alias("bound")).first().bound
+        recent = panel.where(F.col("date") > F.lit(last)) if last else panel
+        days = sorted(r.date for r in calendar_of(recent).collect())  # at most the trading dates of the window
+        self.calendar = spark.createDataFrame([(d,) for d in days], "date date")
         self.capital = capital
-        self.filled = forward_fill(recent)
-        self.periods = rebalance_schedule(calendar_of(recent), months)
+        self.filled = carry_forward(recent, self.calendar)
+        self.periods = rebalance_schedule(self.calendar, months)
         self.picks = picks_of(score_at_dates(self.filled, self.periods, weights, gate))
         self.growth = period_growth(self.picks, self.periods, self.filled)
 

@@ -141,6 +141,8 @@ def test_forward_fill_and_stale_days(spark):
     panel = spark.createDataFrame(series("A", [10.0, 11.0, None]) + series("B", [None, 5.0, 6.0]), PANEL)
     got = {(r.ticker, r.date.day): r.filled for r in bt.forward_fill(panel).collect()}
     assert got == {("A", 1): 10.0, ("A", 2): 11.0, ("A", 3): 11.0, ("B", 1): None, ("B", 2): 5.0, ("B", 3): 6.0}
+    dense = bt.forward_fill(panel).where("filled IS NOT NULL").select("ticker", "date", "close", "filled")
+    assert sorted(map(repr, dense.collect())) == sorted(map(repr, bt.carry_forward(panel, bt.calendar_of(panel)).collect()))
 
 
 def walk_by_loop(panel, months, weights, gate, capital=100_000.0):
