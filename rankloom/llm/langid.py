@@ -178,7 +178,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS,
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
-def label(texts: list[str | None], model: Model, size: int = 2_000_000) -> Iterator[tuple[int, str, float, np.ndarray]]:
+def label(texts: list[str | None], model: Model, size: int = 1_000_000) -> Iterator[tuple[int, str, float, np.ndarray]]:
     """For each text, in an order of its own: its place, language, score and the marginals of its words."""
     fine = [k for k, t in enumerate(texts) if t and model.langs and LETTER.search(t)]
     for k in set(range(len(texts))) - set(fine):

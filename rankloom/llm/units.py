@@ -63,7 +63,7 @@ class UnitEncoder:
         self.parted, self.tails = parted, dict(zip(".,", self._alone([".", ","]))) if parted else {}
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
-        self.once: set[str] = set()
+        self.seen, self.marked = bytearray(1 << 22), 0
 
     def _apart(self, units: list[str], run: int = 2048) -> list[bytes]:
         """Ids of each unit, whole runs of them encoded at once."""
@@ -101,13 +101,22 @@ class UnitEncoder:
         return learned
 
     def _admit(self, learned: dict[str, bytes]) -> None:
-        again = learned.keys() & self.once
-        if len(self.known) + len(again) > self.most:
+        """Keep what was learned before; a byte for each of some slots tells that, and sometimes wrongly, which is harmless."""
+        seen, slots = self.seen, len(self.seen) - 1
+        if self.marked > slots // 4:
+            seen[:] = bytes(len(seen))
+            self.marked = 0
+        if len(self.known) > self.most:
             self.known.clear()
-        if len(self.once) > 2 * self.most:
-            self.once.clear()
-        self.known.update((u, learned[u]) for u in again)
-        self.once.update(u for u in learned.keys() - again if len(u) <= self.longest)
+        known, longest, marked = self.known, self.longest, 0
+        for unit, ids in learned.items():
+            at = hash(unit) & slots
+            if not seen[at]:
+                seen[at] = 1
+                marked += 1
+            elif len(unit) <= longest:
+                known[unit] = ids
+        self.marked += marked
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         rows, firsts, gaps = [], [], []
