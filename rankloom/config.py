@@ -42,6 +42,10 @@ INITIAL_CAPITAL = 100_000.0
 CRORE = 10_000_000.0
 
 
+#: What interactive settings may be, as (least, most).
+RANGES: dict[str, tuple[int, int]] = {"backtest_months": (1, 36), "top_momentum": (10, 500), "final_count": (10, 200)}
+
+
 @dataclass(frozen=True)
 class FundamentalThresholds:
     """Bounds are inclusive; the last is on the absolute change."""
@@ -72,3 +76,11 @@ class ScreeningConfig:
         for name, low in (("top_momentum", 1), ("final_count", 1), ("price_batch_size", 1), ("backtest_months", 1)):
             if getattr(self, name) < low:
                 raise ValueError(f"{name} must be at least {low}")
+
+    @classmethod
+    def within_ranges(cls, **settings: object) -> ScreeningConfig:
+        """A configuration from interactive settings: numbers outside their range are moved to its end."""
+        for name, (least, most) in RANGES.items():
+            if name in settings:
+                settings[name] = min(max(int(settings[name]), least), most)
+        return cls(**settings)

@@ -18,7 +18,7 @@ from rankloom.config import BENCHMARKS, DEFAULT_GATE, DEFAULT_WEIGHTS, INITIAL_C
 from rankloom.functions.numeric import growth_pct, rounded
 from rankloom.operators.asof import first_on_or_after, last_before
 from rankloom.operators.momentum import all_positive, weighted
-from rankloom.operators.portfolio import NAMES, tier_weight
+from rankloom.operators.portfolio import NAMES, current_allocation, tier_weight
 from rankloom.operators.rank import keep_first, top_per
 from rankloom.operators.universe import SUFFIX
 
@@ -180,6 +180,12 @@ class WalkForward:
         return ledger(self.picks, self.periods, self.growth, names, self.capital)
 
 
+def backtest_top10(picks: DataFrame, panel: DataFrame, months: int = 6, capital: float = INITIAL_CAPITAL) -> tuple[DataFrame, DataFrame]:
+    """The walk-forward curve of the picks' symbols, and the allocation to the best of them."""
+    symbols = picks.select(F.upper("symbol").alias("ticker")).distinct()
+    return WalkForward(panel.join(symbols, "ticker", "left_semi"), months, capital).curve(), current_allocation(picks, capital)
+
+
 def buy_and_hold(picks: DataFrame, panel: DataFrame, capital: float = INITIAL_CAPITAL) -> tuple[DataFrame, DataFrame]:
     """Curve and holdings of the ten best current picks, each held from its first price. For comparison only: it picks
     with hindsight. The weight of a pick without prices stays uninvested."""

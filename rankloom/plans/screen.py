@@ -126,15 +126,22 @@ def run_full(universe: DataFrame | None, panel: Prices, pages: Pages | None, con
     return run_fundamentals(momentum, panel, pages, config, store, quotes, progress)
 
 
-def scan(universe: DataFrame, pages: Pages, holder: str, store: Store, progress: Progress | None = None) -> DataFrame:
-    """The holding scan of a universe, going on with what was saved: done tickers are not fetched, failed ones are."""
+def scan(universe: DataFrame, pages: Pages, holder: str, store: Store, progress: Progress | None = None, parts: int = 1) -> DataFrame:
+    """The holding scan of a universe, going on with what was saved: done tickers are not fetched, failed ones are.
+
+    The scan is saved after each of ``parts`` parts, which are dealt by a hash of the ticker. Each part is appended, so
+    nothing is written twice however many there are.
+    """
     name = f"{holder.lower()}_partial"
     done = inst.completed(store.load(name))
-    left = inst.pending(universe, done)
-    new = inst.scan_holdings(left, pages(left), holder).withColumn("scan_order", F.current_timestamp())
-    saved = store.save(name, inst.resumed(done, new))
-    _tell(progress, 1, 1, f"{holder.upper()} scan")
-    return saved
+    saved = store.save(name, done) if done is not None else None
+    left = inst.pending(universe, saved).withColumn("_part", F.pmod(F.xxhash64("ticker"), F.lit(parts)))
+    for k in range(parts):
+        some = left.where(F.col("_part") == k).drop("_part")
+        new = inst.scan_holdings(some, pages(some), holder).withColumn("scan_order", F.current_timestamp())
+        saved = store.save(name, new) if saved is None else store.append(name, new)
+        _tell(progress, k + 1, parts, f"{holder.upper()} scan")
+    return store.require(name)
 
 
 def finish_holdings(all_scan: DataFrame, prices: Prices, holder: str, config: ScreeningConfig, store: Store, top: int = 50, final: int = 3) -> dict[str, DataFrame]:

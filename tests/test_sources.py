@@ -166,8 +166,9 @@ def test_holding_run_and_recovery(spark, tmp_path):
         seen.extend(r.ticker for r in wanted.collect())
         return fake_pages(spark)(wanted)
 
-    screen.scan(rows, again, "fii", store)
-    assert seen == ["BBBB"]  # only the failed one is asked for again
+    told = []
+    screen.scan(rows, again, "fii", store, lambda *x: told.append(x[:2]), parts=3)
+    assert seen == ["BBBB"] and told == [(1, 3), (2, 3), (3, 3)]  # only the failed one is asked for again
     assert recovery.newest_scan(store, "fii") == "fii_partial" and recovery.preview(store, "fii")["fii_all"].count() == 3
     assert sorted(r.ticker for r in recovery.recover_holdings(store, "fii", panel_of(spark), config)["fii_final"].collect()) == ["A", "CC"]
 
@@ -190,3 +191,29 @@ def test_incremental_scan(spark, tmp_path):
         incremental.scan_new_pages(spark, src, out, cp, "FII").awaitTermination()
     got = spark.read.parquet(out)
     assert sorted((r.ticker, r.holding_change_pct) for r in got.collect()) == [("A", 2.5), ("B", 2.5)] and got.select("batch").distinct().count() == 2
+
+
+def test_market_caps(spark):
+    from rankloom.operators.institutional import enrich_market_cap
+    from rankloom.sources.market_caps import fetch_market_caps
+
+    rows = spark.createDataFrame([("a.ns", None), ("B.NS", 3e9), ("C.NS", None), ("D.NS", None), (None, None), ("A.NS", None)], "symbol string, market_cap double")
+
+    def client(symbols):
+        if "D.NS" in symbols:
+            raise OSError("down")
+        return {"A.NS": 2e9, "C.NS": 0}
+
+    found = fetch_market_caps(rows, lambda: client, batch=1)
+    assert {r.symbol: r.market_cap for r in found.collect()} == {"A.NS": 2e9, "C.NS": None, "D.NS": None}
+    assert sorted((r.symbol or "", r.market_cap_cr or 0.0) for r in enrich_market_cap(rows, found).collect()) == [("", 0.0), ("A.NS", 200.0), ("B.NS", 300.0), ("C.NS", 0.0), ("D.NS", 0.0), ("a.ns", 200.0)]
+
+
+def test_settings_within_ranges_and_top_ten(spark):
+    from rankloom.operators.backtest import backtest_top10
+
+    config = ScreeningConfig.within_ranges(backtest_months=99, top_momentum=1, final_count=50)
+    assert (config.backtest_months, config.top_momentum, config.final_count) == (36, 10, 50)
+    picks = spark.createDataFrame([("A", "a.ns", 2.0, 10.0), ("CC", "CC.NS", 1.0, 20.0)], "ticker string, symbol string, score double, cmp double")
+    curve, allocation = backtest_top10(picks, panel_of(spark)(picks), 2)
+    assert curve.count() > 30 and allocation.count() == 2
