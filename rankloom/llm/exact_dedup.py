@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import WHITE, cut, keep_rows, row_key, shared_dir
+from rankloom.llm.shared import KEY, WHITE, cut, keep_rows, row_key, shared_dir
 
 
 def digest(text: Column) -> Column:
@@ -52,7 +52,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     Of equal texts the one with the most code points stays, then the smallest id. Where the index already knew the
     text, the row that brought it there stays and all of the batch go. group_size counts rows of this batch.
     """
-    return _judged(docs, index, id_col, text_col).drop("_key")
+    return _judged(docs, index, id_col, text_col).drop(KEY)
 
 
 def _judged(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _judged(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str) ->
             digest(text).alias("digest"),
             F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"),
             F.monotonically_increasing_id().alias("row"),
-            row_key(F.col(f"`{id_col}`"), text).alias("_key"),
+            row_key(F.col(f"`{id_col}`"), text).alias(KEY),
         ),
         "digests",
     )
@@ -83,7 +83,7 @@ def _judged(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str) ->
         F.col("group_size").cast("long").alias("group_size"),
         (F.col("old").isNull() & (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
-        "_key",
+        KEY,
     )
 
 
@@ -94,4 +94,4 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
 
 def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    return keep_rows(docs, _judged(docs, index, id_col, text_col).where("kept").select("_key"), id_col, text_col)
+    return keep_rows(docs, _judged(docs, index, id_col, text_col).where("kept").select(KEY), id_col, text_col)

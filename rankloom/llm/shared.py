@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]"
 
 
+#: A column that tells rows apart; no table has one of that name.
+KEY = "_rankloom_row_key_"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -57,10 +61,10 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` whose key is in ``kept`` (one column, _key), a repeated row once, with all their columns.
+    """The rows of ``docs`` whose key is in ``kept`` (one column, ``KEY``), a repeated row once, with all their columns.
 
     One shuffle by key serves the join and the choice among repeated rows.
     """
-    found = docs.withColumn("_key", row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).join(kept.hint("merge"), "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return found.withColumn("_nth", first).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.withColumn(KEY, row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).join(kept.hint("merge"), KEY, "left_semi")
+    first = F.row_number().over(Window.partitionBy(KEY).orderBy(KEY))
+    return found.withColumn("_nth_of_key_", first).where(F.col("_nth_of_key_") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.components import components
-from rankloom.llm.shared import cut, keep_rows, row_key
+from rankloom.llm.shared import KEY, cut, keep_rows, row_key
 
 SHINGLE, SEED, RADIUS, TILE = 3, 42, 3, 512
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -48,17 +48,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and _key (what tells rows apart) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and ``KEY`` (what tells rows apart) of every row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", KEY])
 
     text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), row_key(F.col(f"`{id_col}`"), text).alias("_key"))
-    return rows.mapInArrow(of, "doc_id long, fp long, _key string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), row_key(F.col(f"`{id_col}`"), text).alias(KEY))
+    return rows.mapInArrow(of, f"doc_id long, fp long, {KEY} string")
 
 
 def cell_code(fp: Column) -> Column:
@@ -164,6 +164,6 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFr
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One document of each class of near copies, that of the smallest id, with all its columns."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key"))
-    kept = _classed(docs, id_col, text_col, radius).groupBy("component").agg(best.alias("best")).select(F.col("best._key").alias("_key"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY))
+    kept = _classed(docs, id_col, text_col, radius).groupBy("component").agg(best.alias("best")).select(F.col(f"best.{KEY}").alias(KEY))
     return keep_rows(docs, kept, id_col, text_col)

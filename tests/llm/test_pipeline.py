@@ -64,3 +64,21 @@ def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "z y x w"), (None, "q r s t"), (None, "q r s t"), (None, "k l m n")], "doc_id long, text string")
     for stage in (corpus_pipeline.no_exact_copies, corpus_pipeline.no_near_copies):
         assert sorted((r.doc_id or 0, r.text) for r in stage(spark, docs, SF).collect()) == [(0, "k l m n"), (0, "q r s t"), (1, "a b c d"), (1, "z y x w")]
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    names = ["score", "kept", "component_id", "digest", "fp", "row", "_key", "_nth", "label", "of", "held_out"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    wide = docs.selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, SF)
+        if name != "packing":
+            rows = out.collect()
+            assert out.columns == wide.columns and rows and all(r[n] == n for r in rows for n in names)
+            assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, docs, SF).collect()}
