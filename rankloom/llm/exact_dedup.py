@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import KEY, WHITE, cut, keep_rows, row_key, shared_dir
+from rankloom.llm.shared import KEY, WHITE, cut, keep_rows, row_key, run_dir
 
 
 def digest(text: Column) -> Column:
@@ -89,7 +89,7 @@ def _judged(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str) ->
 
 def fresh_index(spark: SparkSession) -> DigestIndex:
     """An index of its own, in the shared folder, for one run."""
-    return DigestIndex(spark, f"{shared_dir(spark)}/rankloom/digest-index-{uuid.uuid4().hex}")
+    return DigestIndex(spark, f"{run_dir(spark)}/digest-index-{uuid.uuid4().hex}")
 
 
 def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.quality import span_hashes
 from rankloom.llm.shared import hash_share, held_out
 
-PER_LANG, MAX_LANGS, BITS = 90, 64, 15
+PER_LANG, MAX_LANGS, BITS = 120, 64, 15
 LETTER = re.compile(r"[^\W\d_]")
 #: Everything in ASCII that is no letter parts words; bytes of longer characters belong to them.
 BLANKS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -139,9 +139,13 @@ def fit(texts: list[str], langs: list[str], bits: int = BITS, steps: int = 30, r
     size = len(names)
     model = Model(names, np.zeros(((1 << bits) + 1, size)), known[counts >= frequent], np.zeros((int((counts >= frequent).sum()) + 1, size)), np.zeros(size), np.zeros((size, size)))
     if size > 1 and len(y):
-        lex = model.lexicon_rows(hashes)
-        owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, feats.shape[1])))
-        flat, owners = feats[:, begins[0] :].ravel(), np.tile(owner, 4)
+        # Features are summed once for each different word, whichever times it occurs.
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        spans = np.diff(np.append(begins, feats.shape[1]))[first]
+        begins_u = np.cumsum(spans) - spans
+        feats_u = feats[:, np.repeat(begins[first] - begins_u, spans) + np.arange(spans.sum())]
+        lex = model.lexicon_rows(hashes[first])
+        flat, owners = feats_u.ravel(), np.tile(np.repeat(np.arange(len(first)), spans), 4)
         order, heads, lengths = splice(y, np.random.default_rng(seed))
         want = np.zeros((len(y), size))
         want[np.arange(len(y)), y] = 1
@@ -151,12 +155,13 @@ def fit(texts: list[str], langs: list[str], bits: int = BITS, steps: int = 30, r
         params = [model.weight, model.word_weight, model.start, model.trans]
         mean, var = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, steps + 1):
-            em = np.exp(model.emissions(feats, begins, lex))[order]
+            em = np.exp(model.emissions(feats_u, begins_u, lex))[which[order]]
             gamma, both = forward_backward(em, lengths, heads, np.exp(model.start), np.exp(model.trans), pairs=True)
             gap = np.empty_like(gamma)
             gap[order] = gamma
             gap -= want
-            grads = [np.column_stack([np.bincount(flat, gap[owners, k], len(model.weight)) for k in range(size)]), np.column_stack([np.bincount(lex, gap[:, k], len(model.word_weight)) for k in range(size)]), gap[order[heads]].sum(axis=0), both - seen]
+            word_gap = np.column_stack([np.bincount(which, gap[:, k], len(first)) for k in range(size)])
+            grads = [np.column_stack([np.bincount(flat, word_gap[owners, k], len(model.weight)) for k in range(size)]), np.column_stack([np.bincount(lex, word_gap[:, k], len(model.word_weight)) for k in range(size)]), gap[order[heads]].sum(axis=0), both - seen]
             for p, g, m, v in zip(params, grads, mean, var):
                 g = g / len(y) + decay / len(y) * p
                 m += 0.1 * (g - m)

@@ -29,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application's written tables are."""
+    return f"{shared_dir(spark)}/rankloom/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's written tables, once no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, tag: str, compression: str = "zstd", parts: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs one stage at most.
 
@@ -36,7 +48,7 @@ def cut(df: DataFrame, tag: str, compression: str = "zstd", parts: int | None =
     the number of files where rows are few and short.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rankloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     (df.coalesce(parts) if parts else df).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
