@@ -11,8 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _panel(rows: DataFrame, letter: str, key: str, day: str, close) -> DataFrame:
-    ticker = F.concat(F.lit(letter), F.col(key).cast("string"), F.lit(".NS"))
-    return rows.groupBy(ticker.alias("ticker"), F.to_date(day).alias("date")).agg(F.max(close).alias("close"))
+    """Grouped by the number that keys the table; the ticker is made of it once a group."""
+    daily = rows.where(F.col(key).isNotNull() & F.col(day).isNotNull()).groupBy(F.col(key).alias("_key"), F.to_date(day).alias("date")).agg(F.max(close).alias("close"))
+    return daily.select(F.concat(F.lit(letter), F.col("_key").cast("string"), F.lit(".NS")).alias("ticker"), "date", "close")
 
 
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def nation_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _panel(table(spark, sf_dir, "events").where("user_id IS NOT NULL AND ts IS NOT NULL"), "U", "user_id", "ts", F.col("value"))
+    return _panel(table(spark, sf_dir, "events"), "U", "user_id", "ts", F.col("value"))
 
 
 def supplier_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
