@@ -49,7 +49,7 @@ def cut(df: DataFrame, tag: str, compression: str = "zstd", parts: int | None =
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    (df.coalesce(parts) if parts else df).write.option("compression", compression).parquet(path)
+    (df.coalesce(parts) if parts else df).write.option("compression", compression).option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import compress, count, islice
+from operator import not_
 
 import numpy as np
 
@@ -84,7 +86,7 @@ class UnitEncoder:
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         """The ids of these units, each with the space or line feed that leads it."""
-        tailed = [u for u in units if u[-1] in self.tails and u[:-1].isalpha() and max(u) < LATIN]
+        tailed = [u for u in units if u[-1] in self.tails and u[:-1].isalpha() and (u.isascii() or max(u) < LATIN)]
         if tailed:
             rest = dict.fromkeys(units)
             for u in tailed:
@@ -106,8 +108,8 @@ class UnitEncoder:
         if self.marked > slots // 4:
             seen[:] = bytes(len(seen))
             self.marked = 0
-        if len(self.known) > self.most:
-            self.known.clear()
+        if len(self.known) > self.most:  # the units that came first are mostly the frequent ones
+            self.known = dict(islice(self.known.items(), self.most // 2))
         known, longest, marked = self.known, self.longest, 0
         for unit, ids in learned.items():
             at = hash(unit) & slots
@@ -126,7 +128,7 @@ class UnitEncoder:
             rest = (text.replace("\n", " \n") if self.parted else text).split(" ")
             first = rest.pop(0)
             found = list(map(self.known.get, rest))
-            gap = [(j, rest[j]) for j, x in enumerate(found) if x is None] if None in found else []
+            gap = [(j, rest[j]) for j in compress(count(), map(not_, found))]
             new = [u for _, u in gap if u not in missing]
             if (rest and not plain(first)) or not all(plain(u[1:] if self.parted and u[:1] == "\n" else u) for u in new) or MARKER in text:
                 first, rest = split_units(text)
