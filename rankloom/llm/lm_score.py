@@ -1,10 +1,14 @@
 """Cross-entropy difference of matched character n-gram models of a target and of the whole corpus.
 
-Both models have the same vocabulary (the most frequent characters of all documents after lower-casing, an unknown
-and a boundary symbol), the same order and the same smoothing, and the background counts are scaled to the target's
-mass, so that a loss difference never comes from unequal evidence. All counts are of whole texts over all rows: every
-task counts the n-grams of its rows in an array and sends on those that occurred, Spark adds them up, and the result
-has at most symbols ** order rows, however large the corpus. That bounds what reaches the driver and the workers.
+Both models have the same vocabulary (every code point that occurs after lower-casing, an unknown and a boundary
+symbol), the same order and the same smoothing, and the background counts are scaled to the target's mass, so that a
+loss difference never comes from unequal evidence. All counts are of whole texts over all rows: tasks count the n-grams
+of runs of texts, Spark adds them up, and the model is a written table with a row for each n-gram of the corpus, which
+grows with it. No part of it is fetched but three totals.
+
+Scoring deals the documents into pieces of some ``PIECE`` bytes and takes the different n-grams of each piece. Their
+probabilities are joined from the model by n-gram and meet the texts again by piece, so that what a worker holds is
+bounded by its piece (or by one longer text), not by the corpus.
 
 A document's score is its loss per token under the target less that under the background, in nats: below zero is
 nearer the target. Defined results: a null or empty text is the end symbol alone (one token); rows are scored one by
@@ -13,86 +17,124 @@ one; without a target both models are the background's and every score is 0; fur
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SYMBOLS, ORDER, PRIOR = 40, 4, 4.0
-UNKNOWN, EDGE, PLANE = 0, 1, 0x3000
-
+from rankloom.llm.shared import cut
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+ORDER, PRIOR, PIECE = 4, 4.0, 4_000_000
+#: Symbols are code points, and after them the boundary and the unknown one. A context holds up to three in a long.
+EDGE, UNKNOWN, ALL, BITS = 0x110000, 0x110001, 0x110002, 21
 
 
-def vocabulary(docs: DataFrame, symbols: int = SYMBOLS, text_col: str = "text") -> np.ndarray:
-    """The symbol of each code point below 0x3000: the most frequent ones have their own, ties by code point."""
+def vocabulary(docs: DataFrame, symbols: int, text_col: str = "text") -> np.ndarray:
+    """The ``symbols`` - 2 most frequent code points, ties by code point."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(PLANE, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    cps = code_points(text)
-                    counts += np.bincount(cps[cps < PLANE], minlength=PLANE)
-        at = np.flatnonzero(counts)
+        counts = np.zeros(ALL, dtype=np.int64)
+        for texts in runs(batches):
+            s, ends, _ = tokens(texts, 1, None)
+            counts += np.bincount(s[ends], minlength=ALL)
+        at = np.flatnonzero(counts[:EDGE])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["cp", "n"])
 
     counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(of, "cp long, n long").groupBy("cp").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "cp").limit(symbols - 2).collect()
-    table = np.zeros(PLANE, dtype=np.int64)
-    for k, row in enumerate(top):
-        table[row.cp] = k + 2
-    return table
-
-
-def keys(text: str, table: np.ndarray, symbols: int = SYMBOLS, order: int = ORDER) -> np.ndarray:
-    """The number of the n-gram that ends at each token; the last token is the end of the text."""
-    cps = code_points(text)
-    s = np.full(len(cps) + order, EDGE, dtype=np.int64)
-    s[order - 1 : -1] = np.where(cps < PLANE, table[np.minimum(cps, PLANE - 1)], UNKNOWN)
-    out = s[: len(cps) + 1].copy()
+    return np.array([r.cp for r in counted.orderBy(F.desc("n"), "cp").limit(symbols - 2).collect()], dtype=np.int64)
+
+
+def runs(batches: Iterable[pa.RecordBatch], size: int = PIECE) -> Iterator[list[str]]:
+    """The texts of the first column (null as empty), some ``size`` characters at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            held.append(text or "")
+            n += len(held[-1])
+            if n >= size:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def tokens(texts: list[str], order: int, kept: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of all texts with edges around each, the place of each token (the last of a text is its end), and the
+    number of tokens of each text. Code points out of ``kept`` are unknown."""
+    low = [t.lower() for t in texts]
+    sizes = np.array([len(t) for t in low], dtype=np.int64)
+    s = np.frombuffer(("\0" * (order - 1) + ("\0" * order).join(low) + "\0").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
+    if kept is not None:
+        own = np.zeros(ALL, dtype=bool)
+        own[kept] = True
+        s[~own[s]] = UNKNOWN
+    begins = np.cumsum(sizes + order) - sizes - order
+    token = np.ones(len(s), dtype=bool)
+    for k in range(order - 1):
+        token[begins + k] = False
+        s[begins + k] = EDGE
+    s[begins + order - 1 + sizes] = EDGE
+    return s, np.flatnonzero(token), sizes + 1
+
+
+def numbered(s: np.ndarray, ends: np.ndarray, order: int, run: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The symbols that occur, and the number over them of the n-gram that ends at each of ``ends``. Where such numbers
+    don't fit in 63 bits, there are several parts of ``run`` tokens."""
+    present = np.zeros(ALL, dtype=bool)
+    present[s] = True
+    symbols = np.flatnonzero(present)
+    if len(symbols) ** order >= 1 << 63:
+        for k in range(0, len(ends), run):
+            part = ends[k : k + run]
+            first = part[0] - order + 1
+            yield from numbered(s[first : part[-1] + 1], part - first, order, run)
+        return
+    place = np.zeros(ALL, dtype=np.int64)
+    place[symbols] = np.arange(len(symbols))
+    at, n = place[s], len(s) - order + 1
+    out = at[:n].copy()
     for k in range(1, order):
-        out *= symbols
-        out += s[k : len(cps) + 1 + k]
-    return out
+        out *= len(symbols)
+        out += at[k : n + k]
+    yield symbols, out[ends - order + 1]
+
+
+def distinct(texts: list[str], order: int, kept: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Context, last symbol and count of the n-grams of the texts."""
+    for symbols, grams in numbered(*tokens(texts, order, kept)[:2], order):
+        found, n = np.unique(grams, return_counts=True)
+        rest, last = np.divmod(found, len(symbols))
+        context = np.zeros(len(found), dtype=np.int64)
+        for k in range(order - 1):
+            rest, at = np.divmod(rest, len(symbols))
+            context |= symbols[at] << (BITS * k)
+        yield context, symbols[last], n
+
+
+def in_batches(columns: list[np.ndarray], names: list[str], size: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(columns[0]), size):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + size], pa.int64()) for c in columns], names=names)
 
 
-def count_ngrams(docs: DataFrame, table: np.ndarray, symbols: int = SYMBOLS, order: int = ORDER, text_col: str = "text", run: int = 4_000_000) -> DataFrame:
-    """gram and n over all whole texts; every task sends on one row for each n-gram that it met."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def count_ngrams(docs: DataFrame, kept: np.ndarray | None = None, order: int = ORDER, text_col: str = "text") -> DataFrame:
+    """context, last and n over all whole texts; every task sends on one row for each n-gram of a run of texts."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(symbols**order, dtype=np.int64), [], 0
+        for texts in runs(batches):
+            for found in distinct(texts, order, kept):
+                yield from in_batches(list(found), ["context", "last", "n"])
 
-        def add() -> None:
-            nonlocal counts, held, size
-            if held:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts))
-            held, size = [], 0
+    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(of, "context long, last long, n long")
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(keys(text or "", shared.value, symbols, order).astype(np.int32))
-                size += len(held[-1])
-                if size >= run:
-                    add()
-        add()
-        at = np.flatnonzero(counts)
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], names=["gram", "n"])
-
-    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(of, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def log_probabilities(counts: np.ndarray, symbols: int = SYMBOLS, order: int = ORDER, prior: float = PRIOR) -> np.ndarray:
-    """Log of p(token | context) for every n-gram: each order's counts with ``prior`` counts from the order below."""
+
+def log_probabilities(counts: np.ndarray, symbols: int, order: int = ORDER, prior: float = PRIOR) -> np.ndarray:
+    """Log of p(token | context) for every n-gram: each order's counts with ``prior`` counts from the order below. The
+    dense form of what ``probabilities`` joins, for few symbols."""
     p = np.full(symbols, 1.0 / symbols)
     for k in range(1, order + 1):
         c = counts.reshape(-1, symbols**k).sum(axis=0).reshape(-1, symbols)  # n-grams of the last k tokens
@@ -104,44 +146,109 @@ def log_probabilities(counts: np.ndarray, symbols: int = SYMBOLS, order: int = O
 
 @dataclass
 class Models:
-    table: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
-    symbols: int = SYMBOLS
+    counts: DataFrame  # context, last, and the counts t of the target and b of the background, of one mass
+    symbols: int
+    kept: np.ndarray | None = None
     order: int = ORDER
 
 
-def train(docs: DataFrame, target: DataFrame, symbols: int = SYMBOLS, order: int = ORDER, text_col: str = "text") -> Models:
-    """Models of ``target`` and of all ``docs``."""
-    table = vocabulary(docs, symbols, text_col)
-    counts = []
-    for rows in (target, docs):
-        found = count_ngrams(rows, table, symbols, order, text_col).toPandas()  # symbols ** order rows at most
-        dense = np.zeros(symbols**order)
-        dense[found["gram"].to_numpy()] = found["n"].to_numpy()
-        counts.append(dense)
-    if not counts[0].any():
-        counts[0] = counts[1]
-    if counts[1].any():
-        counts[1] = counts[1] * (counts[0].sum() / counts[1].sum())
-    return Models(table, *(log_probabilities(c, symbols, order).astype(np.float32) for c in counts), symbols, order)
+def train(docs: DataFrame, target: DataFrame, symbols: int | None = None, order: int = ORDER, text_col: str = "text") -> Models:
+    """Models of ``target`` and of all ``docs``. With ``symbols`` all but the most frequent code points are one symbol."""
+    if not 1 <= order <= 4:
+        raise ValueError("order must be 1 to 4")
+    kept = None if symbols is None else vocabulary(docs, symbols, text_col)
+    none = F.lit(0).cast("long")
+    both = count_ngrams(target, kept, order, text_col).select("context", "last", F.col("n").alias("t"), none.alias("b"))
+    both = both.unionAll(count_ngrams(docs, kept, order, text_col).select("context", "last", none.alias("t"), F.col("n").alias("b")))
+    counts = cut(both.groupBy("context", "last").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "lm-counts")
+    sums = counts.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count_distinct("last").alias("symbols")).first()
+    b = F.col("b").cast("double")
+    scaled = (b, b) if not sums.t else (F.col("t").cast("double"), b * (sums.t / sums.b if sums.b else 1.0))
+    return Models(counts.select("context", "last", scaled[0].alias("t"), scaled[1].alias("b")), symbols or sums.symbols + 1, kept, order)
+
+
+def probabilities(grams: DataFrame, models: Models, prior: float = PRIOR) -> DataFrame:
+    """``grams`` (context, last; each once) with the log-probabilities t and b of the last symbol after the others."""
+    within = lambda k: F.col("context").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))  # noqa: E731  the context's last k - 1 symbols
+    found = grams.withColumns({f"p_{x}": F.lit(1.0 / models.symbols) for x in "tb"})
+    for k in range(1, models.order + 1):
+        level = models.counts.groupBy(within(k).alias("_h"), F.col("last").alias("_c")).agg(F.sum("t").alias("_t"), F.sum("b").alias("_b"))
+        above = level.groupBy(F.col("_h").alias("_g")).agg(F.sum("_t").alias("_nt"), F.sum("_b").alias("_nb"))
+        if k <= 2:  # a row for each symbol at most, and few keys
+            above = F.broadcast(above)
+        if k == 1:
+            level = F.broadcast(level)
+        found = found.join(level, (within(k) == F.col("_h")) & (F.col("last") == F.col("_c")), "left").join(above, within(k) == F.col("_g"), "left")
+        p: dict[str, Column] = {f"p_{x}": (F.coalesce(f"_{x}", F.lit(0.0)) + prior * F.col(f"p_{x}")) / (F.coalesce(f"_n{x}", F.lit(0.0)) + prior) for x in "tb"}
+        found = found.select("context", "last", *[c.alias(name) for name, c in p.items()])
+    return found.select("context", "last", F.log("p_t").alias("t"), F.log("p_b").alias("b"))
+
+
+def in_pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and piece, written: rows that follow one another are of one piece up to ``PIECE`` bytes."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, done = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            upto = done + np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            piece = base + np.concatenate(([done], upto[:-1])) // PIECE if len(upto) else upto
+            done = int(upto[-1]) if len(upto) else done
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(piece, pa.int64())], names=["doc_id", "text", "piece"])
+
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return cut(plain.mapInArrow(of, "doc_id long, text string, piece long"), "lm-pieces")
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss (per token) and score, their difference."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    order, kept = models.order, models.kept
 
-    def losses(text: str) -> tuple[int, float, float]:
-        m = shared.value
-        at = keys(text, m.table, m.symbols, m.order)
-        return len(at), -float(m.target[at].mean(dtype=np.float64)), -float(m.background[at].mean(dtype=np.float64))
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
 
-    @F.pandas_udf("n_tokens long, target_loss double, background_loss double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([losses(t or "") for t in texts], columns=["n_tokens", "target_loss", "background_loss"])
+        def told() -> Iterator[pa.RecordBatch]:
+            for texts in runs(held):
+                for context, last, _ in distinct(texts, order, kept):
+                    yield from in_batches([np.full(len(last), now), context, last], ["piece", "context", "last"])
 
-    judged = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), judge(F.col(f"`{text_col}`")).alias("of"))
-    return judged.select("doc_id", "of.*", (F.col("of.target_loss") - F.col("of.background_loss")).alias("score"))
+        for batch in batches:
+            piece = batch.column(1).to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+            for a, b in zip(bounds, bounds[1:]):
+                if a < b:
+                    if piece[a] != now:
+                        yield from told()
+                        held, now = [], piece[a]
+                    held.append(batch.slice(a, b - a))
+        yield from told()
+
+    def losses(texts: pa.Table, known: pa.Table) -> pa.Table:
+        s, ends, sizes = tokens([t or "" for t in texts["text"].to_pylist()], order, kept)
+        context, last, t, b = (known[c].to_numpy() for c in ("context", "last", "t", "b"))
+        symbols_of = [*((context >> BITS * k) & ((1 << BITS) - 1) for k in reversed(range(order - 1))), last]
+        found = []
+        for symbols, grams in numbered(s, ends, order):
+            place = np.full(ALL, -1, dtype=np.int64)
+            place[symbols] = np.arange(len(symbols))
+            number, here = np.zeros(len(last), dtype=np.int64), np.ones(len(last), dtype=bool)
+            for x in symbols_of:
+                at = place[x]
+                here &= at >= 0
+                number = number * len(symbols) + at
+            rows = np.flatnonzero(here)
+            rows = rows[np.argsort(number[rows])]
+            at = rows[np.searchsorted(number[rows], grams)]
+            found.append((t[at], b[at]))
+        starts = np.cumsum(sizes) - sizes
+        sums = [-np.add.reduceat(np.concatenate(x), starts) / sizes for x in zip(*found)]
+        return pa.table({"doc_id": texts["doc_id"], "n_tokens": pa.array(sizes, pa.int64()), "target_loss": sums[0], "background_loss": sums[1]})
+
+    pieces = in_pieces(docs, id_col, text_col)
+    grams = cut(pieces.select("text", "piece").mapInArrow(asked, "piece long, context long, last long").distinct(), "lm-grams")
+    known = grams.join(cut(probabilities(grams.select("context", "last").distinct(), models), "lm-probabilities"), ["context", "last"])
+    judged = pieces.groupBy("piece").cogroup(known.groupBy("piece")).applyInArrow(losses, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    return judged.select("*", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 
 def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -64,3 +64,21 @@ def test_no_target_and_empty_table(spark):
     assert all(r.score == 0 for r in got)
     none = docs.limit(0)
     assert lm.score(none, lm.train(none, none, SYMBOLS, ORDER)).count() == 0
+
+
+def test_every_script_has_its_own_symbols(spark):
+    many = " ".join(chr(c) for c in [*range(0x61, 0x7B), *range(0x3B1, 0x3CA), *range(0x430, 0x450)])
+    rows = [(0, "あいう えお" * 20), (1, "さしす せそ" * 20), *[(k, many) for k in range(2, 40)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.score(docs, lm.train(docs, docs.where("doc_id = 0"))).collect()}
+    assert got[0].score < 0 < got[1].score
+    symbols = len({c for _, t in rows for c in t}) + 2
+    capped = {r.doc_id: r for r in lm.score(docs, lm.train(docs, docs.where("doc_id = 0"), symbols)).collect()}
+    assert {k: r.score for k, r in got.items()} == {k: pytest.approx(r.score, abs=1e-9) for k, r in capped.items()}
+
+
+def test_more_symbols_than_numbers_of_ngrams_can_hold():
+    text = "".join(chr(c) for c in range(0x10000, 0x10000 + 60_000))
+    parts = list(lm.numbered(*lm.tokens([text], 4, None)[:2], 4))
+    assert len(parts) == 2 and sum(len(g) for _, g in parts) == 60_001
+    assert sum(len(last) for _, last, _ in lm.distinct([text], 4, None)) == 60_001
