@@ -155,18 +155,21 @@ class Codec:
 
     def __call__(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of each text, and whether all of its units passed the checks."""
-        self.bad.clear()
         if self.units:
             found = [x if t else b"" for t, x in zip(texts, self.units(texts))]
             fine = [True] * len(texts)
             if self.bad:
                 cut = [split_units(t) for t in texts]
                 fine = [not t or not any(" " + u in self.bad for u in (first, *rest)) for t, (first, rest) in zip(texts, cut)]
+                self.units.forget(self.bad)
+                self.bad.clear()
             return found, fine
         found = [np.array(x, dtype="<u4").tobytes() for x in self.encode(texts)]
         if self.check:
             self.check(texts, found)
-        return found, [t not in self.bad for t in texts]
+        fine = [t not in self.bad for t in texts]
+        self.bad.clear()
+        return found, fine
 
 
 @lru_cache(maxsize=2)

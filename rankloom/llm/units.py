@@ -120,6 +120,12 @@ class UnitEncoder:
                 known[unit] = ids
         self.marked += marked
 
+    def forget(self, units: set[str]) -> None:
+        """Drop these units, each with the space that leads it, from the caches: they are encoded and verified each time."""
+        for u in units:
+            self.known.pop(u[1:], None)
+            self.heads.pop(self.head + u[1:], None)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         rows, firsts, gaps = [], [], []
         missing: dict[str, None] = {}  # units that can stand anywhere

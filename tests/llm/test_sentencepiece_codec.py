@@ -52,6 +52,14 @@ def test_disagreement_is_told(monkeypatch):
     assert run(["a strange word", "a word", "strange"])[1] == [False, True, False]
 
 
+def test_disagreement_is_told_each_time():
+    run = sp.Codec(sp.build(sp.parse(RAW)), sp.build(sp.parse(RAW), prefix=False), RAW, True, True, 1, True)
+    right = run.other.encode
+    run.other = type("Odd", (), {"encode": staticmethod(lambda ts, num_threads: [[1] if t == "strange" else right(t) for t in ts])})
+    for _ in range(4):
+        assert run(["a strange word", "a word", "strange", "strange word"])[1] == [False, True, False, False]
+
+
 def message(number, value):
     if isinstance(value, int):
         return bytes([number << 3]) + bytes([value])
