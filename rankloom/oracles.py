@@ -79,6 +79,10 @@ ORACLES["nulls_last_marketcap"] = """
 SELECT c_name AS ticker, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS market_cap_cr FROM customer WHERE c_name < 'Customer#000000100'
 ORDER BY market_cap_cr DESC NULLS LAST, ticker LIMIT 95
 """
+ORACLES["nulls_last_marketcap_all"] = """
+SELECT c_name AS ticker, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS market_cap_cr FROM customer
+ORDER BY market_cap_cr DESC NULLS LAST, ticker
+"""
 
 
 def filled_sql(px: str) -> str:

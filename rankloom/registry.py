@@ -116,6 +116,13 @@ def nulls_last_marketcap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.top_n(rows.where("ticker < 'Customer#000000100'"), rank.nulls_last("market_cap_cr", "ticker"), 95)
 
 
+@query
+def nulls_last_marketcap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer in order, the missing values last."""
+    rows = t.table(spark, sf_dir, "customer").select(F.col("c_name").alias("ticker"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("market_cap_cr"))
+    return rows.orderBy(*rank.nulls_last("market_cap_cr", "ticker"))
+
+
 @query
 def forward_fill_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.forward_fill(t.user_panel(spark, sf_dir))

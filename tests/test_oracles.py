@@ -39,6 +39,12 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(got.columns, got.collect()) == rows_of(columns, want.fetchall())
 
 
+def test_every_customer_in_order(spark, duck):
+    got = [tuple(r) for r in registry.QUERIES["nulls_last_marketcap_all"](spark, SF).collect()]
+    assert got == duck.execute(registry.ORACLES["nulls_last_marketcap_all"]).fetchall()
+    assert len(got) == duck.execute("SELECT count(*) FROM customer").fetchone()[0] and got[-1][1] is None
+
+
 def test_every_query_has_sql_or_a_reason():
     assert set(registry.QUERIES) - set(registry.ORACLES) == {"html_list_items"}
 
