@@ -6,7 +6,8 @@ between the languages of neighbouring words are learned with the feature weights
 sequences spliced from segments of differently labelled texts, so that switching within a text is seen in training.
 Forward-backward gives each word its marginal probabilities; a document takes the language with the highest mean.
 
-The fit takes a bounded sample, some ``per_lang`` documents of each language, by a hash of the id; labelling is
+The fit takes a sample of every language, some ``per_lang`` documents of each by a hash of the id, and fewer (``LEAST``
+at least) where there are more than 64 languages; labelling is
 vectorised over the documents of a batch and reads each text to its end.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing could be learned; rows are
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.quality import span_hashes
 from rankloom.llm.shared import hash_share, held_out
 
-PER_LANG, MAX_LANGS, BITS = 120, 64, 15
+PER_LANG, LEAST, SAMPLE, BITS = 120, 24, 64 * 120, 15
 LETTER = re.compile(r"[^\W\d_]")
 #: Everything in ASCII that is no letter parts words; bytes of longer characters belong to them.
 BLANKS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -108,8 +109,8 @@ def forward_backward(em: np.ndarray, lengths: np.ndarray, begins: np.ndarray, st
             k = active[t + 1]
             ahead = beta[:k] * em[begins[:k] + t + 1]
             if pairs:
-                joint = alpha[begins[:k] + t][:, :, None] * trans * ahead[:, None, :]
-                both += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                before = alpha[begins[:k] + t]
+                both += (before / ((before @ trans) * ahead).sum(axis=1, keepdims=True)).T @ ahead * trans
             back = ahead @ trans.T
             beta[:k] = back / back.sum(axis=1, keepdims=True)
         at = begins[: active[t]] + t
@@ -171,15 +172,16 @@ def fit(texts: list[str], langs: list[str], bits: int = BITS, steps: int = 30, r
     return model
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on some ``per_lang`` documents of each of the ``max_langs`` most frequent languages, without the held-out fold."""
+def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on some ``per_lang`` documents of every language, or its share of ``SAMPLE``, without the held-out fold."""
     doc_id = F.col(f"`{id_col}`").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return fit([], [])
-    share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, per_lang / r.n)))])
-    sample = rows.where(hash_share(F.col("doc_id"), F.lit(7)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "text").toPandas().sort_values(["lang", "text"])
+    each = min(per_lang, max(LEAST, SAMPLE // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n)) for r in counts], "lang string, share double")
+    sample = rows.join(F.broadcast(shares), "lang").where(hash_share(F.col("doc_id"), F.lit(7)) < F.col("share")).select("lang", "text").toPandas().sort_values(["lang", "text"])
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 

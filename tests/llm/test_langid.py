@@ -91,3 +91,12 @@ def test_nothing_to_learn_and_empty_table(spark):
     assert langid.identify(docs.limit(0), langid.train(docs.limit(0))).count() == 0
     only = langid.fit(["some text", "more"], ["xx", "xx"])
     assert [x[1:3] for x in langid.label(["any"], only)] == [("xx", 1.0)]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(100 * k + j, " ".join([chr(0x4E00 + 50 * k + i) * 2 for i in range(6)] * 3), f"l{k:02}") for k in range(70) for j in range(8 if k < 66 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.langs) == 70
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert got == {k: lang for k, _, lang in rows}
