@@ -310,6 +310,7 @@ SELECT ticker, scan_notes, CAST(s_suppkey AS DOUBLE) AS market_cap_cr, CASE WHEN
 UNION ALL SELECT ticker, 'ok', NULL, NULL, name FROM pend
 """
 ORACLES["unpivot_curve"] = f"SELECT date, replace(ticker, '.NS', '') AS series, close AS value FROM ({PX['nation']}) WHERE ticker IN ('N1.NS', 'N2.NS', 'N3.NS')"
+ORACLES["unpivot_curve_all"] = f"SELECT date, replace(ticker, '.NS', '') AS series, close AS value FROM ({PX['nation']})"
 ORACLES["text_bool"] = "SELECT s_suppkey, s_suppkey % 8 < 3 AS passed FROM supplier"
 ORACLES["coerce_numeric"] = "SELECT p_partkey, CASE WHEN p_partkey % 4 > 1 THEN CAST(p_size AS DOUBLE) END AS change_pct FROM part"
 ORACLES["page_urls"] = "SELECT p_partkey, 'https://pages.example.com/company/' || replace(p_brand, '#', '%23') || '%26~%2A%20%2B' || p_size || '/consolidated/' AS page_url FROM part"
@@ -318,7 +319,7 @@ ORACLES["latest_prices"] = f"SELECT ticker, max(date) AS date, max_by(close, dat
 #: The columns that are dates; results show them as ISO text.
 DATES = {
     ("date",): ("price_panel_supplier", "price_panel_nation", "price_panel_part", "price_panel_user", "forward_fill_panel", "period_growth", "walk_forward_curve", "walk_forward_curve_nation",
-                "benchmark_overlay", "first_available_benchmark", "normalized_curve", "buy_and_hold_curve", "unpivot_curve", "latest_prices"),
+                "benchmark_overlay", "first_available_benchmark", "normalized_curve", "buy_and_hold_curve", "unpivot_curve", "unpivot_curve_all", "latest_prices"),
     ("entry", "exit"): ("rebalance_schedule",),
     ("entry", "signal"): ("signal_date_asof",),
     ("signal",): ("score_at_dates",),

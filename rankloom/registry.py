@@ -378,6 +378,14 @@ def unpivot_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perf.long(plain, ["N1", "N2", "N3"])
 
 
+@query
+def unpivot_curve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of all nations, made wide and melted."""
+    names = [f"N{k}" for k in range(25)]
+    curves = t.nation_panel(spark, sf_dir).select("date", F.regexp_replace("ticker", r"\.NS$", "").alias("series"), F.col("close").alias("value"))
+    return perf.long(perf.wide(curves, names), names)
+
+
 @query
 def scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inst.scan_counts(user_scan(spark, sf_dir))

@@ -45,6 +45,10 @@ def test_every_customer_in_order(spark, duck):
     assert len(got) == duck.execute("SELECT count(*) FROM customer").fetchone()[0] and got[-1][1] is None
 
 
+def test_every_series_is_melted(spark):
+    assert {r.series for r in registry.QUERIES["unpivot_curve_all"](spark, SF).select("series").distinct().collect()} == {f"N{k}" for k in range(25)}
+
+
 def test_every_query_has_sql_or_a_reason():
     assert set(registry.QUERIES) - set(registry.ORACLES) == {"html_list_items"}
 
