@@ -113,8 +113,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_codec.load_model(tokenizer_file("piece_bpe_32k.model"))
-    coded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model)
-    return coded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "checked")
+    coded = sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), model)
+    return coded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "checked", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "round_trip")
 
 
 ORACLES["op9_exact_dedup"] = r"""

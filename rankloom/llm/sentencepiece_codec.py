@@ -184,8 +184,13 @@ def settings_of(raw: bytes, threads: int = 2, verify: bool = True) -> str:
     return json.dumps({"pipeline": build(model), "core": build(model, prefix=False), "raw": base64.b64encode(raw).decode(), "cuttable": model.cuttable, "prefix": model.add_dummy_prefix, "threads": threads, "verify": verify})
 
 
-def encode(docs: DataFrame, raw: bytes, threads: int = 2, verify: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids (unsigned 32-bit, little-endian), checked (parity and round trip)."""
+def decode_ids(run: Codec, ids: list[bytes]) -> list[str]:
+    return run.whole.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
+
+
+def encode(docs: DataFrame, raw: bytes, threads: int = 2, verify: bool = True, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids (unsigned 32-bit, little-endian), checked (parity and round trip of
+    its units). With ``decoded`` also the text that ``decode`` gives for the ids, by the same worker."""
     shared = docs.sparkSession.sparkContext.broadcast(settings_of(raw, threads, verify))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,12 +200,14 @@ def encode(docs: DataFrame, raw: bytes, threads: int = 2, verify: bool = True, i
             for begin, texts in in_slices(whole):
                 ids, fine = run(texts)
                 null = [whole[begin + k] is None for k in range(len(texts))]
+                back = [pa.array([None if n else t for n, t in zip(null, decode_ids(run, ids))], pa.string())] if decoded else []
+                back += [pa.array([n or t == x for n, t, x in zip(null, texts, back[0].to_pylist())], pa.bool_()) for _ in back]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([None if n else x for n, x in zip(null, ids)], pa.binary()), pa.array(fine, pa.bool_())],
-                    names=["doc_id", "n_tokens", "ids", "checked"],
+                    [batch.column(0).slice(begin, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([None if n else x for n, x in zip(null, ids)], pa.binary()), pa.array(fine, pa.bool_()), *back],
+                    names=["doc_id", "n_tokens", "ids", "checked"] + ["decoded"] * decoded + ["round_trip"] * decoded,
                 )
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(of, "doc_id long, n_tokens long, ids binary, checked boolean")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(of, "doc_id long, n_tokens long, ids binary, checked boolean" + ", decoded string, round_trip boolean" * decoded)
 
 
 def decode(encoded: DataFrame, raw: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -209,13 +216,18 @@ def decode(encoded: DataFrame, raw: bytes, ids_col: str = "ids", out_col: str =
 
     @F.pandas_udf("string")
     def text(column: pd.Series) -> pd.Series:
-        tok = codec(shared.value).whole
-        have = [np.frombuffer(x, "<u4").tolist() if x is not None else [] for x in column]
-        return pd.Series([None if x is None else t for x, t in zip(column, tok.decode_batch(have, skip_special_tokens=False))], dtype=object)
+        found = decode_ids(codec(shared.value), [x if x is not None else b"" for x in column])
+        return pd.Series([None if x is None else t for x, t in zip(column, found)], dtype=object)
 
     return encoded.withColumn(out_col, text(F.col(f"`{ids_col}`")))
 
 
+def round_trip(docs: DataFrame, raw: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` of whole documents: doc_id, n_tokens, ids, checked, decoded, and round_trip, whether that
+    equals the text (of two nulls it does; a text that holds the marker comes back with spaces and doesn't)."""
+    return encode(docs, raw, id_col=id_col, text_col=text_col, decoded=True)
+
+
 def load_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()

@@ -1,6 +1,7 @@
 """Parity with the sentencepiece library, round trips, and models written by hand."""
 
 import struct
+import zlib
 from array import array
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rankloom.llm import sentencepiece_codec as sp
-from rankloom.llm.registry import tokenizer_file
+from rankloom.llm.registry import QUERIES, tokenizer_file
 
 RAW = sp.load_model(tokenizer_file("piece_bpe_32k.model"))
 ODD = ["", " ", "  ", "a", " a  b\nc 　d é 日本 \U0001f600", "trail ", "\n\n x", "▁ marker▁▁x ▁", "<s> <unk> <0x41>", "tab\t\tx", "w " * 4000, "z" * 3000, "aaaaaaaaaaaaaaa aaaa", "été über ñandú."]
@@ -60,6 +61,16 @@ def test_disagreement_is_told_each_time():
         assert run(["a strange word", "a word", "strange", "strange word"])[1] == [False, True, False, False]
 
 
+def test_query_decodes_whole_documents(spark, tmp_path):
+    texts = [*ODD, None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op10_sentencepiece"](spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].round_trip == (t is None or "▁" not in t), t
+        assert got[k].decoded_crc32 == (None if t is None else zlib.crc32(t.replace("▁", " ").encode()))
+
+
 def message(number, value):
     if isinstance(value, int):
         return bytes([number << 3]) + bytes([value])
