@@ -234,9 +234,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return judged.select("doc_id", "held_out", "of.lang_pred", "of.score")
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The documents in a known language, with all their columns: not ``und``, and a score of ``least`` or more, which of
-    four languages only texts without a leaning fall short of."""
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents in a known language, with all their columns: those that aren't ``und``, whatever the number of
+    languages."""
     of = labeller(docs, model)(F.col(f"`{text_col}`"))
     name = "_language_of_text"
-    return docs.withColumn(name, of).where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).drop(name)
+    return docs.withColumn(name, of).where(F.col(f"{name}.lang_pred") != "und").drop(name)

@@ -100,3 +100,10 @@ def test_every_language_is_learned(spark):
     assert len(model.langs) == 70
     got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
     assert got == {k: lang for k, _, lang in rows}
+
+
+def test_known_does_not_depend_on_the_number_of_languages(spark):
+    names = [f"l{k}" for k in range(5)]
+    even = langid.Model(names, np.zeros(((1 << 15) + 1, 5)), np.zeros(0, dtype=np.uint64), np.zeros((1, 5)), np.zeros(5), np.zeros((5, 5)))
+    docs = spark.createDataFrame([(1, "some words"), (2, "12 --"), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in langid.keep_known(docs, even).collect()] == [1]
