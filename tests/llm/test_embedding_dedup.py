@@ -91,18 +91,40 @@ def test_pairs_just_above_the_threshold_are_found():
 
 
 def test_every_two_members_meet_once(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.createDataFrame([(k % 3, k % 2 == 0, k, b"", 1) for k in range(90)], "key long, home boolean, cls long, vec binary, n long")
-    met = {}
-    for r in ed.blocks(rows, ed.crowded(rows, 5), 5).collect():
-        homes = [m.cls for m in r.members if m.side == 0]
-        others = [m.cls for m in r.members if m.side == 1]
-        for pair in [*(combinations(homes, 2) if r.self else []), *product(homes, others)]:
+    rows = [(k % 3, k, k % 2 == 0) for k in range(90)]
+    homes = {key: sum(h for q, _, h in rows if q == key) for key in range(3)}
+    df = spark.createDataFrame([(key, cls, home, homes[key], 30 - homes[key]) for key, cls, home in rows], "key long, cls long, home boolean, homes long, probes long")
+    blocks, met = {}, {}
+    for r in ed.dealt(df, 5).collect():
+        blocks.setdefault((r.key, r.i, r.j, r.kind), ([], []))[r.side].append(r.cls)
+    for (*_, kind), (sides, others) in blocks.items():
+        assert len(sides) <= 30 and len(others) <= 30
+        for pair in [*(combinations(sides, 2) if kind == 1 else []), *product(sides, others)]:
             met[tuple(sorted(pair))] = met.get(tuple(sorted(pair)), 0) + 1
     want = {tuple(sorted(p)): 1 for k in range(3) for p in combinations(range(k, 90, 3), 2) if p[0] % 2 == 0 or p[1] % 2 == 0}
     assert met == want
 
 
+@pytest.mark.parametrize("dense", [1, 3, 48])
+def test_close_pairs_of_blocks(dense):
+    """Matrices and pairs give what two loops give, in blocks with and without comparisons among homes."""
+    rng = np.random.default_rng(5)
+    x = ed.unit_rows(rng.normal(size=(60, 2)))
+    begins = np.array([0, 1, 3, 10, 30, 31])
+    own = np.array([True, True, False, True, True, False])
+    side = np.concatenate([np.sort(rng.integers(0, 2, n)) for n in np.diff(np.append(begins, 60))])
+    want = {(i, j) for k, (lo, hi) in enumerate(zip(begins, [*begins[1:], 60])) for i in range(lo, hi) for j in range(lo, hi) if side[i] == 0 and (side[j] == 1 or (own[k] and i < j)) and x[i] @ x[j] >= 0.9}
+    i, j = ed.close_pairs(x, begins, own, side, 0.9, dense=dense, most=7)
+    assert len(i) == len(want) and set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_doubles_and_a_long_chain(spark):
+    """Vectors on an arc, each within the threshold of its neighbours alone: one component, two links each."""
+    angle = np.arange(40) * 0.19
+    rows = [(k, [float(np.cos(a)), float(np.sin(a)), 0.0], 1) for k, a in enumerate(angle.tolist()) if a < 6.0]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.deduplicate(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {k: (1 if k in (0, len(rows) - 1) else 2, 0) for k in range(len(rows))}
+
+
 def test_empty_table(spark):
     assert ed.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
