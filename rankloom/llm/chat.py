@@ -6,7 +6,8 @@ count: the text and end mark of its assistant turns. All of it is DataFrame func
 
 Defined results: rows without a conversation id belong to none and are left out; repeated rows of a conversation count
 once; turns are in order of turn (null first), role and text; null roles and texts are empty; conversations that agree
-throughout are all prompt with two empty completions; further columns are ignored; no rows give no pairs.
+throughout are all prompt with two empty completions; further columns are ignored; no rows give no pairs. Texts are
+kept whole: a conversation of any length is one row, as its rendered form is.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.shared import KEY
+
 #: Fixed values of the markup.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -58,15 +61,21 @@ def loss_spans(turns: Column, trained: str = "assistant") -> Column:
 
 def format_pairs(pairs: DataFrame, trained: str = "assistant") -> DataFrame:
     """``pairs`` has columns chosen and rejected, arrays of (role, text); they become prompt_turns, prompt, chosen,
-    rejected (the completions), chosen_spans and rejected_spans. Other columns stay."""
-    others = [F.col(f"`{c}`") for c in pairs.columns if c not in ("chosen", "rejected")]
-    n = F.col("_n")
-    split = pairs.withColumn("_n", common_turns(F.col("chosen"), F.col("rejected")))
-    rest = {side: F.slice(F.col(side), n + 1, F.greatest(F.size(side) - n, F.lit(0))) for side in ("chosen", "rejected")}
+    rejected (the completions), chosen_spans and rejected_spans. Other columns stay, but for those of these names, which
+    are replaced. A null conversation is one without turns; null roles and texts are empty."""
+    made = ("prompt_turns", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans")
+    others = [c for c in pairs.columns if c not in made]
+    sides = [F.transform(F.coalesce(side, F.array().cast(TURNS)), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))) for side in ("chosen", "rejected")]
+    # One struct of a name of its own, so that no column of the caller can clash with what is made on the way.
+    split = pairs.select(*[F.col(f"`{c}`") for c in others], F.struct(*[t.alias(side) for t, side in zip(sides, ("chosen", "rejected"))]).alias(KEY))
+    chosen, rejected = F.col(f"{KEY}.chosen"), F.col(f"{KEY}.rejected")
+    split = split.withColumn(KEY, F.struct(chosen.alias("chosen"), rejected.alias("rejected"), common_turns(chosen, rejected).alias("n")))
+    n = F.col(f"{KEY}.n")
+    rest = {side: F.slice(turns, n + 1, F.greatest(F.size(turns) - n, F.lit(0))) for side, turns in (("chosen", chosen), ("rejected", rejected))}
     return split.select(
-        *others,
+        *[F.col(f"`{c}`") for c in others],
         n.alias("prompt_turns"),
-        render(F.slice("chosen", 1, n)).alias("prompt"),
+        render(F.slice(chosen, 1, n)).alias("prompt"),
         *[render(turns).alias(side) for side, turns in rest.items()],
         *[loss_spans(turns, trained).alias(f"{side}_spans") for side, turns in rest.items()],
     )
@@ -77,7 +86,9 @@ def mismatched_pairs(conversations: DataFrame, trained: str = "assistant") -> Da
     place of its own last reply, or no last reply where there is no such conversation or it has none."""
     last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), trained) + 1
     base = conversations.withColumn("_last", F.when(F.array_contains(F.transform("turns", lambda t: t["role"]), trained), last).cast("int"))
-    replies = base.where("_last IS NOT NULL").select((F.col("conv_id") - 1).alias("conv_id"), F.element_at("turns", F.col("_last"))["text"].alias("_reply"))
+    # The key is never null, which the optimiser is told: a filter for that would make this side gather all turns again.
+    before = F.coalesce(F.col("conv_id") - 1, F.lit(-1))
+    replies = base.where("_last IS NOT NULL").select(before.alias("conv_id"), F.element_at("turns", F.col("_last"))["text"].alias("_reply"))
     swapped = F.transform("turns", lambda t, k: F.when(k + 1 == F.col("_last"), F.when(F.col("_reply").isNotNull(), F.struct(t["role"].alias("role"), F.col("_reply").alias("text")))).otherwise(t))
     rejected = F.when(F.col("_last").isNull(), F.col("turns")).otherwise(F.filter(swapped, lambda t: t.isNotNull()))
     return base.join(replies, "conv_id", "left").select("conv_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))

@@ -1,6 +1,6 @@
 """Language identification: a linear-chain conditional random field that labels every word of a whole text.
 
-A word is a run of letters. Its features are its byte 1- to 4-grams with the blank on either side, so those with a
+A word is a run of letters (with marks, and numbers beyond ASCII). Its features are its byte 1- to 4-grams with the blank on either side, so those with a
 blank are its affixes, and its identity if it is in the lexicon (the words frequent in the sample). Transitions
 between the languages of neighbouring words are learned with the feature weights by full-batch gradient steps on
 sequences spliced from segments of differently labelled texts, so that switching within a text is seen in training.
@@ -16,20 +16,23 @@ judged one by one, so repeated rows and null ids get their own rows; further col
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.quality import span_hashes
-from rankloom.llm.shared import hash_share, held_out
+from rankloom.llm.shared import KEY, hash_share, held_out
 
 PER_LANG, LEAST, SAMPLE, BITS = 120, 24, 64 * 120, 15
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script. The standard library's word characters hold numerals that are none.
+LETTER = regex.compile(r"\p{L}")
+#: Bytes of longer characters that are no letters, marks or numbers would join words: they become blanks.
+OTHER = regex.compile(r"[^\x00-\x7f\p{L}\p{M}\p{N}]+")
 #: Everything in ASCII that is no letter parts words; bytes of longer characters belong to them.
 BLANKS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -37,7 +40,8 @@ BLANKS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 def word_features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Over all words of the texts: feature numbers (4 x bytes, 1 << bits for none), the byte where each word's features
     begin, a hash of each word, and the number of words in each text."""
-    plain = [t.lower().encode("utf-8", "ignore").translate(BLANKS) for t in texts]
+    low = [t.lower() for t in texts]
+    plain = [(t if t.isascii() else OTHER.sub(" ", t)).encode("utf-8", "ignore").translate(BLANKS) for t in low]
     raw = np.frombuffer(b" " + b"  ".join(plain) + b"     ", dtype=np.uint8)
     blank = raw == 32
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
@@ -238,5 +242,4 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """The documents in a known language, with all their columns: those that aren't ``und``, whatever the number of
     languages."""
     of = labeller(docs, model)(F.col(f"`{text_col}`"))
-    name = "_language_of_text"
-    return docs.withColumn(name, of).where(F.col(f"{name}.lang_pred") != "und").drop(name)
+    return docs.withColumn(KEY, of).where(F.col(f"{KEY}.lang_pred") != "und").drop(KEY)

@@ -107,7 +107,10 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
+    index = exact_dedup.fresh_index(spark)
+    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index)
+    index.drop()  # the result is read from tables of its own
+    return found
 
 
 @query

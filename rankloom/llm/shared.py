@@ -19,11 +19,15 @@ KEY = "_rankloom_row_key_"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a temporary
-    folder is made and set for the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs on one machine (tests) a
+    temporary folder is made and set for the session; a cluster without it is an error, as its executors would write
+    to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = tempfile.mkdtemp(prefix="rankloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -75,8 +79,9 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` whose key is in ``kept`` (one column, ``KEY``), a repeated row once, with all their columns.
 
-    One shuffle by key serves the join and the choice among repeated rows.
+    One shuffle by key serves the choice among repeated rows and the join. Tasks choose before it too (a window group
+    limit), so that a row which is there very many times reaches no task as more than one row from each.
     """
-    found = docs.withColumn(KEY, row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).join(kept.hint("merge"), KEY, "left_semi")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias(KEY))
     first = F.row_number().over(Window.partitionBy(KEY).orderBy(KEY))
-    return found.withColumn("_nth_of_key_", first).where(F.col("_nth_of_key_") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.withColumn("nth", first).where("nth = 1").drop("nth").join(kept.hint("merge"), KEY, "left_semi").select("row.*")

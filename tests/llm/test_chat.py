@@ -77,3 +77,25 @@ def test_empty_table_and_native_plan(spark):
 def test_spans_text(spark):
     df = spark.range(1).select(F.array(F.struct(F.lit(1).alias("begin"), F.lit(3).alias("end")), F.struct(F.lit(5).alias("begin"), F.lit(9).alias("end"))).alias("s"))
     assert df.select(chat.spans_text(F.col("s"))).first()[0] == "1-3,5-9"
+
+
+def test_names_that_clash_and_null_conversations(spark):
+    turns = "array<struct<role:string,text:string>>"
+    rows = [(7, "p", 3, [("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", None)]), (8, None, None, None, [("assistant", "c")]), (9, "q", 1, [], None)]
+    got = chat.format_pairs(spark.createDataFrame(rows, f"_n long, prompt string, chosen_spans int, chosen {turns}, rejected {turns}"))
+    assert got.columns == ["_n", "prompt_turns", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans"]
+    found = {r["_n"]: (r.prompt_turns, r.prompt, r.chosen, r.rejected) for r in got.collect()}
+    user, made = "<|im_start|>user\na<|im_end|>\n", lambda t: f"<|im_start|>assistant\n{t}<|im_end|>\n"
+    assert found == {7: (1, user, made("b"), made("")), 8: (0, "", "", made("c")), 9: (0, "", "", "")}
+
+
+def test_turns_are_gathered_once(spark, tmp_path):
+    path = str(tmp_path / "turns")
+    spark.createDataFrame([(k // 3, k % 3, "assistant" if k % 2 else "user", f"t{k}") for k in range(30)], "conv_id long, turn long, role string, text string").write.parquet(path)
+    pairs = chat.format_pairs(chat.mismatched_pairs(chat.gather(spark.read.parquet(path))))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = pairs.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in plan and "Python" not in plan
