@@ -7,7 +7,7 @@ sequences spliced from segments of differently labelled texts, so that switching
 Forward-backward gives each word its marginal probabilities; a document takes the language with the highest mean.
 
 The fit takes a sample of every language, some ``per_lang`` documents of each by a hash of the id, and fewer (``LEAST``
-at least) where there are more than 64 languages; labelling is
+at least) where there are more than 64 languages or where they are longer than ``CHARS`` on average; labelling is
 vectorised over the documents of a batch and reads each text to its end.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing could be learned; rows are
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.quality import span_hashes
 from rankloom.llm.shared import KEY, hash_share, held_out
 
-PER_LANG, LEAST, SAMPLE, BITS = 120, 24, 64 * 120, 15
+PER_LANG, LEAST, SAMPLE, CHARS, BITS = 120, 24, 64 * 120, 8000, 15
 #: A letter of any script. The standard library's word characters hold numerals that are none.
 LETTER = regex.compile(r"\p{L}")
 #: Bytes of longer characters that are no letters, marks or numbers would join words: they become blanks.
@@ -177,14 +177,15 @@ def fit(texts: list[str], langs: list[str], bits: int = BITS, steps: int = 30, r
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on some ``per_lang`` documents of every language, or its share of ``SAMPLE``, without the held-out fold."""
+    """Fit on some ``per_lang`` documents of every language, or its share of ``SAMPLE``, without the held-out fold. What
+    the driver fits on is bounded in rows, and on average in characters; the rows that it draws are read whole."""
     doc_id = F.col(f"`{id_col}`").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
     if not counts:
         return fit([], [])
     each = min(per_lang, max(LEAST, SAMPLE // len(counts)))
-    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n)) for r in counts], "lang string, share double")
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n, each * CHARS / max(r.chars, 1))) for r in counts], "lang string, share double")
     sample = rows.join(F.broadcast(shares), "lang").where(hash_share(F.col("doc_id"), F.lit(7)) < F.col("share")).select("lang", "text").toPandas().sort_values(["lang", "text"])
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 

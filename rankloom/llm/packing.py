@@ -1,8 +1,8 @@
 """Packing of tokenised documents into windows of fixed capacity by minimum bin slack.
 
 Documents are tokenised once and cut into pieces of at most one window; full pieces are sequences of their own and
-are never moved. The remainders are dealt evenly into shards of some 4,096 by row number, whatever their lengths,
-and each shard is packed by itself: the longest remainder opens a window, a bitset subset-sum over the multiset of
+are never moved. The remainders are dealt evenly into shards of some 4,096 by a hash of the row number, whatever their
+lengths, and each shard is packed by itself: the longest remainder opens a window, a bitset subset-sum over the multiset of
 remaining lengths finds the filling closest to capacity, and backtracking gives its counts. The filling is repeated
 while the counts allow. Only where no filling is exact a piece is cut, so that at most the last window of a shard has
 padding.
@@ -13,7 +13,6 @@ id is null or repeats; further columns are ignored; an empty table gives no piec
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.shared import cut
-from rankloom.llm.units import UnitEncoder, in_slices
+from rankloom.llm.units import UnitEncoder, in_slices, threaded
 
 CAPACITY, END, SHARD = 1024, 0, 4096
 #: The space and the line feed as byte-level tokenizers write them in their tokens.
@@ -37,11 +36,15 @@ def encoder(tokenizer: str) -> UnitEncoder:
     """The encoder of a worker, from the tokenizer's definition in JSON."""
     from tokenizers import Tokenizer
 
-    os.environ.setdefault("RAYON_NUM_THREADS", "1")  # Spark has a task on each core already
     tok = Tokenizer.from_str(tokenizer)
     leads = np.zeros(tok.get_vocab_size(), dtype=bool)
     leads[[i for token, i in tok.get_vocab().items() if token[0] in (SPACE, FEED)]] = True
-    return UnitEncoder(lambda units: [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)], leads, most=700_000, parted=True)
+
+    def encode(units: list[str]) -> list[list[int]]:
+        threaded(False)  # Spark has a task on each core already
+        return [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)]
+
+    return UnitEncoder(encode, leads, most=700_000, parted=True)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
 
     packed = (
         cut_up.where(part)
-        .withColumn("shard", F.pmod("row", F.lit(shards)) if shards > 1 else F.lit(0).cast("long"))
+        .withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)) if shards > 1 else F.lit(0).cast("long"))
         .groupBy("shard")
         .applyInPandas(of, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
     )

@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding by the tokenizers library.
 
 The model file, a protobuf message, is read field by field; normaliser, space marker, scores or merges and byte
-fallback are rebuilt as a tokenizers pipeline and sent to the workers as JSON. Workers encode batches on several
-threads. Where the model allows it (no normaliser rules, no piece with the marker inside) texts are cut into units and
+fallback are rebuilt as a tokenizers pipeline and sent to the workers as JSON. Workers encode batches on two threads
+each, or as many as ``threads`` says: set it to the cores that ``spark.task.cpus`` gives a task. Where the model allows it (no normaliser rules, no piece with the marker inside) texts are cut into units and
 repeated units come from a cache. Parity is verified on the run: whatever is encoded is also encoded by the
 sentencepiece library and decoded again, and each document tells whether all of it agreed.
 
 Defined results: a null text gives null ids, n_tokens 0 and true checks; an empty text has no tokens; rows are encoded
-one by one; further columns are ignored.
+one by one; further columns are ignored. Texts of any length are encoded and decoded whole, in the memory of a few times
+their size.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.units import MARKER, UnitEncoder, in_slices, split_units
+from rankloom.llm.units import MARKER, UnitEncoder, in_slices, split_units, threaded
 
 #: Fixed values of the model format: kinds of model and of piece.
 UNIGRAM, BPE = 1, 2
@@ -125,8 +126,7 @@ class Codec:
     """Encoder, decoder and checker of a worker."""
 
     def __init__(self, pipeline: str, core: str, raw: bytes, cuttable: bool, prefix: bool, threads: int, verify: bool):
-        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ["RAYON_NUM_THREADS"] = str(threads)  # read when the first batch with threads comes; packing has none
         from tokenizers import Tokenizer
 
         self.whole, self.core, self.raw, self.bad = Tokenizer.from_str(pipeline), Tokenizer.from_str(core), raw, set()
@@ -136,7 +136,14 @@ class Codec:
             import sentencepiece
 
             self.other = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        encode: Callable = lambda tok: lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def encode(tok: Tokenizer) -> Callable[[list[str]], list[list[int]]]:
+            def ids(texts: list[str]) -> list[list[int]]:
+                threaded(threads > 1)
+                return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+            return ids
+
         self.units = None
         if cuttable and prefix:
             leads = np.zeros(self.core.get_vocab_size(), dtype=bool)

@@ -8,6 +8,7 @@ Byte-level tokenizers also part a single line feed and a mark after letters from
 
 from __future__ import annotations
 
+import os
 from array import array
 from collections.abc import Callable, Iterator
 from itertools import compress, count, islice
@@ -24,6 +25,12 @@ MARKER = "\u2581"
 LATIN = "\u0250"
 
 
+def threaded(on: bool) -> None:
+    """Whether the tokenizers library takes several threads for its next batches. Workers are shared by operators, so
+    that each says it before each batch."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if on else "false"
+
+
 def plain(part: str) -> bool:
     """Whether the text can be cut on both sides of this part."""
     return part != "" and part.strip() == part

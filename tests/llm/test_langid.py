@@ -107,3 +107,58 @@ def test_known_does_not_depend_on_the_number_of_languages(spark):
     even = langid.Model(names, np.zeros(((1 << 15) + 1, 5)), np.zeros(0, dtype=np.uint64), np.zeros((1, 5)), np.zeros(5), np.zeros((5, 5)))
     docs = spark.createDataFrame([(1, "some words"), (2, "12 --"), (3, None)], "doc_id long, text string")
     assert [r.doc_id for r in langid.keep_known(docs, even).collect()] == [1]
+
+
+def test_no_letters_is_und_whatever_the_numerals(spark, model):
+    texts = ["½ ² ①", "12 ?!", "①②③", "", None, "ⅷ 7", "_ — ’", "ka — ko"]
+    got = {k: (lang, score) for k, lang, score, _ in langid.label(texts, model)}
+    assert [got[k] for k in range(7)] == [("und", 0.0)] * 7 and got[7][0] == "aa"
+    *_, words = langid.word_features(["ka—ko", "ka ko", "“ka” ko", "ka\u00a0ko", "ção"])
+    assert words.tolist() == [2, 2, 2, 2, 1]
+
+
+def brute_label(text, model):
+    """Language and score by loops over words and their byte windows, in double precision."""
+    spaced = "".join(c if langid.LETTER.match(c) or ord(c) > 127 and not langid.OTHER.match(c) else " " for c in text.lower())
+    words = ["".join(w).encode() for w in spaced.split(" ") if w]
+    bits, size = len(model.weight).bit_length() - 1, len(model.langs)
+    ems = []
+    for w in words:
+        s, total = b" " + w + b" ", np.zeros(size)
+        for n in range(1, 5):
+            for at in range(len(s) - n + 1):
+                part = s[at : at + n]
+                if n == 1 and part == b" ":
+                    continue
+                x = ((int.from_bytes(part, "big") + (n - 1) * 0x3C6EF372) * 0x9E3779B1) % 2**32
+                x = ((x ^ (x >> 15)) * 0x85EBCA77) % 2**32
+                total += model.weight[x >> (32 - bits)]
+        hashes = langid.word_features([w.decode()])[2]
+        total += model.word_weight[model.lexicon_rows(hashes)[0]]
+        ems.append(np.exp(np.maximum(total - total.max(), -40)))
+    start, trans, n = np.exp(model.start), np.exp(model.trans), len(words)
+    ahead, back = [start * ems[0]], [np.ones(size)]
+    for t in range(1, n):
+        ahead.append((ahead[-1] / ahead[-1].sum()) @ trans * ems[t])
+        back.append(trans @ (back[-1] / back[-1].sum() * ems[n - t]))
+    marginals = [a * b / (a * b).sum() for a, b in zip(ahead, reversed(back))]
+    mean = np.mean(marginals, axis=0)
+    return model.langs[int(mean.argmax())], float(mean.max())
+
+
+def test_documents_are_labelled_as_by_loops(spark, model):
+    rng = np.random.default_rng(4)
+    texts = [sentence(lang, rng, n) for lang in SYLLABLES for n in (1, 2, 30)] + [sentence("aa", rng, 20) + ". " + sentence("bb", rng, 25), "Ção, ÉCOLE 12 ung!", "日本語 テスト ka"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    for k, text in enumerate(texts):
+        lang, score = brute_label(text, model)
+        assert got[k][0] == lang and got[k][1] == pytest.approx(score, abs=1e-4)
+
+
+def test_more_than_64_languages_are_all_learned(spark):
+    rng = np.random.default_rng(8)
+    letters = [a + b for a in "bcdfghjk" for b in "aeiouxyzw"][:70]
+    rows = [(k * 70 + j, " ".join(s * int(rng.integers(1, 3)) for _ in range(12)), f"l{j}") for k in range(30) for j, s in enumerate(letters)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 70

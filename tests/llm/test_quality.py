@@ -1,5 +1,8 @@
 """Quality classifier: features against brute force, the fit on plain cases, held-out accuracy and defined results."""
 
+import math
+import re
+
 import numpy as np
 import pytest
 
@@ -79,3 +82,36 @@ def test_keep_good_keeps_columns(made):
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns
     assert kept.count() == quality.classify(docs, model).where("predicted = 1").count()
+
+
+def brute_score(text, model):
+    """The score by loops over words: shapes as strings, polynomial hashes in whole numbers."""
+    top, odd = 2**64, 0x9E3779B97F4A7C15
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode()) if w]
+    poly = lambda values: sum((v + 1) * pow(odd, k, top) for k, v in enumerate(values)) % top
+    folded = [poly([c + 32 if 65 <= c <= 90 else c for c in w]) for w in words]
+    kinds = [[1 if 97 <= c <= 122 or c >= 128 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else c for c in w] for w in words]
+    shapes = [poly([c for k, c in enumerate(w) if k == 0 or w[k - 1] != c]) * 2 % top for w in kinds]
+    shapes = [(s + (k > 0 and folded[k] == folded[k - 1])) % top for k, s in enumerate(shapes)]
+    grams = set(folded) | {(a * odd + b + 11) % top for a, b in zip(folded, folded[1:])} | {(s * odd + 23) % top for s in shapes}
+    grams |= {((a * odd + b) * odd + 37) % top for a, b in zip(shapes, shapes[1:])}
+    grams |= {(((a * odd + b) * odd + c) * odd + 51) % top for a, b, c in zip(shapes, shapes[1:], shapes[2:])}
+    bits = len(model.weight).bit_length() - 1
+    idx = {((g ^ (g >> 29)) * 0xBF58476D1CE4E5B9 % top) >> (64 - bits) for g in grams}
+    norm = math.sqrt(sum(model.square[i] for i in idx))
+    margin = (sum(model.weight[i] for i in idx) / norm if norm else 0.0) + model.bias
+    return 1 / (1 + math.exp(-(model.a * margin + model.b)))
+
+
+def test_the_query_scores_as_loops_do(spark):
+    from rankloom.llm.shared import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = quality.train(docs, table(spark, "/root/testdata/sf0.001", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    short = [k for k, t in texts.items() if len(t or "") < 3000]
+    got = {r.doc_id: r for r in quality.classify(docs, model).collect()}
+    assert len(got) == len(texts) and len(short) > 100
+    for k in short:
+        want = brute_score(texts[k], model)
+        assert got[k].score == pytest.approx(want, abs=1e-4) and (abs(want - 0.7) < 1e-4 or got[k].predicted == int(want >= 0.7))
