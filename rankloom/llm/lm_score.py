@@ -10,6 +10,8 @@ Scoring deals the documents into pieces of some ``PIECE`` bytes and takes the di
 probabilities are joined from the model by n-gram and meet the texts again by piece, so that what a worker holds is
 bounded by its piece (or by one longer text), not by the corpus.
 
+Memory: a worker holds some tens of bytes for each character of a run of texts or of one longer text, however long.
+
 A document's score is its loss per token under the target less that under the background, in nats: below zero is
 nearer the target. Defined results: a null or empty text is the end symbol alone (one token); rows are scored one by
 one; without a target both models are the background's and every score is 0; further columns are ignored.
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from rankloom.llm.shared import cut
 
 ORDER, PRIOR, PIECE = 4, 4.0, 4_000_000
+#: The most ids that are broadcast: some 100 MB.
+BROADCAST_IDS = 5_000_000
 #: Symbols are code points, and after them the boundary and the unknown one. A context holds up to three in a long.
 EDGE, UNKNOWN, ALL, BITS = 0x110000, 0x110001, 0x110002, 21
 
@@ -252,6 +256,8 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
 
 
 def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The texts of documents that are marked good: all of them, by a sort-merge join, whatever the number of labels."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")
+    """The texts of documents that are marked good, all of them. Their ids go to the texts by broadcast where, counted,
+    they are at most ``BROADCAST_IDS``; more are joined by a sort-merge join, which shuffles the texts."""
+    good = cut(labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct(), "good-ids")
+    few = good.count() <= BROADCAST_IDS
+    return docs.select("doc_id", "text").join(F.broadcast(good) if few else good.hint("merge"), "doc_id", "left_semi")

@@ -16,6 +16,10 @@ WHITE = r"[\x20\x09-\x0D]"
 KEY = "_rankloom_row_key_"
 
 
+#: Run folders that are to be deleted when the driver's JVM ends.
+LEAVING: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -34,8 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession) -> str:
-    """Where this application's written tables are."""
-    return f"{shared_dir(spark)}/rankloom/{spark.sparkContext.applicationId}"
+    """Where this application's written tables are. The folder goes when the application ends, or before by ``clean``."""
+    path = f"{shared_dir(spark)}/rankloom/{spark.sparkContext.applicationId}"
+    if path not in LEAVING:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        LEAVING.add(path)
+    return path
 
 
 def clean(spark: SparkSession) -> None:

@@ -78,7 +78,16 @@ def test_every_script_has_its_own_symbols(spark):
 
 
 def test_more_symbols_than_numbers_of_ngrams_can_hold():
-    text = "".join(chr(c) for c in range(0x10000, 0x10000 + 60_000))
+    text = "".join(chr(c) for c in range(0x20000, 0x20000 + 60_000))  # none has another case, so that no two n-grams are equal
     parts = list(lm.numbered(*lm.tokens([text], 4, None)[:2], 4))
     assert len(parts) == 2 and sum(len(g) for _, g in parts) == 60_001
     assert sum(len(last) for _, last, _ in lm.distinct([text], 4, None)) == 60_001
+
+
+def test_good_ids_by_broadcast_or_by_merge(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(9)] + [(None, "n"), (3, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 1), (3, 1), (4, 0), (5, None), (None, 1)], "doc_id long, quality int")
+    want = [(1, "t1"), (3, "again"), (3, "t3")]
+    assert sorted(map(tuple, lm.labelled_good(docs, labels).collect())) == want
+    monkeypatch.setattr(lm, "BROADCAST_IDS", 1)
+    assert sorted(map(tuple, lm.labelled_good(docs, labels).collect())) == want

@@ -33,3 +33,13 @@ def test_row_key(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (2, None), (2, "")], "i long, t string")
     keys = [r.k for r in df.select(shared.row_key(F.col("i"), F.col("t")).alias("k")).collect()]
     assert len(set(keys)) == 4 and keys[3] == keys[4]
+
+
+def test_a_cluster_must_name_its_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
