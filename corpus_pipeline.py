@@ -28,7 +28,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal texts the longest spelling."""
-    return exact_dedup.keep_first(docs, exact_dedup.fresh_index(spark))
+    index = exact_dedup.fresh_index(spark)
+    kept = exact_dedup.keep_first(docs, index)
+    index.drop()  # what is kept is told by tables of its own
+    return kept
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
