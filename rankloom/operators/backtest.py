@@ -1,15 +1,21 @@
 """Monthly walk-forward back-test as one lazy plan: no loop over periods and none over tickers.
 
-On the dense panel (every ticker on every trading date, the last known close carried forward) a return over h
-observations is a lag, for all dates at once. Periods select their dates by a small broadcast table, picks are ranked
-within each period (tasks keep ten before the shuffle), and capital carried from period to period is a running product.
-The trading dates of the window, a few hundred, are the one thing that is fetched before the plan is made: they become
-a local table, so that the schedule costs no scan and the window's first date is a literal bound on the panel.
+A close holds from its trading date to the day before the ticker's next one. Those spans are made by one window over
+the closes; a period's returns look up the spans that cover its signal date and the dates a horizon before it, so that
+no grid of tickers and dates is made. Picks are ranked within each period (tasks keep ten before the shuffle), holdings
+are spread over their period's dates alone, and capital carried from period to period is a running product. The dates
+that the panel has, some 250 a year, are the one thing that is fetched before the plan is made: the schedule is worked
+out of them on the driver and goes into the plan as local tables, and the window's first date is a literal bound on the
+panel.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from calendar import monthrange
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,8 +118,11 @@ def carried_capital(growth: DataFrame, capital: float = INITIAL_CAPITAL) -> Data
 
 def strategy_curve(growth: DataFrame, capital: float = INITIAL_CAPITAL) -> DataFrame:
     """date, series and value; a date that ends one period and begins the next has the later period's value."""
-    rows = growth.join(F.broadcast(carried_capital(growth, capital).select("pid", "before")), "pid")
-    return rows.groupBy("date").agg(F.max_by(F.col("before") * F.col("growth"), "pid").alias("value")).select("date", F.lit("Strategy").alias("series"), "value")
+    order = Window.orderBy("pid", "date")  # one row for each trading date of the back-test
+    ends = growth.withColumn("_end", F.when(F.coalesce(F.lead("pid").over(order) != F.col("pid"), F.lit(True)), F.col("growth")).otherwise(1.0))
+    before = F.coalesce(F.product("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)) * capital
+    rows = ends.select("pid", "date", (before * F.col("growth")).alias("_value"))
+    return rows.groupBy("date").agg(F.max_by("_value", "pid").alias("value")).select("date", F.lit("Strategy").alias("series"), "value")
 
 
 def ledger(picks: DataFrame, periods: DataFrame, growth: DataFrame, names: DataFrame | None = None, capital: float = INITIAL_CAPITAL) -> DataFrame:
@@ -157,21 +166,95 @@ def benchmark_curves(curve: DataFrame, quotes: DataFrame, candidates: Mapping[st
     return filled.select("date", "series", (F.col("filled") / base * capital).alias("value"))
 
 
+@dataclass(frozen=True)
+class Period:
+    """A period's dates and their places (from 1) among the trading dates."""
+
+    pid: int
+    entry: date
+    exit: date
+    signal: date
+    entry_pos: int
+    exit_pos: int
+    signal_pos: int
+
+
+def add_months(day: date, months: int) -> date:
+    """The same day of another month, or that month's last day."""
+    year, month = divmod(day.year * 12 + day.month - 1 + months, 12)
+    return date(year, month + 1, min(day.day, monthrange(year, month + 1)[1]))
+
+
+def schedule(days: Sequence[date], months: int) -> list[Period]:
+    """``rebalance_schedule`` of sorted trading dates that the driver has."""
+    if not days:
+        return []
+    start = add_months(days[-1], -max(int(months), 1))
+    at = sorted({k for k in (bisect_left(days, add_months(start, k)) for k in range(max(int(months), 1) + 1)) if k < len(days)})
+    return [Period(k + 1, days[i], days[j], days[i - 1], i + 1, j + 1, i) for k, (i, j) in enumerate(zip(at, at[1:])) if i]
+
+
+def close_spans(panel: DataFrame, days: DataFrame, n_days: int) -> DataFrame:
+    """ticker, close, the places ``pos`` to ``until`` of the dates it holds, and the ticker's ``first`` place.
+
+    ``days`` (date, pos) numbers the trading dates and is small. One shuffle by ticker.
+    """
+    by_pos = Window.partitionBy("ticker").orderBy("pos")
+    known = panel.where("close IS NOT NULL").join(F.broadcast(days), "date").select("ticker", "pos", "close")
+    return known.select("ticker", "close", "pos", F.coalesce(F.lead("pos").over(by_pos) - 1, F.lit(n_days)).alias("until"), F.first("pos").over(by_pos).alias("first"))
+
+
+def score_spans(spans: DataFrame, periods: Sequence[Period], weights: Mapping[int, float] | None = None, gate: Sequence[int] = DEFAULT_GATE) -> DataFrame:
+    """What ``score_at_dates`` gives, from spans: each period asks for its signal date and one date for each horizon."""
+    weights = weights or DEFAULT_WEIGHTS
+    nobody = sum(weights.values()) <= 0 or any(h not in weights for h in gate)
+    asked = [] if nobody else [(p.pid, p.signal, p.signal_pos, h, p.signal_pos - h) for p in periods for h in (0, *weights) if p.signal_pos > max(weights)]
+    asked = spans.sparkSession.createDataFrame(asked, "pid int, signal date, signal_pos int, h int, at int")
+    met = spans.join(F.broadcast(asked), F.col("at").between(F.col("pos"), F.col("until")))  # periods by horizons
+    price = lambda h: F.max(F.when(F.col("h") == h, F.col("close")))
+    rows = met.where(F.col("signal_pos") - F.col("first") + 1 > max(weights)).groupBy("ticker", "pid", "signal").agg(*[price(h).alias(f"_p{h}") for h in (0, *weights)])
+    rows = rows.select("pid", "signal", "ticker", *[growth_pct(F.col("_p0"), F.col(f"_p{h}")).alias(f"ret_{h}") for h in weights])
+    passed = rows if nobody else rows.where(all_positive([f"ret_{h}" for h in gate]))
+    score = rounded(weighted(DEFAULT_WEIGHTS if nobody else weights, False)) if not nobody else F.lit(None).cast("double")
+    return passed.select("pid", "signal", "ticker", score.alias("score")).where("score IS NOT NULL")
+
+
+def span_growth(picks: DataFrame, periods: Sequence[Period], spans: DataFrame, days: DataFrame) -> DataFrame:
+    """What ``period_growth`` gives, from spans: only the spans of held tickers, over their period's dates."""
+    local = spans.sparkSession.createDataFrame([(p.pid, p.entry_pos, p.exit_pos) for p in periods], "pid int, entry_pos int, exit_pos int")
+    held = F.broadcast(picks.select("pid", "ticker", "weight").join(F.broadcast(local), "pid"))  # ten rows a period at most
+    met = spans.join(held, "ticker").where((F.col("pos") <= F.col("exit_pos")) & (F.col("until") >= F.col("entry_pos")))
+    held_on = met.select("pid", "ticker", "weight", "close", F.explode(F.sequence(F.greatest("pos", "entry_pos"), F.least("until", "exit_pos"))).alias("pos"))
+    base = F.first("close").over(Window.partitionBy("pid", "ticker").orderBy("pos"))
+    grown = held_on.withColumn("_base", base).where("_base <> 0").groupBy("pid", "pos").agg(F.sum(F.col("weight") * F.col("close") / F.col("_base")).alias("growth"))
+    return grown.where("growth > 0").join(F.broadcast(days), "pos").select("pid", "date", "growth")
+
+
 class WalkForward:
-    """The parts of a back-test over a panel of eligible tickers, each a lazy DataFrame."""
+    """The parts of a back-test over a panel of eligible tickers, each a lazy DataFrame. Making it reads the panel's
+    dates once; its dates and periods are local tables."""
 
     def __init__(self, panel: DataFrame, months: int = 6, capital: float = INITIAL_CAPITAL, weights: Mapping[int, float] | None = None, gate: Sequence[int] = DEFAULT_GATE):
         months = max(int(months), 1)
         spark = panel.sparkSession
-        last = panel.agg(F.add_months(F.max("date"), -(months + LEAD_MONTHS)).alias("bound")).first().bound
-        recent = panel.where(F.col("date") > F.lit(last)) if last else panel
-        days = sorted(r.date for r in calendar_of(recent).collect())  # at most the trading dates of the window
-        self.calendar = spark.createDataFrame([(d,) for d in days], "date date")
-        self.capital = capital
-        self.filled = carry_forward(recent, self.calendar)
-        self.periods = rebalance_schedule(self.calendar, months)
-        self.picks = picks_of(score_at_dates(self.filled, self.periods, weights, gate))
-        self.growth = period_growth(self.picks, self.periods, self.filled)
+        seen = panel.where("date IS NOT NULL").groupBy("date").agg(F.count("close").alias("n")).collect()  # a row for each date
+        bound = add_months(max(r.date for r in seen), -(months + LEAD_MONTHS)) if seen else None
+        days = sorted(r.date for r in seen if r.n and r.date > bound)
+        recent = panel.where(F.col("date") > F.lit(bound)) if bound else panel
+        schedule_ = schedule(days, months)
+        numbered = spark.createDataFrame([(d, k) for k, d in enumerate(days, 1)], "date date, pos int")
+        self.capital, self.recent = capital, recent
+        self.calendar = numbered.select("date")
+        self.periods = spark.createDataFrame([(p.pid, p.entry, p.exit, p.signal) for p in schedule_], "pid int, entry date, exit date, signal date")
+        spans = close_spans(recent, numbered, len(days))
+        self.scores = score_spans(spans, schedule_, weights, gate)
+        self.picks = picks_of(self.scores)
+        self.growth = span_growth(self.picks, schedule_, spans, numbered)
+
+    @property
+    def filled(self) -> DataFrame:
+        """The whole window, carried forward."""
+        return carry_forward(self.recent, self.calendar)
 
     def curve(self) -> DataFrame:
         return strategy_curve(self.growth, self.capital)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from rankloom.config import HORIZONS
 from rankloom.functions.numeric import growth_pct, rounded
 
+#: The most rows of a group to which Spark cuts before a shuffle.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 #: Fixed values of the status column.
 NO_HISTORY = "No price history from Yahoo Finance"
 NO_TICKER = "Ticker missing from Yahoo Finance response"
@@ -20,9 +22,12 @@ def trailing_returns(panel: DataFrame, horizons: Sequence[int] = HORIZONS) -> Da
 
     Missing closes are no observations. A task keeps the last max(h) + 1 observations of a ticker before the shuffle,
     so that neither long histories nor one ticker with very many rows reach a single task; all are counted apart, by
-    partial sums.
+    partial sums. Spark cuts so only up to a limit of the session, which is raised where it is lower.
     """
     deepest = max(horizons)
+    conf = panel.sparkSession.conf
+    if 0 <= int(conf.get(GROUP_LIMIT)) <= deepest:
+        conf.set(GROUP_LIMIT, str(deepest + 1))
     latest = Window.partitionBy("ticker").orderBy(F.desc("date"))
     recent = panel.where("close IS NOT NULL").select("ticker", "close", F.row_number().over(latest).alias("rn")).where(F.col("rn") <= deepest + 1)
     at = lambda k: F.max(F.when(F.col("rn") == k + 1, F.col("close")))

@@ -148,8 +148,7 @@ def nation_run(spark: SparkSession, sf_dir: str) -> bt.WalkForward:
 
 @query
 def score_at_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = supplier_run(spark, sf_dir)
-    return bt.score_at_dates(run.filled, run.periods)
+    return supplier_run(spark, sf_dir).scores
 
 
 @query

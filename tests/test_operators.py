@@ -267,12 +267,46 @@ def test_scaling_prices_keeps_growth(closes, c):
     assert a == pytest.approx(b, rel=1e-6, abs=1e-6)
 
 
+def test_spans_give_what_the_filled_grid_gives(spark):
+    """Scores and growth, with gaps and late tickers."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(14):
+        values = [float(x) for x in 50 + np.cumsum(rng.normal(0.3, 1.0, 420))]
+        closes = [None if rng.random() < 0.3 or d < 20 * k else round(max(v, 0.0), 2) for d, v in enumerate(values)]
+        rows += series(f"T{k}", closes)
+    run = bt.WalkForward(spark.createDataFrame(rows, PANEL), 4)
+    key = lambda rows: sorted((r.pid, r.signal, r.ticker, r.score) for r in rows.collect())
+    want = bt.score_at_dates(run.filled, run.periods)
+    assert key(run.scores) == key(want) and run.scores.count() > 10
+    grown = lambda df: {(r.pid, r.date): pytest.approx(r.growth) for r in df.collect()}
+    assert grown(run.growth) == grown(bt.period_growth(run.picks, run.periods, run.filled))
+    plain = bt.rebalance_schedule(run.calendar, 4)
+    assert sorted(map(tuple, plain.select("pid", "entry", "exit", "signal").collect())) == sorted(map(tuple, run.periods.collect()))
+    money = {r.pid: r.before for r in bt.carried_capital(run.growth).collect()}
+    want = {r.date: money[r.pid] * r.growth for r in sorted(run.growth.collect(), key=lambda r: r.pid)}
+    assert {r.date: r.value for r in run.curve().collect()} == {d: pytest.approx(v) for d, v in want.items()}
+
+
+def test_schedule_on_the_driver(spark):
+    for months in (1, 2, 3, 7):
+        got = [(p.entry, p.exit, p.signal) for p in bt.schedule(DATES, months)]
+        assert got == [(r.entry, r.exit, r.signal) for r in bt.rebalance_schedule(spark.createDataFrame([(d,) for d in DATES], "date date"), months).orderBy("pid").collect()]
+    assert bt.schedule([], 3) == []
+    days = [date(2023, 12, 31), date(2024, 2, 29), date(2024, 8, 30), date(2024, 1, 1)]
+    shown = spark.createDataFrame([(d, k) for d in days for k in (-14, -6, -1, 0, 1, 12)], "d date, k int").selectExpr("d", "k", "add_months(d, k) AS m").collect()
+    assert all(bt.add_months(r.d, r.k) == r.m for r in shown)
+
+
 def test_plans(spark):
     """Top rows without a full sort, history cut before the shuffle, and no Python in the price path."""
     panel = spark.createDataFrame(series("A", [1.0, 2.0]), PANEL)
     text = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    rets = trailing_returns(panel, (1,))
-    assert "WindowGroupLimit" in text(rets)
+    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    plan = text(trailing_returns(panel))  # the default horizons, 1260 observations deep
+    assert "WindowGroupLimit" in plan and "1261, Partial" in plan
     run = bt.WalkForward(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("ticker"), F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("close")))
     plan = text(run.curve())
     assert "Python" not in plan and "WindowGroupLimit" in plan and "ReadSchema: struct<l_suppkey:bigint,l_extendedprice:double,l_shipdate:timestamp_ntz>" in plan
