@@ -27,6 +27,7 @@ from rankloom.operators.momentum import all_positive, weighted
 from rankloom.operators.portfolio import NAMES, current_allocation, tier_weight
 from rankloom.operators.rank import keep_first, top_per
 from rankloom.operators.universe import SUFFIX
+from rankloom.sources.local import local_table
 
 #: Calendar months of prices before the first rebalance.
 LEAD_MONTHS = 9
@@ -154,7 +155,7 @@ def benchmark_curves(curve: DataFrame, quotes: DataFrame, candidates: Mapping[st
     ``quotes`` is (ticker, date, close). Dates are matched before filling: a quote on another date isn't carried.
     """
     spark = curve.sparkSession
-    wanted = spark.createDataFrame([(label, symbol.upper(), k) for label, symbols in candidates.items() for k, symbol in enumerate(symbols)], "series string, ticker string, priority int")
+    wanted = local_table(spark, [(label, symbol.upper(), k) for label, symbols in candidates.items() for k, symbol in enumerate(symbols)], "series string, ticker string, priority int")
     known = quotes.where("close IS NOT NULL")
     have = known.select(F.upper("ticker").alias("ticker")).distinct().join(F.broadcast(wanted), "ticker")
     chosen = have.groupBy("series").agg(F.min_by("ticker", "priority").alias("ticker"))
@@ -209,7 +210,7 @@ def score_spans(spans: DataFrame, periods: Sequence[Period], weights: Mapping[in
     weights = weights or DEFAULT_WEIGHTS
     nobody = sum(weights.values()) <= 0 or any(h not in weights for h in gate)
     asked = [] if nobody else [(p.pid, p.signal, p.signal_pos, h, p.signal_pos - h) for p in periods for h in (0, *weights) if p.signal_pos > max(weights)]
-    asked = spans.sparkSession.createDataFrame(asked, "pid int, signal date, signal_pos int, h int, at int")
+    asked = local_table(spans.sparkSession, asked, "pid int, signal date, signal_pos int, h int, at int")
     met = spans.join(F.broadcast(asked), F.col("at").between(F.col("pos"), F.col("until")))  # periods by horizons
     price = lambda h: F.max(F.when(F.col("h") == h, F.col("close")))
     rows = met.where(F.col("signal_pos") - F.col("first") + 1 > max(weights)).groupBy("ticker", "pid", "signal").agg(*[price(h).alias(f"_p{h}") for h in (0, *weights)])
@@ -221,7 +222,7 @@ def score_spans(spans: DataFrame, periods: Sequence[Period], weights: Mapping[in
 
 def span_growth(picks: DataFrame, periods: Sequence[Period], spans: DataFrame, days: DataFrame) -> DataFrame:
     """What ``period_growth`` gives, from spans: only the spans of held tickers, over their period's dates."""
-    local = spans.sparkSession.createDataFrame([(p.pid, p.entry_pos, p.exit_pos) for p in periods], "pid int, entry_pos int, exit_pos int")
+    local = local_table(spans.sparkSession, [(p.pid, p.entry_pos, p.exit_pos) for p in periods], "pid int, entry_pos int, exit_pos int")
     held = F.broadcast(picks.select("pid", "ticker", "weight").join(F.broadcast(local), "pid"))  # ten rows a period at most
     met = spans.join(held, "ticker").where((F.col("pos") <= F.col("exit_pos")) & (F.col("until") >= F.col("entry_pos")))
     held_on = met.select("pid", "ticker", "weight", "close", F.explode(F.sequence(F.greatest("pos", "entry_pos"), F.least("until", "exit_pos"))).alias("pos"))
@@ -242,10 +243,10 @@ class WalkForward:
         days = sorted(r.date for r in seen if r.n and r.date > bound)
         recent = panel.where(F.col("date") > F.lit(bound)) if bound else panel
         schedule_ = schedule(days, months)
-        numbered = spark.createDataFrame([(d, k) for k, d in enumerate(days, 1)], "date date, pos int")
+        numbered = local_table(spark, [(d, k) for k, d in enumerate(days, 1)], "date date, pos int")
         self.capital, self.recent = capital, recent
         self.calendar = numbered.select("date")
-        self.periods = spark.createDataFrame([(p.pid, p.entry, p.exit, p.signal) for p in schedule_], "pid int, entry date, exit date, signal date")
+        self.periods = local_table(spark, [(p.pid, p.entry, p.exit, p.signal) for p in schedule_], "pid int, entry date, exit date, signal date")
         spans = close_spans(recent, numbered, len(days))
         self.scores = score_spans(spans, schedule_, weights, gate)
         self.picks = picks_of(self.scores)

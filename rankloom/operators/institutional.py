@@ -38,7 +38,8 @@ def completed(saved: DataFrame | None, order: str = "scan_order") -> DataFrame |
     scan lacks what it must have, and all is to be scanned."""
     if saved is None or not set(REQUIRED) <= set(saved.columns):
         return None
-    last = keep_first(saved, ["ticker"], [F.desc(order)]) if order in saved.columns else saved.dropDuplicates(["ticker"])
+    nth = F.col(order) if order in saved.columns else F.monotonically_increasing_id()  # without an order, that of the rows
+    last = keep_first(saved.withColumn("_order", nth), ["ticker"], [F.desc("_order")]).drop("_order")
     return last.where(~F.startswith(F.coalesce("scan_notes", F.lit("")), F.lit(FETCH_FAILED)))
 
 

@@ -29,7 +29,7 @@ def score_momentum(returns: DataFrame, weights: Mapping[int, float] | None = Non
     weights = DEFAULT_WEIGHTS if weights is None else weights
     usable = {h: w for h, w in weights.items() if f"ret_{h}" in returns.columns}
     if sum(usable.values()) <= 0:
-        raise ValueError("Momentum weights must add to more than zero.")
+        raise ValueError("the weights of the horizons that there are must sum to more than zero")
     absent = [h for h in gate if f"ret_{h}" not in returns.columns]
     if absent:
         raise KeyError(f"no returns for the gate's horizons {absent}")

@@ -75,14 +75,11 @@ SELECT u.ticker, u.symbol, u.name, cmp, coalesce(data_points, 0) AS data_points,
        ret_5, ret_252
 FROM u LEFT JOIN rets ON rets.ticker = u.symbol
 """
-ORACLES["nulls_last_marketcap"] = """
-SELECT c_name AS ticker, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS market_cap_cr FROM customer WHERE c_name < 'Customer#000000100'
-ORDER BY market_cap_cr DESC NULLS LAST, ticker LIMIT 95
-"""
 ORACLES["nulls_last_marketcap_all"] = """
 SELECT c_name AS ticker, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS market_cap_cr FROM customer
 ORDER BY market_cap_cr DESC NULLS LAST, ticker
 """
+ORACLES["nulls_last_marketcap"] = ORACLES["nulls_last_marketcap_all"]
 
 
 def filled_sql(px: str) -> str:
@@ -248,12 +245,12 @@ ORACLES["fundamental_filter"] = f"SELECT * FROM ({STAND}) WHERE {PASSED.format(1
 
 
 def note(x: str, sign: str, bound: int, label: str) -> str:
-    return f"CASE WHEN {x} IS NULL THEN 'missing {label}' WHEN NOT ({x} {sign} {bound}) THEN '{label} ' || CAST(CAST({x} AS BIGINT) AS VARCHAR) || '.00 fails {sign} {bound}.00' END"
+    return f"CASE WHEN {x} IS NULL THEN 'missing {label}' WHEN NOT ({x} {sign} {bound}) THEN '{label} ' || printf('%.2f', CAST({x} AS DOUBLE)) || ' fails {sign} {bound}.00' END"
 
 
 CHANGE = "coalesce(nullif(abs(promoter_change_pct), 0), 9999)"
 ORACLES["fundamental_notes"] = f"""
-WITH s AS (SELECT * REPLACE (floor(market_cap_cr) AS market_cap_cr) FROM ({STAND}))
+WITH s AS ({STAND})
 SELECT ticker, coalesce({PASSED.format(1500, 10, 15, 5)}, false) AS fundamental_pass,
        CASE WHEN coalesce({PASSED.format(1500, 10, 15, 5)}, false) THEN 'passed' ELSE concat_ws('; ', {note("market_cap_cr", ">=", 1500, "market cap")},
          {note("quarterly_growth_pct", ">=", 10, "quarterly revenue growth")}, {note("annual_growth_pct", ">=", 15, "annual revenue growth")}, {note(CHANGE, "<=", 5, "promoter holding change")}) END AS fundamental_notes
@@ -309,17 +306,61 @@ WITH {SAVED.strip()}
 SELECT ticker, scan_notes, CAST(s_suppkey AS DOUBLE) AS market_cap_cr, CASE WHEN go = 1 THEN 0.5::DOUBLE END AS holding_change_pct, CAST(NULL AS VARCHAR) AS name FROM done
 UNION ALL SELECT ticker, 'ok', NULL, NULL, name FROM pend
 """
-ORACLES["unpivot_curve"] = f"SELECT date, replace(ticker, '.NS', '') AS series, close AS value FROM ({PX['nation']}) WHERE ticker IN ('N1.NS', 'N2.NS', 'N3.NS')"
 ORACLES["unpivot_curve_all"] = f"SELECT date, replace(ticker, '.NS', '') AS series, close AS value FROM ({PX['nation']})"
+ORACLES["unpivot_curve"] = ORACLES["unpivot_curve_all"]
 ORACLES["text_bool"] = "SELECT s_suppkey, s_suppkey % 8 < 3 AS passed FROM supplier"
 ORACLES["coerce_numeric"] = "SELECT p_partkey, CASE WHEN p_partkey % 4 > 1 THEN CAST(p_size AS DOUBLE) END AS change_pct FROM part"
 ORACLES["page_urls"] = "SELECT p_partkey, 'https://pages.example.com/company/' || replace(p_brand, '#', '%23') || '%26~%2A%20%2B' || p_size || '/consolidated/' AS page_url FROM part"
 ORACLES["latest_prices"] = f"SELECT ticker, max(date) AS date, max_by(close, date) AS close FROM ({PX['part']}) GROUP BY ticker"
 
+ORACLES["html_list_items"] = """
+SELECT 'S' || s_suppkey AS ticker, 'P/E 20;Market Cap ₹ ' || CAST(trunc(s_acctbal) AS BIGINT) || ' Cr.' AS items,
+       'quarters:Sales +=Dec 2023 ' || (100 + s_suppkey % 7) || '|Mar 2024 ' || (100 + s_suppkey % 31)
+       || ';profit-loss:Revenue +=Mar 2023 ' || (200 + s_suppkey % 11) || '|Mar 2024 ' || (200 + s_suppkey % 97) || '|TTM 9,999'
+       || ';shareholding:Promoters +=Dec 2023 ' || (50 + s_suppkey % 5) || '.10%|Mar 2024 ' || (50 + s_suppkey % 13) || '.35%' AS cells
+FROM supplier
+"""
+ORACLES["provider_prices"] = """
+SELECT 'N' || n_nationkey || '.NS' AS ticker, CAST(DATE '2023-01-01' + CAST(k AS INTEGER) AS DATE) AS date, 100.0::DOUBLE + (n_nationkey + 1) * k * 0.5::DOUBLE AS close
+FROM nation, range(60) r(k)
+"""
+ORACLES["wide_prices"] = f"""
+WITH px AS ({PX['nation']}), d AS (SELECT DISTINCT date FROM px), n AS (SELECT 'N' || k || '.NS' AS ticker FROM range(25) r(k))
+SELECT n.ticker, d.date, close FROM n, d LEFT JOIN px ON px.ticker = n.ticker AND px.date = d.date
+"""
+ORACLES["fetched_pages"] = """
+SELECT 'S' || s_suppkey AS ticker, 'https://pages.example.com/company/S' || s_suppkey || CASE WHEN s_suppkey % 5 = 0 THEN '/' ELSE '/consolidated/' END AS page_url,
+       CAST(NULL AS VARCHAR) AS error, s_suppkey + 1.5::DOUBLE AS market_cap_cr
+FROM supplier
+"""
+ORACLES["fetched_market_caps"] = f"""
+WITH s AS (SELECT 's' || s_suppkey || '.ns' AS symbol, CASE WHEN s_suppkey % 4 <> 0 AND CAST(s_suppkey AS VARCHAR) NOT LIKE '1%' THEN s_suppkey * 1e7::DOUBLE END AS market_cap FROM supplier)
+SELECT symbol, market_cap, {rnd("market_cap / 10000000.0::DOUBLE")} AS market_cap_cr FROM s
+"""
+ORACLES["universe_csv"] = """
+WITH raw AS (SELECT p_partkey, p_name AS name, upper(p_brand) || CASE WHEN p_partkey % 3 = 0 THEN '.NS' ELSE '' END AS ticker FROM part),
+first AS (SELECT ticker, min_by(name, p_partkey) AS name FROM raw GROUP BY ticker)
+SELECT ticker, name, CASE WHEN ticker LIKE '%.NS' THEN ticker ELSE ticker || '.NS' END AS symbol,
+       'https://pages.example.com/company/' || replace(ticker, '#', '%23') || '/consolidated/' AS page_url
+FROM first
+"""
+ORACLES["saved_and_exported"] = f"SELECT ticker, data_points, cmp, score, ret_5, ret_252 FROM ({ORACLES['momentum_score_nation']})"
+ORACLES["holdings_run"] = ORACLES["institutional_final"]
+ORACLES["full_run_final"] = ORACLES["final_list"]
+ORACLES["recovered_run"] = f"""
+WITH fl AS ({ORACLES["final_list"]}), {MOMENTUM}, best AS (SELECT ticker, score FROM m ORDER BY score DESC, ticker LIMIT 100)
+SELECT ticker, score FROM fl UNION ALL SELECT ticker, score FROM best WHERE NOT EXISTS (SELECT 1 FROM fl)
+"""
+GATED = f"WITH {returns_sql(PX['supplier'])} SELECT ticker FROM rets WHERE {GATE}"
+ORACLES["backtest_of_picks"] = f"""
+WITH {walk_sql("SELECT * FROM (" + PX["supplier"] + ") WHERE ticker IN (" + GATED + ")")} SELECT date, series, {rnd("value", 4)} AS value FROM curve
+"""
+
 #: The columns that are dates; results show them as ISO text.
 DATES = {
     ("date",): ("price_panel_supplier", "price_panel_nation", "price_panel_part", "price_panel_user", "forward_fill_panel", "period_growth", "walk_forward_curve", "walk_forward_curve_nation",
-                "benchmark_overlay", "first_available_benchmark", "normalized_curve", "buy_and_hold_curve", "unpivot_curve", "unpivot_curve_all", "latest_prices"),
+                "benchmark_overlay", "first_available_benchmark", "normalized_curve", "buy_and_hold_curve", "unpivot_curve", "unpivot_curve_all", "latest_prices",
+                "provider_prices", "wide_prices", "backtest_of_picks"),
     ("entry", "exit"): ("rebalance_schedule",),
     ("entry", "signal"): ("signal_date_asof",),
     ("signal",): ("score_at_dates",),

@@ -83,8 +83,21 @@ def no_fundamentals(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns(blank).where(F.lit(False))
 
 
+def screen_in_parts(candidates: DataFrame, pages: Pages, config: ScreeningConfig, store: Store, parts: int = 1, progress: Progress | None = None) -> DataFrame:
+    """The fundamental rules applied to the candidates, saved after each of ``parts`` parts (dealt by a hash of the
+    ticker), so that a run that stops leaves what it fetched for ``recover``."""
+    name, saved = "fundamentals_partial", None
+    dealt = candidates.withColumn("_part", F.pmod(F.xxhash64("ticker"), F.lit(parts)))
+    for k in range(parts):
+        some = dealt.where(F.col("_part") == k).drop("_part")
+        judged = screen_fundamentals(some, pages(some), config.thresholds)
+        saved = store.save(name, judged) if saved is None else store.append(name, judged)
+        _tell(progress, k + 1, parts, "fundamentals fetched")
+    return saved
+
+
 def run_fundamentals(
-    momentum: DataFrame, panel: Prices, pages: Pages | None, config: ScreeningConfig, store: Store, quotes: DataFrame | None = None, progress: Progress | None = None
+    momentum: DataFrame, panel: Prices, pages: Pages | None, config: ScreeningConfig, store: Store, quotes: DataFrame | None = None, progress: Progress | None = None, parts: int = 1
 ) -> Bundle:
     """The best of the momentum list through the fundamental rules, the final list, and the back-test of all that pass.
 
@@ -92,7 +105,7 @@ def run_fundamentals(
     """
     candidates = top_n(momentum, _best_first(), config.top_momentum)
     if pages is not None:
-        fundamentals = store.save("fundamentals", screen_fundamentals(candidates, pages(candidates), config.thresholds))
+        fundamentals = store.save("fundamentals", screen_in_parts(candidates, pages, config, store, parts))
         passed = fundamentals.where("fundamental_pass")
     else:
         fundamentals = store.save("fundamentals", no_fundamentals(candidates))
@@ -121,9 +134,9 @@ def run_fundamentals(
     return bundle
 
 
-def run_full(universe: DataFrame | None, panel: Prices, pages: Pages | None, config: ScreeningConfig, store: Store, quotes: DataFrame | None = None, use_saved_returns: bool = False, progress: Progress | None = None) -> Bundle:
+def run_full(universe: DataFrame | None, panel: Prices, pages: Pages | None, config: ScreeningConfig, store: Store, quotes: DataFrame | None = None, use_saved_returns: bool = False, progress: Progress | None = None, parts: int = 1) -> Bundle:
     momentum = run_momentum(universe, panel, config, store, use_saved_returns, progress)
-    return run_fundamentals(momentum, panel, pages, config, store, quotes, progress)
+    return run_fundamentals(momentum, panel, pages, config, store, quotes, progress, parts)
 
 
 def scan(universe: DataFrame, pages: Pages, holder: str, store: Store, progress: Progress | None = None, parts: int = 1) -> DataFrame:
@@ -158,17 +171,17 @@ def finish_holdings(all_scan: DataFrame, prices: Prices, holder: str, config: Sc
         momentum = store.save(f"{prefix}_momentum", score_momentum(returns, config.weights, config.gate))
         best = top_n(momentum, _best_first(), final)
     except Exception as error:  # noqa: BLE001  the scan's tables must survive a price source that fails
-        row = [(f"Yahoo Finance price scoring failed after {holder.upper()} scan: {error}",)]
+        row = [(f"{holder.upper()} scan saved, but its prices can't be had: {error}",)]
         momentum = store.save(f"{prefix}_momentum", all_scan.sparkSession.createDataFrame(row, "momentum_error string"))
         best = momentum.where(F.lit(False))
     return {f"{prefix}_all": everything, f"{prefix}_top": rising, f"{prefix}_momentum": momentum, f"{prefix}_final": store.save(f"{prefix}_final", best)}
 
 
 def run_holdings(
-    universe: DataFrame, pages: Pages, prices: Prices, holder: str, config: ScreeningConfig, store: Store, market_caps: DataFrame | None = None, top: int = 50, final: int = 3, progress: Progress | None = None
+    universe: DataFrame, pages: Pages, prices: Prices, holder: str, config: ScreeningConfig, store: Store, market_caps: DataFrame | None = None, top: int = 50, final: int = 3, progress: Progress | None = None, parts: int = 1
 ) -> dict[str, DataFrame]:
     """Scan, market caps from ``market_caps`` (symbol, market_cap) if the scan has none at all, and the screen."""
-    found = scan(universe, pages, holder, store, progress)
+    found = scan(universe, pages, holder, store, progress, parts)
     if market_caps is not None and not found.where("market_cap_cr IS NOT NULL").take(1):
         found = store.save(f"{holder.lower()}_marketcap_partial", inst.enrich_market_cap(found, market_caps))
     return finish_holdings(found, prices, holder, config, store, top, final)

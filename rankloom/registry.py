@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom import oracles
-from rankloom.config import DEFAULT_GATE, DEFAULT_WEIGHTS, FundamentalThresholds
+from rankloom.config import DEFAULT_GATE, DEFAULT_WEIGHTS, FundamentalThresholds, ScreeningConfig
 from rankloom.functions import holdings
 from rankloom.functions import numeric as num
 from rankloom.operators import backtest as bt
@@ -18,8 +19,11 @@ from rankloom.operators import performance as perf
 from rankloom.operators import portfolio, rank, universe
 from rankloom.operators.momentum import all_positive, score_momentum, weighted
 from rankloom.operators.returns import trailing_returns, universe_returns
-from rankloom.sources import pages, prices
+from rankloom.plans import recovery, screen
+from rankloom.sources import market_caps, pages, prices, store
 from rankloom.sources import tables as t
+from rankloom.sources import universe_csv as universe_csv_source
+from rankloom.sources.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,7 +117,7 @@ def topn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def nulls_last_marketcap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.table(spark, sf_dir, "customer").select(F.col("c_name").alias("ticker"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("market_cap_cr"))
-    return rank.top_n(rows.where("ticker < 'Customer#000000100'"), rank.nulls_last("market_cap_cr", "ticker"), 95)
+    return rows.orderBy(*rank.nulls_last("market_cap_cr", "ticker"))
 
 
 @query
@@ -287,8 +291,7 @@ def fundamental_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fundamental_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = stand_ins(spark, sf_dir).withColumn("market_cap_cr", F.floor("market_cap_cr").cast("double"))
-    return fund.apply_rules(whole).select("ticker", "fundamental_pass", "fundamental_notes")
+    return fund.apply_rules(stand_ins(spark, sf_dir)).select("ticker", "fundamental_pass", "fundamental_notes")
 
 
 LENIENT = FundamentalThresholds(1000.0, 5.0, 10.0, 5.0)
@@ -371,10 +374,11 @@ def resume_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unpivot_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["N1.NS", "N2.NS", "N3.NS"]
-    curves = t.nation_panel(spark, sf_dir).where(F.col("ticker").isin(names)).select("date", F.col("ticker").alias("series"), F.col("close").alias("value"))
-    plain = perf.wide(curves, names).toDF("date", "N1", "N2", "N3")
-    return perf.long(plain, ["N1", "N2", "N3"])
+    """The series of all nations under their symbols, made wide and melted."""
+    names = [f"N{k}.NS" for k in range(25)]
+    curves = t.nation_panel(spark, sf_dir).select("date", F.col("ticker").alias("series"), F.col("close").alias("value"))
+    plain = perf.wide(curves, names).toDF("date", *[n.removesuffix(".NS") for n in names])
+    return perf.long(plain, [n.removesuffix(".NS") for n in names])
 
 
 @query
@@ -417,6 +421,138 @@ def latest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the page parser finds in the raw pages, which have neither ratio lists nor tables."""
-    found = pages.parse_pages(t.table(spark, sf_dir, "pages").select("page_id", "html"))
-    return found.select("page_id", F.size("items").cast("long").alias("n_items"), F.size("rows").cast("long").alias("n_rows"))
+    """Texts of the ratio list and the rows of the tables, out of the HTML of every supplier's page."""
+    found = pages.parse_pages(t.supplier_pages(spark, sf_dir))
+    cells = F.array_join(F.transform("rows", lambda r: F.concat(r["section"], F.lit(":"), r["label"], F.lit("="), F.array_join(F.transform(r["cells"], lambda c: F.concat_ws(" ", c["period"], c["raw"])), "|"))), ";")
+    return found.select("ticker", F.array_join("items", ";").alias("items"), cells.alias("cells"))
+
+
+def provider(tickers: list[str], span: str):
+    """Sixty days of made-up closes, whatever the span."""
+    for ticker in tickers:
+        step = int(ticker[1:].split(".")[0]) + 1
+        for k in range(60):
+            yield ticker, date(2023, 1, 1) + timedelta(days=k), 100.0 + step * k * 0.5
+
+
+@query
+def provider_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of all nations asked for in batches of ten, each a partition of the data source."""
+    spark.dataSource.register(prices.price_source(provider, "screening_prices"))
+    symbols = t.table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".ns")).alias("s"))
+    names = ",".join(sorted(r.s for r in symbols.collect()))
+    return prices.long_panel(spark.read.format("screening_prices").option("tickers", names).option("batch", "10").option("span", "15mo").load())
+
+
+@query
+def wide_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column for each nation and back: every symbol has a row for every date, with or without a close."""
+    names = [f"N{k}.NS" for k in range(25)]
+    curves = t.nation_panel(spark, sf_dir).select("date", F.col("ticker").alias("series"), F.col("close").alias("value"))
+    return prices.from_wide(perf.wide(curves, names))
+
+
+def page_client():
+    """A site whose consolidated pages are missing for each fifth company."""
+
+    def get(url: str) -> tuple[int, str]:
+        key = int(url.split("/company/S")[1].split("/")[0])
+        if key % 5 == 0 and url.endswith(pages.CONSOLIDATED):
+            return 404, ""
+        return 200, f'<ul id="top-ratios"><li>Market Cap {key + 1}.50 Cr.</li></ul>'
+
+    return get
+
+
+@query
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticker = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
+    wanted = t.table(spark, sf_dir, "supplier").select(ticker.alias("ticker"), universe.page_url(ticker).alias("page_url"))
+    found = pages.parse_pages(pages.fetch_pages(wanted, page_client, pause=0.0))
+    return found.select("ticker", "page_url", "error", fund.market_cap(F.col("items")).alias("market_cap_cr"))
+
+
+def cap_client():
+    return lambda symbols: {s: float(s[1:].split(".")[0]) * 1e7 if int(s[1:].split(".")[0]) % 4 else 0 for s in symbols if not s.startswith("S1")}
+
+
+@query
+def fetched_market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider that leaves symbols out and knows others as zero."""
+    rows = t.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".ns")).alias("symbol"))
+    return inst.enrich_market_cap(rows, market_caps.fetch_market_caps(rows, cap_client))
+
+
+@query
+def universe_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ticker file written and read, the first of equal tickers by its place in the file."""
+    key = F.col("p_partkey")
+    ticker = F.concat(F.lower("p_brand"), F.when(key % 3 == 0, ".ns").otherwise(""))
+    folder = f"{scratch_dir(spark, 'universe')}/ticker.csv"
+    t.table(spark, sf_dir, "part").coalesce(1).sortWithinPartitions("p_partkey").select(ticker.alias("Ticker"), F.col("p_name").alias("Name")).write.option("header", True).csv(folder)
+    return universe_csv_source.read_universe(spark, folder).select("ticker", "name", "symbol", "page_url")
+
+
+@query
+def saved_and_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The momentum list saved, saved again, exported and read from the file, under internal names and types."""
+    saved = store.Store(spark, scratch_dir(spark, "store"))
+    ranked = score_momentum(trailing_returns(t.nation_panel(spark, sf_dir)))
+    saved.save("momentum", ranked.limit(1))
+    saved.export_csv("momentum", saved.save("momentum", ranked))
+    assert saved.newest(["returns", "momentum"]) == "momentum"
+    return saved.load_csv("momentum", "ticker string, data_points long, cmp double, score double, ret_5 double, ret_252 double")
+
+
+def user_pages(spark: SparkSession, sf_dir: str):
+    """Parsed pages of the users that have one, for whatever table asks."""
+    cap = F.array(F.concat(F.lit("Market Cap ₹ "), (F.crc32(F.col("ticker").cast("binary")) % 9000).cast("string"), F.lit(" Cr.")))
+    found = t.weekly_holdings(spark, sf_dir).where("NOT endswith(ticker, '5')").select("ticker", F.concat(F.lit("https://pages.example.com/company/"), "ticker", F.lit("/")).alias("page_url"), F.lit(None).cast("string").alias("error"), cap.alias("items"), F.array(F.lit("shareholding")).alias("sections"), "rows")
+    return lambda wanted: found.join(wanted.select("ticker"), "ticker", "left_semi")
+
+
+@query
+def holdings_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole holding screen in two saved parts, and made anew from what it saved."""
+    users = t.table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id").distinct()
+    rows = users.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"))
+    rows = rows.withColumns({"symbol": F.concat("ticker", F.lit(".NS")), "page_url": universe.page_url(F.col("ticker"))})
+    saved, config = store.Store(spark, scratch_dir(spark, "holdings")), ScreeningConfig(gate=(5,))
+    panel = t.user_panel(spark, sf_dir)
+    quoted = lambda some: panel.join(some.select(F.upper("symbol").alias("ticker")).distinct(), "ticker", "left_semi")
+    screen.run_holdings(rows, user_pages(spark, sf_dir), quoted, "FII", config, saved, top=500, parts=2)
+    return recovery.recover_holdings(saved, "FII", quoted, config, top=500)["fii_final"].select("ticker", "score", "holding_change_pct")
+
+
+def full_run(spark: SparkSession, sf_dir: str) -> tuple[screen.Bundle, store.Store, ScreeningConfig]:
+    saved, config = store.Store(spark, scratch_dir(spark, "run")), ScreeningConfig(thresholds=LENIENT)
+    panel, site = t.supplier_panel(spark, sf_dir), pages.parse_pages(t.supplier_pages(spark, sf_dir))
+    quoted = lambda rows: panel.join(rows.select(F.upper("symbol").alias("ticker")).distinct(), "ticker", "left_semi")
+    found = lambda rows: site.join(rows.select("ticker"), "ticker", "left_semi")
+    return screen.run_full(t.supplier_universe(spark, sf_dir), quoted, found, config, saved, parts=2), saved, config
+
+
+@query
+def full_run_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices, momentum, fundamentals, final list and back-test in one run; the final list as it was saved."""
+    run, *_ = full_run(spark, sf_dir)
+    return run.final.select("ticker", "score", "fundamental_notes", *fund.METRICS)
+
+
+@query
+def recovered_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that stopped after its fundamentals were fetched: the final list is what passes of the saved parts, or the
+    best by momentum where nothing does."""
+    saved, config = store.Store(spark, scratch_dir(spark, "recovered")), ScreeningConfig(thresholds=LENIENT)
+    panel, site = t.supplier_panel(spark, sf_dir), pages.parse_pages(t.supplier_pages(spark, sf_dir))
+    momentum = screen.run_momentum(t.supplier_universe(spark, sf_dir), lambda rows: panel, config, saved)
+    best = rank.top_n(momentum, [F.desc("score"), F.asc("ticker")], config.top_momentum)
+    screen.screen_in_parts(best, lambda rows: site.join(rows.select("ticker"), "ticker", "left_semi"), config, saved, parts=2)
+    return recovery.recover(saved, config)["final"].select("ticker", "score")
+
+
+@query
+def backtest_of_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk-forward curve of the symbols that pass the momentum gate today."""
+    curve, _ = bt.backtest_top10(supplier_momentum(spark, sf_dir), t.supplier_panel(spark, sf_dir))
+    return settled(curve, "value")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rankloom.config import HORIZON_NAMES
 
@@ -39,7 +41,9 @@ def for_export(rows: DataFrame, holder: str | None = None, names: Mapping[str, s
 
 
 class Store:
-    """Tables under one folder. Writing overwrites, so that no stale table outlives a run that left it empty."""
+    """Tables under one folder, each in versions. A version counts once it is written whole, and the last one is the
+    table: a run that stops at any point leaves the one before. Writing replaces, also with no rows, so that no stale
+    table outlives a run that left it empty."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -47,49 +51,84 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def path(self, name: str) -> str:
+    def _base(self, name: str) -> str:
         if name not in TABLES:
             raise KeyError(f"no such table: {name}")
-        return f"{self.folder}/{name}.parquet"
+        return f"{self.folder}/{name}"
+
+    def _versions(self, name: str) -> list[int]:
+        """The numbers of all versions that were begun."""
+        base = self._path(self._base(name))
+        found = [s.getPath().getName() for s in self._fs.listStatus(base)] if self._fs.exists(base) else []
+        return sorted(int(f.removeprefix("v")) for f in found if f.startswith("v") and f[1:].isdigit())
+
+    def _whole(self, name: str, version: int) -> bool:
+        return self._fs.exists(self._path(f"{self._base(name)}/v{version:06d}/_SUCCESS"))
+
+    def path(self, name: str) -> str | None:
+        """The folder of the last whole version."""
+        whole = [v for v in self._versions(name) if self._whole(name, v)]
+        return f"{self._base(name)}/v{whole[-1]:06d}" if whole else None
 
     def exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(f"{self.path(name)}/_SUCCESS"))
+        return self.path(name) is not None
 
     def save(self, name: str, rows: DataFrame) -> DataFrame:
-        """Write under a name of its own, then swap: the rows may come from the table that they replace."""
-        path, fresh = self.path(name), f"{self.folder}/_{name}.new"
-        rows.write.mode("overwrite").parquet(fresh)
-        self._fs.delete(self._path(path), True)
-        self._fs.rename(self._path(fresh), self._path(path))
+        """Write the next version, and then delete those before it. The rows may come from the table they replace."""
+        old = self._versions(name)
+        path = f"{self._base(name)}/v{(old[-1] if old else 0) + 1:06d}"
+        rows.write.parquet(path)
+        for v in old:
+            self._fs.delete(self._path(f"{self._base(name)}/v{v:06d}"), True)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("append").parquet(self.path(name))
-        return self.spark.read.option("mergeSchema", True).parquet(self.path(name))
+        path = self.path(name)
+        if path is None:
+            return self.save(name, rows)
+        rows.write.mode("append").parquet(path)
+        return self.require(name)
 
     def load(self, name: str) -> DataFrame | None:
         """The table, or None where it was never written or has no rows."""
-        if not self.exists(name):
-            return None
-        rows = self.spark.read.option("mergeSchema", True).parquet(self.path(name))
-        return rows if rows.take(1) else None
+        rows = self.require(name) if self.exists(name) else None
+        return rows if rows is not None and rows.take(1) else None
+
+    def load_or_empty(self, name: str, schema: str) -> DataFrame:
+        """The table, or one of this schema without rows where it was never written."""
+        return self.require(name) if self.exists(name) else self.spark.createDataFrame([], schema)
 
     def require(self, name: str) -> DataFrame:
-        if not self.exists(name):
+        path = self.path(name)
+        if path is None:
             raise FileNotFoundError(f"nothing saved as {name} in {self.folder}")
-        return self.spark.read.option("mergeSchema", True).parquet(self.path(name))
+        return self.spark.read.option("mergeSchema", True).parquet(path)
 
     def newest(self, names: Sequence[str]) -> str | None:
         """Which of the tables was written last."""
         found = [(self._fs.getFileStatus(self._path(f"{self.path(n)}/_SUCCESS")).getModificationTime(), n) for n in names if self.exists(n)]
         return max(found, key=lambda x: x[0])[1] if found else None
 
+    def csv_path(self, name: str) -> str:
+        return f"{self.folder}/{name}.csv"
+
     def export_csv(self, name: str, rows: DataFrame, holder: str | None = None) -> str:
         """One CSV file with a header, for bounded results."""
-        folder, target = f"{self.folder}/_{name}.csv", f"{self.folder}/{name}.csv"
+        folder, target = f"{self.folder}/_{name}.csv", self.csv_path(name)
         for_export(rows, holder).coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
         part = next(s.getPath() for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-"))
         self._fs.delete(self._path(target), False)
         self._fs.rename(part, self._path(target))
         self._fs.delete(self._path(folder), True)
         return target
+
+    def load_csv(self, name: str, schema: str, holder: str | None = None) -> DataFrame:
+        """An exported file under internal names, with the columns and types of ``schema``; columns that it lacks are
+        null, and without the file there are no rows."""
+        fields = StructType.fromDDL(schema)
+        if not self._fs.exists(self._path(self.csv_path(name))):
+            return self.spark.createDataFrame([], fields)
+        raw = self.spark.read.option("header", True).csv(self.csv_path(name))
+        known = {**EXPORT_NAMES, **({k: v.format(holder.upper()) for k, v in HOLDER_NAMES.items()} if holder else {})}
+        found = {f.name: next((c for c in (known.get(f.name, f.name), f.name) if c in raw.columns), None) for f in fields}
+        return raw.select(*[(F.col(f"`{found[f.name]}`").try_cast(f.dataType) if found[f.name] else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
