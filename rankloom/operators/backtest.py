@@ -198,10 +198,12 @@ def schedule(days: Sequence[date], months: int) -> list[Period]:
 def close_spans(panel: DataFrame, days: DataFrame, n_days: int) -> DataFrame:
     """ticker, close, the places ``pos`` to ``until`` of the dates it holds, and the ticker's ``first`` place.
 
-    ``days`` (date, pos) numbers the trading dates and is small. One shuffle by ticker.
+    ``days`` (date, pos) numbers the trading dates and is small. One shuffle by ticker. A price without a ticker is
+    nobody's; that it is left out here, and not by the joins on top, keeps the shuffle alike wherever spans are used, so
+    that Spark runs it once.
     """
     by_pos = Window.partitionBy("ticker").orderBy("pos")
-    known = panel.where("close IS NOT NULL").join(F.broadcast(days), "date").select("ticker", "pos", "close")
+    known = panel.where("close IS NOT NULL AND ticker IS NOT NULL").join(F.broadcast(days), "date").select("ticker", "pos", "close")
     return known.select("ticker", "close", "pos", F.coalesce(F.lead("pos").over(by_pos) - 1, F.lit(n_days)).alias("until"), F.first("pos").over(by_pos).alias("first"))
 
 

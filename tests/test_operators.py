@@ -311,3 +311,13 @@ def test_plans(spark):
     plan = text(run.curve())
     assert "Python" not in plan and "WindowGroupLimit" in plan and "ReadSchema: struct<l_suppkey:bigint,l_extendedprice:double,l_shipdate:timestamp_ntz>" in plan
     assert "TakeOrderedAndProject" in text(inst.shortlist(spark.createDataFrame([("a", 1.0)], "ticker string, holding_change_pct double"), 3))
+
+
+def test_spans_are_shuffled_once(spark):
+    """Scores and growth read one shuffle of the panel; prices without a ticker count for nobody."""
+    rows = series("A", [100.0 * 1.01**j for j in range(420)])
+    curve = bt.WalkForward(spark.createDataFrame(rows, PANEL), 2, weights={5: 1.0}, gate=(5,)).curve()
+    want = sorted(map(tuple, curve.collect()))
+    nameless = [(None, d, 1.0 + k * k) for k, (_, d, _) in enumerate(rows)]
+    assert want == sorted(map(tuple, bt.WalkForward(spark.createDataFrame(rows + nameless, PANEL), 2, weights={5: 1.0}, gate=(5,)).curve().collect()))
+    assert curve._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
