@@ -16,6 +16,7 @@ from rankloom.operators import institutional as inst
 from rankloom.operators import performance, portfolio, universe
 from rankloom.operators.momentum import score_momentum
 from rankloom.operators.returns import NO_HISTORY, NO_TICKER, trailing_returns, universe_returns
+from rankloom.sources.tables import supplier_panel
 
 PANEL = "ticker string, date date, close double"
 DAY = date(2024, 1, 1)
@@ -320,4 +321,8 @@ def test_spans_are_shuffled_once(spark):
     want = sorted(map(tuple, curve.collect()))
     nameless = [(None, d, 1.0 + k * k) for k, (_, d, _) in enumerate(rows)]
     assert want == sorted(map(tuple, bt.WalkForward(spark.createDataFrame(rows + nameless, PANEL), 2, weights={5: 1.0}, gate=(5,)).curve().collect()))
-    assert curve._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+    grouped = supplier_panel(spark, "/root/testdata/sf0.001")
+    curve = bt.WalkForward(grouped).curve()
+    curve.collect()  # adaptive execution reuses as it runs
+    final = curve._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Scan parquet") == 1 and final.count("ReusedExchange") == 1
