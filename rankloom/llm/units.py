@@ -11,10 +11,11 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import compress, count, islice
-from operator import not_
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 Encode = Callable[[list[str]], list[list[int]]]
 
@@ -41,20 +42,23 @@ def led(unit: str) -> str:
     return unit if unit[0] == "\n" else " " + unit
 
 
-def split_units(text: str) -> tuple[str, list[str]]:
-    """The first unit, and the others without the space that leads them."""
+def split_units(text: str, parted: bool = False) -> tuple[str, list[str]]:
+    """The first unit, and the others without the space that leads them. With ``parted`` a single line feed begins a unit too."""
     if MARKER in text:
         return text, []
-    parts = text.split(" ")
-    units = [parts[0]]
+    parts = (text.replace("\n", " \n") if parted else text).split(" ")
+    units: list[list[str]] = [[parts[0]]]
     sound = parts[0] != "" and not parts[0][-1].isspace()
     for p in parts[1:]:
-        if sound and p and not p[0].isspace():
-            units.append(p)
+        fed = parted and p[:1] == "\n"  # the space before it is not the text's
+        body = p[1:] if fed else p
+        if sound and body and not body[0].isspace():
+            units.append([p])
         else:
-            units[-1] += " " + p
+            units[-1].append(p if fed else " " + p)
         sound = p != "" and not p[-1].isspace()
-    return units[0], units[1:]
+    first, *rest = map("".join, units)
+    return first, rest
 
 
 class UnitEncoder:
@@ -100,8 +104,10 @@ class UnitEncoder:
                 del rest[u]
             rest.update((u[:-1], None) for u in tailed if u[:-1] not in self.known)
             units = list(rest)
-        joined, alone = [u for u in units if " " not in u], [u for u in units if " " in u]
-        found = self._apart(joined) + self._alone([" " + u for u in alone])
+        alone = [u for u in units if " " in u or (self.parted and "\n" in u[1:])]
+        apart = set(alone)
+        joined = [u for u in units if u not in apart] if alone else units
+        found = self._apart(joined) + self._alone(list(map(led, alone)))
         if self.verify and units:
             self.verify([" " + u for u in joined + alone], found)
         learned = dict(zip(joined + alone, found))
@@ -134,28 +140,54 @@ class UnitEncoder:
             self.heads.pop(self.head + u[1:], None)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        rows, firsts, gaps = [], [], []
-        missing: dict[str, None] = {}  # units that can stand anywhere
-        rough: dict[str, None] = {}  # units with white space in or beside them, which hold for their text alone
-        for text in texts:
-            rest = (text.replace("\n", " \n") if self.parted else text).split(" ")
-            first = rest.pop(0)
-            found = list(map(self.known.get, rest))
-            gap = [(j, rest[j]) for j in compress(count(), map(not_, found))]
-            new = [u for _, u in gap if u not in missing]
-            if (rest and not plain(first)) or not all(plain(u[1:] if self.parted and u[:1] == "\n" else u) for u in new) or MARKER in text:
-                first, rest = split_units(text)
-                found = [None] * len(rest)
-                gap = list(enumerate(rest))
-                rough.update(dict.fromkeys(rest))
-            else:
-                missing.update(dict.fromkeys(new))
-            gaps.append(gap)
-            firsts.append(first)
-            rows.append(found)
+        """Each distinct unit of all the texts is looked up once; Arrow parts the texts and puts the ids in place."""
+        parts = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts] if self.parted else texts, pa.large_string()), " ")
+        bounds, coded = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+        codes, units = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        starts, row_of = bounds[:-1], np.repeat(np.arange(len(texts)), np.diff(bounds))
+        firsts = [units[k] for k in codes[starts].tolist()]
+        codes[starts] = len(units) + np.arange(len(texts))  # a place of its own for the head of each text
+        found: list[bytes | None] = list(map(self.known.get, units))
+        used = np.bincount(codes, minlength=len(units))[: len(units)] > 0
+        gaps = [k for k in np.flatnonzero(used).tolist() if found[k] is None]
+
+        odd = np.zeros(len(units) + len(texts), dtype=bool)  # units and heads that don't stand for themselves
+        odd[[k for k in gaps if not self._sound(units[k])]] = True
+        odd[[len(units) + k for k, (first, n) in enumerate(zip(firsts, np.diff(bounds).tolist())) if MARKER in first or (n > 1 and not plain(first))]] = True
+        rough: dict[int, list[str]] = {}  # texts that hold such units: their units, joined where need be
+        if odd.any():
+            for k in np.unique(row_of[odd[codes]]).tolist():
+                firsts[k], rough[k] = split_units(texts[k], self.parted)
+            inner = np.isin(row_of, list(rough))
+            inner[starts] = False
+            codes[inner] = len(units) + len(texts)  # the whole text is at its head's place
+            used = np.bincount(codes, minlength=len(units))[: len(units)] > 0
+            gaps = [k for k in gaps if used[k]]
+        missing = dict.fromkeys(units[k] for k in gaps)
+        joined: dict[str, None] = {}  # holds for a text alone
+        for rest in rough.values():
+            for u in rest:
+                if u not in self.known and u not in missing:
+                    (missing if self._sound(u) else joined)[u] = None
         learned = self._learn(list(missing))
-        apart = self._learn(list(rough)) if rough else learned
-        firsts = [self.head + f for f in firsts]
+        apart = self._learn(list(joined)) if joined else {}
+        for k in gaps:
+            found[k] = learned[units[k]]
+        heads = self._heads([self.head + f for f in firsts])
+        for k, rest in rough.items():
+            heads[k] += b"".join([next(ids[u] for ids in (self.known, learned, apart) if u in ids) for u in rest])
+        self._admit(learned)
+        placed = pa.array([*(x or b"" for x in found), *heads, b""], pa.large_binary()).take(pa.array(codes))
+        raw, at = placed.buffers()[2], np.frombuffer(placed.buffers()[1], "<i8")[bounds].tolist()
+        ids = memoryview(raw) if raw else memoryview(b"")
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+    def _sound(self, unit: str) -> bool:
+        """Whether the unit's ids are the same wherever it stands."""
+        return " " not in unit and MARKER not in unit and plain(unit[1:] if self.parted and unit[:1] == "\n" else unit)
+
+    def _heads(self, firsts: list[str]) -> list[bytes]:
+        """The ids of the first units of texts."""
         if len(self.heads) > self.most // 10:
             self.heads.clear()
         new = [f for f in dict.fromkeys(firsts) if f not in self.heads]
@@ -167,13 +199,7 @@ class UnitEncoder:
         for f in new:
             if len(f) > self.longest:
                 del self.heads[f]
-        out = []
-        for head, found, gap in zip(heads, rows, gaps):
-            for j, unit in gap:
-                found[j] = learned[unit] if unit in learned else apart[unit]
-            out.append(head + b"".join(found))
-        self._admit(learned)
-        return out
+        return heads
 
 
 def in_slices(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:

@@ -32,6 +32,26 @@ def test_units_give_the_whole_text_back():
     for text in filter(None, ODD):
         first, rest = split_units(text)
         assert " ".join([first, *rest]) == text
+        first, rest = split_units(text, parted=True)
+        assert first + "".join(u if u[0] == "\n" else " " + u for u in rest) == text
+
+
+def test_only_what_touches_wide_space_is_joined():
+    assert split_units("a b\nc\n\nd  e f", parted=True) == ("a", ["b", "\nc\n\nd  e", "f"])
+    assert split_units("a b\nc\n\nd  e f") == ("a", ["b\nc\n\nd  e", "f"])
+
+
+def test_units_without_ids_and_units_beside_wide_space():
+    asked = []
+
+    def encode(units):
+        asked.extend(units)
+        return [[len(w) for w in u.split() if w != "x"] for u in units]
+
+    ids = UnitEncoder(encode, np.zeros(99, dtype=bool))
+    for _ in range(3):
+        assert [list(array("I", b)) for b in ids(["aa x  x bbb x cc", "aa bbb x", "", "x"])] == [[2, 3, 2], [2, 3], [], []]
+    assert sum(" bbb" in a for a in asked) <= 4  # learned twice, then known
 
 
 @settings(max_examples=200, deadline=None)
