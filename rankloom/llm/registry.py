@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import chat, embedding_dedup, exact_dedup, langid, lm_score, packing, quality, sentencepiece_codec, simhash, urls
+from rankloom.llm import chat, divergence, embedding_dedup, exact_dedup, langid, line_dedup, lm_score, packing, prefix_trie, quality, sentencepiece_codec, simhash, urls
 from rankloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "checked", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "round_trip")
 
 
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 ORACLES["op9_exact_dedup"] = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_cp,
@@ -132,3 +148,98 @@ WITH t AS (
 )
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
+
+UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLES["op11_divergence"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), w AS (
+  SELECT id, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), v AS (
+  SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT lang, source, coalesce(sum(c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+         CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + v.v)::HUGEINT AS BIGINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (kept.n + 1)) // (v.n + v.v)::HUGEINT AS BIGINT) AS q
+  FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q
+), r AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) FROM terms
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES["op12_line_dedup"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT id, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {UPPER_LOWER}) AS key FROM l
+), gone AS (
+  SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), j AS (
+  SELECT k.id, k.doc_id, k.line, k.pos, gone.key IS NOT NULL AND k.doc_id <> gone.top AS dropped FROM k LEFT JOIN gone ON gone.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM j GROUP BY id, doc_id
+"""
+
+#: CRC-32 of a decimal number, bit by bit.
+CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))))"
+
+ORACLES["op13_prefix_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), i AS (
+  SELECT conv_id, turn, sha256(strlen(role) || ':' || role || ':' || text) AS id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t
+), o AS (
+  SELECT conv_id, id, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS k FROM i
+), c AS (
+  SELECT conv_id, {CRC32} % 4 AS h, conv_id - conv_id % 20 AS lead FROM (SELECT DISTINCT conv_id FROM t)
+), b AS (
+  SELECT c.conv_id, 0 AS part, o.k, o.id, o.words FROM c JOIN o ON o.conv_id = c.lead AND o.k <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.k, o.id, o.words FROM c JOIN o ON o.conv_id = c.conv_id AND o.k > c.h
+), s AS (
+  SELECT conv_id, row_number() OVER w AS d, words, string_agg(id, ',') OVER w AS path FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY part, k ROWS UNBOUNDED PRECEDING)
+), m AS (
+  SELECT conv_id, 0 AS d, 0 AS words, '' AS path FROM c UNION ALL SELECT conv_id, d, words, path FROM s
+), node AS (
+  SELECT d, path, min(conv_id) AS conv, count(*) AS n, (count(*) - 1) * max(words) AS own FROM m GROUP BY d, path
+), mm AS (
+  SELECT m.conv_id, m.d, node.conv, node.own, m.d = max(m.d) OVER (PARTITION BY m.conv_id) AS last FROM m JOIN node ON node.d = m.d AND node.path = m.path
+), up AS (
+  SELECT node.conv, node.d, node.n, node.own, mm.conv AS parent FROM node LEFT JOIN mm ON mm.conv_id = node.conv AND mm.d = node.d - 1
+), kids AS (
+  SELECT parent AS conv, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY 1, 2
+), full_node AS (
+  SELECT up.*, coalesce(kids.n, 0) AS n_children FROM up LEFT JOIN kids ON kids.conv = up.conv AND kids.d = up.d
+), below AS (
+  SELECT mm.conv, mm.d, sum(f.own) AS saved, count(*) FILTER (f.n_children = 0) AS leaves FROM full_node f JOIN mm ON mm.conv_id = f.conv AND mm.d <= f.d GROUP BY 1, 2
+), ends AS (
+  SELECT conv, d, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM mm WHERE last GROUP BY 1, 2
+)
+SELECT f.conv AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n AS n_convs, f.n_children, CAST(below.leaves AS BIGINT) AS n_leaves,
+       CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM full_node f JOIN below ON below.conv = f.conv AND below.d = f.d LEFT JOIN ends ON ends.conv = f.conv AND ends.d = f.d
+"""
