@@ -23,14 +23,18 @@ from pyspark.sql import functions as F
 from rankloom.config import BENCHMARKS, DEFAULT_GATE, DEFAULT_WEIGHTS, INITIAL_CAPITAL
 from rankloom.functions.numeric import growth_pct, rounded
 from rankloom.operators.asof import first_on_or_after, last_before
+from rankloom.operators.interval import interval_join
 from rankloom.operators.momentum import all_positive, weighted
 from rankloom.operators.portfolio import NAMES, current_allocation, tier_weight
 from rankloom.operators.rank import keep_first, top_per
+from rankloom.operators.segmented import first_known, last_known, segmented_scan
 from rankloom.operators.universe import SUFFIX
 from rankloom.sources.local import local_table
 
 #: Calendar months of prices before the first rebalance.
 LEAD_MONTHS = 9
+#: Trading dates to a bin of the lookup of spans; most spans are of a day or two.
+BIN = 16
 
 
 def calendar_of(panel: DataFrame) -> DataFrame:
@@ -39,11 +43,15 @@ def calendar_of(panel: DataFrame) -> DataFrame:
 
 
 def forward_fill(panel: DataFrame) -> DataFrame:
-    """ticker, date, close and filled on every calendar date; filled is the last known close, null before the first."""
-    dates = F.broadcast(calendar_of(panel))  # trading dates: some 250 a year
-    grid = panel.select("ticker").distinct().crossJoin(dates)
-    so_far = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return grid.join(panel.select("ticker", "date", "close"), ["ticker", "date"], "left").withColumn("filled", F.last("close", ignorenulls=True).over(so_far))
+    """ticker, date, close and filled on every calendar date; filled is the last known close, null before the first.
+
+    The result has every ticker on every date. The dates, some 250 a year, are one value of the plan; a ticker's rows
+    are filled by years, so that no task meets its whole history.
+    """
+    dates = calendar_of(panel).agg(F.collect_set("date")).scalar()
+    grid = panel.select("ticker").distinct().select("ticker", F.explode(dates).alias("date"))
+    dense = grid.join(panel.select(F.col("ticker").alias("_t"), F.col("date").alias("_d"), "close"), F.col("ticker").eqNullSafe(F.col("_t")) & (F.col("date") == F.col("_d")), "left").drop("_t", "_d")
+    return segmented_scan(dense, ["ticker"], ["date"], F.year("date"), {"filled": last_known("close")})
 
 
 def carry_forward(panel: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -160,11 +168,10 @@ def benchmark_curves(curve: DataFrame, quotes: DataFrame, candidates: Mapping[st
     have = known.select(F.upper("ticker").alias("ticker")).distinct().join(F.broadcast(wanted), "ticker")
     chosen = have.groupBy("series").agg(F.min_by("ticker", "priority").alias("ticker"))
     rows = known.withColumn("ticker", F.upper("ticker")).join(F.broadcast(chosen), "ticker").select("series", "date", "close")
-    grid = chosen.select("series").crossJoin(curve.select("date").distinct())  # labels by dates
-    w = Window.partitionBy("series").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = grid.join(rows, ["series", "date"], "left").withColumn("filled", F.last("close", ignorenulls=True).over(w)).where("filled IS NOT NULL")
-    base = F.first("filled").over(Window.partitionBy("series").orderBy("date"))
-    return filled.select("date", "series", (F.col("filled") / base * capital).alias("value"))
+    dates = curve.agg(F.collect_set("date")).scalar()  # dates of the back-test
+    grid = chosen.select("series", F.explode(dates).alias("date")).join(rows, ["series", "date"], "left")
+    filled = segmented_scan(grid, ["series"], ["date"], F.year("date"), {"filled": last_known("close"), "base": first_known("close")}).where("filled IS NOT NULL")
+    return filled.select("date", "series", (F.col("filled") / F.col("base") * capital).alias("value"))
 
 
 @dataclass(frozen=True)
@@ -213,7 +220,7 @@ def score_spans(spans: DataFrame, periods: Sequence[Period], weights: Mapping[in
     nobody = sum(weights.values()) <= 0 or any(h not in weights for h in gate)
     asked = [] if nobody else [(p.pid, p.signal, p.signal_pos, h, p.signal_pos - h) for p in periods for h in (0, *weights) if p.signal_pos > max(weights)]
     asked = local_table(spans.sparkSession, asked, "pid int, signal date, signal_pos int, h int, at int")
-    met = spans.join(F.broadcast(asked), F.col("at").between(F.col("pos"), F.col("until")))  # periods by horizons
+    met = interval_join(spans, F.broadcast(asked), "pos", "until", "at", BIN)  # periods by horizons
     price = lambda h: F.max(F.when(F.col("h") == h, F.col("close")))
     rows = met.where(F.col("signal_pos") - F.col("first") + 1 > max(weights)).groupBy("ticker", "pid", "signal").agg(*[price(h).alias(f"_p{h}") for h in (0, *weights)])
     rows = rows.select("pid", "signal", "ticker", *[growth_pct(F.col("_p0"), F.col(f"_p{h}")).alias(f"ret_{h}") for h in weights])
@@ -278,7 +285,8 @@ def buy_and_hold(picks: DataFrame, panel: DataFrame, capital: float = INITIAL_CA
     ten = keep_first(picks.select(F.upper("symbol").alias("ticker"), "score"), ["ticker"], [F.desc("score")])
     ten = ten.orderBy(F.desc("score"), "ticker").limit(NAMES).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "ticker")))
     ten = ten.withColumn("weight", tier_weight(F.col("rank"), F.count("*").over(Window.partitionBy())))
-    held = forward_fill(panel.join(F.broadcast(ten.select("ticker")), "ticker", "left_semi")).where("filled IS NOT NULL")
+    few = panel.where("close IS NOT NULL").join(F.broadcast(ten.select("ticker")), "ticker", "left_semi")  # ten tickers
+    held = carry_forward(few, calendar_of(few))
     first = held.groupBy("ticker").agg(F.min_by("filled", "date").alias("entry_price"))
     lots = ten.join(first, "ticker").withColumn("lot", F.coalesce(F.lit(capital) * F.col("weight") / F.nullif("entry_price", F.lit(0.0)), F.lit(0.0)))
     # Before a ticker's first price the whole curve is undefined, as a sum with a missing part is.

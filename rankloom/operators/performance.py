@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.config import INITIAL_CAPITAL
 from rankloom.functions.numeric import growth_pct, rounded
+from rankloom.operators.segmented import running_max, segmented_scan
 
 
 def performance_summary(curves: DataFrame) -> DataFrame:
-    """series, start, end, start_value, end_value, return_pct and max_drawdown_pct of each series; missing values don't count."""
-    so_far = Window.partitionBy("series").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = curves.where("value IS NOT NULL").withColumn("_draw", (F.col("value") / F.max("value").over(so_far) - 1.0) * 100.0)
+    """series, start, end, start_value, end_value, return_pct and max_drawdown_pct of each series; missing values don't count.
+
+    The running maximum is taken by years, so that no task meets a whole series."""
+    rows = segmented_scan(curves.where("value IS NOT NULL"), ["series"], ["date"], F.year("date"), {"_top": running_max("value")})
+    rows = rows.withColumn("_draw", (F.col("value") / F.col("_top") - 1.0) * 100.0)
     first, last = F.min_by("value", "date"), F.max_by("value", "date")
     return rows.groupBy("series").agg(
         F.min("date").alias("start"),

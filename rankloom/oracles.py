@@ -356,11 +356,33 @@ ORACLES["backtest_of_picks"] = f"""
 WITH {walk_sql("SELECT * FROM (" + PX["supplier"] + ") WHERE ticker IN (" + GATED + ")")} SELECT date, series, {rnd("value", 4)} AS value FROM curve
 """
 
+ORACLES["segmented_event_values"] = """
+WITH e AS (
+  SELECT CASE WHEN event_id % 10 < 9 THEN 'HOT.NS' ELSE 'U' || user_id || '.NS' END AS ticker, ts, event_id, CASE WHEN event_id % 3 > 0 THEN value END AS value FROM events
+)
+SELECT ticker, event_id, value, last_value(value IGNORE NULLS) OVER w AS filled, first_value(value IGNORE NULLS) OVER w AS base, max(value) OVER w AS top, count(value) OVER w AS n_known
+FROM e WINDOW w AS (PARTITION BY ticker ORDER BY ts NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+ORACLES["asof_nation_prices"] = """
+WITH d AS (
+  SELECT s_nationkey AS nation, CAST(l_shipdate AS DATE) AS shipped, max(l_extendedprice / l_quantity) AS price FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2
+), o AS (
+  SELECT o_orderkey, c_nationkey AS nation, CAST(o_orderdate AS DATE) AS ordered FROM orders JOIN customer ON o_custkey = c_custkey
+)
+SELECT o.o_orderkey, o.nation, o.ordered, b.shipped, b.price, a.shipped AS next_shipped, a.price AS next_price
+FROM o ASOF LEFT JOIN d b ON o.nation = b.nation AND o.ordered >= b.shipped ASOF LEFT JOIN d a ON o.nation = a.nation AND o.ordered < a.shipped
+"""
+ORACLES["period_prices"] = f"""
+WITH px AS ({PX["supplier"]}), cal AS (SELECT DISTINCT date FROM px), {schedule_sql(12)}
+SELECT pid, ticker, count(close) AS n, min(close) AS low, max(close) AS high FROM per JOIN px ON px.date BETWEEN per.entry AND per.exit WHERE signal IS NOT NULL GROUP BY pid, ticker
+"""
+
 #: The columns that are dates; results show them as ISO text.
 DATES = {
     ("date",): ("price_panel_supplier", "price_panel_nation", "price_panel_part", "price_panel_user", "forward_fill_panel", "period_growth", "walk_forward_curve", "walk_forward_curve_nation",
                 "benchmark_overlay", "first_available_benchmark", "normalized_curve", "buy_and_hold_curve", "unpivot_curve", "unpivot_curve_all", "latest_prices",
                 "provider_prices", "wide_prices", "backtest_of_picks"),
+    ("ordered", "shipped", "next_shipped"): ("asof_nation_prices",),
     ("entry", "exit"): ("rebalance_schedule",),
     ("entry", "signal"): ("signal_date_asof",),
     ("signal",): ("score_at_dates",),

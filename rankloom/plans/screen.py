@@ -21,7 +21,6 @@ from rankloom.operators.performance import normalized, performance_summary
 from rankloom.operators.portfolio import current_allocation
 from rankloom.operators.rank import top_n
 from rankloom.operators.returns import universe_returns
-from rankloom.sources.prices import symbols_of
 from rankloom.sources.store import Store
 
 #: Called with done, total and a message after each part of a run.
@@ -61,7 +60,7 @@ class Bundle:
 def price_returns(universe: DataFrame, prices: Prices, store: Store, progress: Progress | None = None) -> DataFrame:
     panel = prices(universe)
     _tell(progress, 1, 2, "prices")
-    saved = store.save("returns", universe_returns(universe, panel, symbols_of(panel)))
+    saved = store.save("returns", universe_returns(universe, panel))
     _tell(progress, 2, 2, "returns")
     return saved
 
@@ -167,7 +166,7 @@ def finish_holdings(all_scan: DataFrame, prices: Prices, holder: str, config: Sc
     rising = store.save(f"{prefix}_top", inst.shortlist(everything, top))
     try:
         panel = prices(rising)
-        returns = universe_returns(rising, panel, symbols_of(panel))
+        returns = universe_returns(rising, panel)
         momentum = store.save(f"{prefix}_momentum", score_momentum(returns, config.weights, config.gate))
         best = top_n(momentum, _best_first(), final)
     except Exception as error:  # noqa: BLE001  the scan's tables must survive a price source that fails

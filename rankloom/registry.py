@@ -12,11 +12,14 @@ from rankloom import oracles
 from rankloom.config import DEFAULT_GATE, DEFAULT_WEIGHTS, FundamentalThresholds, ScreeningConfig
 from rankloom.functions import holdings
 from rankloom.functions import numeric as num
+from rankloom.operators import asof
 from rankloom.operators import backtest as bt
 from rankloom.operators import fundamentals as fund
 from rankloom.operators import institutional as inst
 from rankloom.operators import performance as perf
 from rankloom.operators import portfolio, rank, universe
+from rankloom.operators import segmented as seg
+from rankloom.operators.interval import interval_join
 from rankloom.operators.momentum import all_positive, score_momentum, weighted
 from rankloom.operators.returns import trailing_returns, universe_returns
 from rankloom.plans import recovery, screen
@@ -89,7 +92,7 @@ def trailing_returns_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some symbols are known without any close, and half of the universe is not known at all."""
     panel = t.supplier_panel(spark, sf_dir).withColumn("close", F.when(~F.endswith("ticker", F.lit("7.NS")), F.col("close")))
-    return universe_returns(t.supplier_universe(spark, sf_dir), panel, prices.symbols_of(panel)).select("ticker", "symbol", "name", "cmp", "data_points", "price_error", "ret_5", "ret_252")
+    return universe_returns(t.supplier_universe(spark, sf_dir), panel).select("ticker", "symbol", "name", "cmp", "data_points", "price_error", "ret_5", "ret_252")
 
 
 @query
@@ -132,6 +135,39 @@ def forward_fill_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.forward_fill(t.user_panel(spark, sf_dir))
 
 
+@query
+def segmented_event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running values of every event's key, where nine in ten events are of one key: the last known value, the first, the
+    largest so far and how many there were, by hours."""
+    hot = F.when(F.col("event_id") % 10 < 9, F.lit("HOT.NS")).otherwise(F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit(".NS")))
+    rows = t.table(spark, sf_dir, "events").select(hot.alias("ticker"), "ts", "event_id", F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("value"))
+    scans = {"filled": seg.last_known("value"), "base": seg.first_known("value"), "top": seg.running_max("value"), "n_known": seg.running_count("value")}
+    return seg.segmented_scan(rows, ["ticker"], ["ts", "event_id"], F.date_trunc("hour", "ts"), scans).drop("ts")
+
+
+@query
+def asof_nation_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with the last price that a supplier of the customer's nation shipped at, up to the order's date, and the
+    next one after it."""
+    prices_ = t.table(spark, sf_dir, "lineitem").join(t.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    daily = prices_.groupBy(F.col("s_nationkey").alias("nation"), F.to_date("l_shipdate").alias("shipped")).agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    wanted = t.table(spark, sf_dir, "orders").join(t.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation")), F.col("o_custkey") == F.col("c_custkey"))
+    wanted = wanted.select("o_orderkey", "nation", F.to_date("o_orderdate").alias("ordered"))
+    back = asof.asof_join(wanted, daily, ["nation"], "ordered", "shipped")
+    ahead = daily.select("nation", F.col("shipped").alias("next_shipped"), F.col("price").alias("next_price"))
+    return asof.asof_join(back, ahead, ["nation"], "ordered", "next_shipped", ahead=True, strict=True)
+
+
+@query
+def period_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prices of every ticker within each holding period: how many, the lowest and the highest."""
+    panel = t.supplier_panel(spark, sf_dir)
+    day = lambda c: F.unix_date(c)
+    periods = bt.rebalance_schedule(bt.calendar_of(panel), 12).select("pid", day("entry").alias("from_day"), day("exit").alias("to_day"))
+    met = interval_join(periods, panel.withColumn("day", day("date")), "from_day", "to_day", "day", 32)
+    return met.groupBy("pid", "ticker").agg(F.count("close").alias("n"), F.min("close").alias("low"), F.max("close").alias("high"))
+
+
 @query
 def rebalance_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.rebalance_schedule(bt.calendar_of(t.nation_panel(spark, sf_dir)), 6).select("pid", "entry", "exit")
@@ -224,7 +260,7 @@ def walk_forward_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = t.supplier_panel(spark, sf_dir)
-    return score_momentum(universe_returns(t.supplier_universe(spark, sf_dir), panel, prices.symbols_of(panel)))
+    return score_momentum(universe_returns(t.supplier_universe(spark, sf_dir), panel))
 
 
 @query
@@ -338,7 +374,7 @@ def institutional_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 def institutional_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     rising = inst.shortlist(user_scan(spark, sf_dir).drop("market_cap_cr"), 500)
     panel = t.user_panel(spark, sf_dir)
-    scored = score_momentum(universe_returns(rising, panel, prices.symbols_of(panel)), gate=(5,))
+    scored = score_momentum(universe_returns(rising, panel), gate=(5,))
     return rank.top_n(scored, [F.desc("score"), F.asc("ticker")], 3).select("ticker", "score", "holding_change_pct")
 
 
