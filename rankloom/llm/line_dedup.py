@@ -149,7 +149,7 @@ def dropped_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     ordered = lines.select("hi", "lo", "doc", "row", "pos").repartitionByRange(*by).sortWithinPartitions(*by, "row", "pos")
     told = cut(ordered.mapInArrow(stream, f"kind long, {LINE}"), "line-stream")
     edges = told.where(F.col("kind") == EDGE).groupBy("hi", "lo").agg(F.sum("pos").alias("docs"), F.max("doc").alias("top")).where(F.col("docs") >= min_docs)
-    late = told.where(F.col("kind") == OPEN).join(edges, ["hi", "lo"]).where("doc <> top")
+    late = told.where(F.col("kind") == OPEN).join(F.broadcast(edges), ["hi", "lo"]).where("doc <> top")  # edges: two rows a partition
     return told.where(F.col("kind") == DROP).select("doc", "row", "pos").unionByName(late.select("doc", "row", "pos"))
 
 
