@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,41 @@ def rounded(value: Column, places: int = 2) -> Column:
     return F.rint(value * scale) / scale + F.lit(0.0)
 
 
+def fixed_text(value: Column, places: int = 2) -> Column:
+    """The value's exact binary number as text with so many decimals, ties to even: 0.125 is 0.12, and 2.675, which is a
+    little less than it looks, is 2.67. Right below 2**52 / 10**places; beyond it as Java's formatter has it.
+
+    The value is split into two halves whose products with the scale are exact, so that the distance to the nearest whole
+    number is too.
+    """
+    scale = float(10**places)
+
+    def exact(v: Column) -> Column:
+        folded = v * 134217729.0  # 2**27 + 1
+        return bound(folded - (folded - v), lambda high: bound(F.rint(v * scale), lambda near: nearest(near, high * scale - near, (v - high) * scale)))
+
+    def nearest(near: Column, much: Column, little: Column) -> Column:
+        over, under = (much - 0.5) + little, (much + 0.5) + little  # exact where they are close to zero
+        odd = F.pmod(near, F.lit(2.0)) == 1
+        step = F.when((over > 0) | ((over == 0) & odd), 1.0).when((under < 0) | ((under == 0) & odd), -1.0).otherwise(0.0)
+        return F.abs(near + step).cast("long")
+
+    def shown(whole: Column) -> Column:
+        parts = [whole.cast("string")]
+        if places:
+            parts = [F.call_function("div", whole, F.lit(10**places)).cast("string"), F.lit("."), F.lpad((whole % 10**places).cast("string"), places, "0")]
+        return F.concat(*parts)
+
+    minus = F.when(F.startswith(value.cast("string"), F.lit("-")), "-").otherwise("")
+    text = F.concat(minus, bound(exact(value), shown))
+    return F.when(F.abs(value) * scale < 2.0**52, text).otherwise(F.when(value.isNotNull(), F.format_string(f"%.{places}f", value)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def not_nan(value: Column) -> Column:
     """Null for NaN: Spark orders NaN above every number, so that it would pass a positive gate."""
     return F.nanvl(value, F.lit(None).cast("double"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.config import PROMOTER_LABELS, SALES_LABELS, FundamentalThresholds
 from rankloom.functions.holdings import change, metric_row, numeric_cells, trailing_growth
-from rankloom.functions.numeric import parse_number
+from rankloom.functions.numeric import fixed_text, parse_number
 
 #: What a failed fetch begins with; such rows are tried again.
 FETCH_FAILED = "Page fetch failed"
@@ -56,7 +56,8 @@ def apply_rules(rows: DataFrame, thresholds: FundamentalThresholds | None = None
     for value, bound, sign, label in checks:
         fine = value >= bound if sign == ">=" else value <= bound
         passed = passed & F.coalesce(fine, F.lit(False))
-        notes.append(F.when(value.isNull(), f"missing {label}").when(~fine, F.format_string(f"{label} %.2f fails {sign} {bound:.2f}", value)))
+        failing = F.concat(F.lit(f"{label} "), fixed_text(value), F.lit(f" fails {sign} {bound:.2f}"))
+        notes.append(F.when(value.isNull(), f"missing {label}").when(~fine, failing))
     return rows.withColumns({"fundamental_pass": passed, "fundamental_notes": F.when(passed, "passed").otherwise(F.concat_ws("; ", *notes))})
 
 

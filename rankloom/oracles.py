@@ -351,6 +351,29 @@ ORACLES["recovered_run"] = f"""
 WITH fl AS ({ORACLES["final_list"]}), {MOMENTUM}, best AS (SELECT ticker, score FROM m ORDER BY score DESC, ticker LIMIT 100)
 SELECT ticker, score FROM fl UNION ALL SELECT ticker, score FROM best WHERE NOT EXISTS (SELECT 1 FROM fl)
 """
+ORACLES["exact_notes"] = f"""
+WITH s AS (
+  SELECT l_orderkey, l_linenumber, l_extendedprice / 8 AS market_cap_cr, l_quantity / 40 AS quarterly_growth_pct, l_tax * 12.5::DOUBLE AS annual_growth_pct, l_discount * 1000.125::DOUBLE AS promoter_change_pct FROM lineitem
+)
+SELECT l_orderkey, l_linenumber, CASE WHEN coalesce({PASSED.format(1000000, 10, 15, 5)}, false) THEN 'passed' ELSE concat_ws('; ', {note("market_cap_cr", ">=", 1000000, "market cap")},
+         {note("quarterly_growth_pct", ">=", 10, "quarterly revenue growth")}, {note("annual_growth_pct", ">=", 15, "annual revenue growth")}, {note(CHANGE, "<=", 5, "promoter holding change")}) END AS fundamental_notes
+FROM s
+"""
+OTHER_SCAN = SCAN.replace("'purchase' AND us.user_id", "'signup' AND us.user_id").replace("missing FII row", "missing DII row")
+ORACLES["dii_holdings_run"] = f"""
+WITH {OTHER_SCAN}, top AS ({RISING.format(500)}), {returns_sql(PX["user"])}
+SELECT top.ticker, {rnd(score_expr(True))} AS score, holding_change_pct FROM top JOIN rets ON rets.ticker = top.ticker || '.NS' WHERE ret_5 > 0 ORDER BY score DESC, top.ticker LIMIT 3
+"""
+ORACLES["saved_scan_counts"] = f"WITH {SCAN} SELECT count(*) AS n_tickers, count(*) FILTER (holding_change_pct > 0) AS n_rising, count(*) FILTER (scan_notes LIKE 'Page fetch failed%') AS n_failed, max(holding_change_pct) AS max_change FROM scan"
+ORACLES["saved_momentum_fallback"] = f"WITH {MOMENTUM} SELECT ticker, score FROM m ORDER BY score DESC, ticker LIMIT 40"
+BEST = f"SELECT ticker || '.NS' AS ticker FROM ({ORACLES['saved_momentum_fallback'].replace('LIMIT 40', 'LIMIT 10')})"
+ORACLES["bare_run_counts"] = f"""
+WITH {walk_sql("SELECT * FROM (" + PX["supplier"] + ") WHERE ticker IN (" + BEST + ")", 36)}, mom AS ({ORACLES["momentum_score"]})
+SELECT 'momentum' AS name, count(*) AS n FROM mom
+UNION ALL SELECT 'fundamentals', 0 UNION ALL SELECT 'final', least(10, (SELECT count(*) FROM mom)) UNION ALL SELECT 'allocation', least(10, (SELECT count(*) FROM mom))
+UNION ALL SELECT 'periods', (SELECT count(*) FROM per JOIN (SELECT DISTINCT pid FROM pk) USING (pid) JOIN cap USING (pid))
+UNION ALL SELECT 'performance', (SELECT count(DISTINCT series) FROM curve)
+"""
 GATED = f"WITH {returns_sql(PX['supplier'])} SELECT ticker FROM rets WHERE {GATE}"
 ORACLES["backtest_of_picks"] = f"""
 WITH {walk_sql("SELECT * FROM (" + PX["supplier"] + ") WHERE ticker IN (" + GATED + ")")} SELECT date, series, {rnd("value", 4)} AS value FROM curve

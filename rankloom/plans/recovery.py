@@ -13,12 +13,33 @@ from rankloom.plans.screen import Prices, finish_holdings, momentum_of
 from rankloom.sources.store import Store
 
 
+#: The tables that a full run writes.
+RUN_TABLES = ("returns", "momentum", "fundamentals_partial", "fundamentals", "final", "curves", "normalized_curves", "periods", "allocation", "performance")
+
+
+def last_run(store: Store) -> str | None:
+    """The full run that wrote last."""
+    newest = store.newest(RUN_TABLES)
+    return store.run_of(newest) if newest else None
+
+
 def saved_momentum(store: Store, config: ScreeningConfig) -> DataFrame | None:
-    """The saved momentum list, or one made of saved returns, or None."""
+    """The last run's momentum list, or one made of its returns, or else those of an earlier run, or None."""
+    run = last_run(store)
+    if store.run_of("returns") == run != store.run_of("momentum") and store.exists("returns"):
+        return momentum_of(store.require("returns"), config, store.begin(run))
     found = store.load("momentum")
     if found is not None:
         return found.orderBy(F.desc("score"), "ticker")
-    return momentum_of(store.require("returns"), config, store) if store.exists("returns") else None
+    return momentum_of(store.require("returns"), config, store.begin(run)) if store.exists("returns") else None
+
+
+def current_or_saved_momentum(current: DataFrame | None, store: Store, config: ScreeningConfig) -> DataFrame:
+    """The list at hand, or else the saved one."""
+    found = current if current is not None else saved_momentum(store, config)
+    if found is None:
+        raise FileNotFoundError(f"neither momentum nor returns are saved in {store.folder}")
+    return found
 
 
 def passing(fundamentals: DataFrame) -> DataFrame:
@@ -28,20 +49,21 @@ def passing(fundamentals: DataFrame) -> DataFrame:
 
 
 def recover(store: Store, config: ScreeningConfig) -> dict[str, DataFrame | None]:
-    """All tables of a run: fundamentals or their partial scan; the final list, or what passed, or the best momentum."""
-    momentum = saved_momentum(store, config)
-    if momentum is None:
-        raise FileNotFoundError("No saved momentum or returns found yet.")
-    fundamentals = store.load("fundamentals")
+    """All tables of the last run, and none that an earlier one left: fundamentals or their partial scan; the final list,
+    or what passed, or the best momentum. Only momentum and returns may be of an earlier run, as a run can go on from them."""
+    momentum = current_or_saved_momentum(None, store, config)
+    run = last_run(store)
+    own = lambda name: store.load(name) if store.run_of(name) == run else None
+    fundamentals = own("fundamentals")
     if fundamentals is None:
-        fundamentals = store.load("fundamentals_partial")
-    final = store.load("final")
+        fundamentals = own("fundamentals_partial")
+    final = own("final")
     if final is None and fundamentals is not None and "fundamental_pass" in fundamentals.columns:
         passed = passing(fundamentals)
         final = passed if passed.take(1) else None
     if final is None:
         final = top_n(momentum, [F.desc("score"), F.asc("ticker")], config.final_count)
-    others = {name: store.load(name) for name in ("curves", "normalized_curves", "periods", "allocation", "performance")}
+    others = {name: own(name) for name in ("curves", "normalized_curves", "periods", "allocation", "performance")}
     return {"momentum": momentum, "fundamentals": fundamentals, "final": final, **others}
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rankloom.config import BENCHMARKS, ScreeningConfig
 from rankloom.operators import institutional as inst
 from rankloom.operators.backtest import WalkForward, benchmark_curves
-from rankloom.operators.fundamentals import METRICS, screen_fundamentals
+from rankloom.operators.fundamentals import FETCH_FAILED, METRICS, screen_fundamentals
 from rankloom.operators.momentum import score_momentum
 from rankloom.operators.performance import normalized, performance_summary
 from rankloom.operators.portfolio import current_allocation
@@ -82,6 +82,11 @@ def no_fundamentals(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns(blank).where(F.lit(False))
 
 
+#: What is observed while parts are written.
+PASSED = {"passed": "count_if(fundamental_pass)"}
+RISING = {"n_rising": "count_if(holding_change_pct > 0)", "max_change": "max(holding_change_pct)", "n_failed": f"count_if(startswith(scan_notes, '{FETCH_FAILED}'))"}
+
+
 def screen_in_parts(candidates: DataFrame, pages: Pages, config: ScreeningConfig, store: Store, parts: int = 1, progress: Progress | None = None) -> DataFrame:
     """The fundamental rules applied to the candidates, saved after each of ``parts`` parts (dealt by a hash of the
     ticker), so that a run that stops leaves what it fetched for ``recover``."""
@@ -90,8 +95,8 @@ def screen_in_parts(candidates: DataFrame, pages: Pages, config: ScreeningConfig
     for k in range(parts):
         some = dealt.where(F.col("_part") == k).drop("_part")
         judged = screen_fundamentals(some, pages(some), config.thresholds)
-        saved = store.save(name, judged) if saved is None else store.append(name, judged)
-        _tell(progress, k + 1, parts, "fundamentals fetched")
+        saved = store.save(name, judged, PASSED) if saved is None else store.append(name, judged, PASSED, f"{store.run}-{k}")
+        _tell(progress, k + 1, parts, f"fundamentals of {store.rows(name)} fetched, {sum(m['passed'] for m in store.metrics(name))} pass")
     return saved
 
 
@@ -134,6 +139,7 @@ def run_fundamentals(
 
 
 def run_full(universe: DataFrame | None, panel: Prices, pages: Pages | None, config: ScreeningConfig, store: Store, quotes: DataFrame | None = None, use_saved_returns: bool = False, progress: Progress | None = None, parts: int = 1) -> Bundle:
+    store = store.begin()
     momentum = run_momentum(universe, panel, config, store, use_saved_returns, progress)
     return run_fundamentals(momentum, panel, pages, config, store, quotes, progress, parts)
 
@@ -146,16 +152,24 @@ def scan(universe: DataFrame, pages: Pages, holder: str, store: Store, progress:
     """
     name = f"{holder.lower()}_partial"
     done = inst.completed(store.load(name))
-    saved = store.save(name, done) if done is not None else None
+    saved = store.save(name, done, RISING) if done is not None else None
     left = inst.pending(universe, saved).withColumn("_part", F.pmod(F.xxhash64("ticker"), F.lit(parts)))
     for k in range(parts):
         some = left.where(F.col("_part") == k).drop("_part")
         new = inst.scan_holdings(some, pages(some), holder).withColumn("scan_order", F.current_timestamp())
-        saved = store.save(name, new) if saved is None else store.append(name, new)
-        _tell(progress, k + 1, parts, f"{holder.upper()} scan")
+        saved = store.save(name, new, RISING) if saved is None else store.append(name, new, RISING, f"{store.run}-{k}")
+        seen = saved_counts(store, name)
+        _tell(progress, k + 1, parts, f"{holder.upper()} scan: {seen['n_tickers']} done, {seen['n_rising']} rising")
     return store.require(name)
 
 
+def saved_counts(store: Store, name: str) -> dict[str, float | None]:
+    """Tickers, rises, failed fetches and the largest change of a saved scan, as observed while it was written."""
+    found = store.metrics(name)
+    largest = [m["max_change"] for m in found if m["max_change"] is not None]
+    return {"n_tickers": store.rows(name), "n_rising": sum(m["n_rising"] for m in found), "n_failed": sum(m["n_failed"] for m in found), "max_change": max(largest, default=None)}
+
+
 def finish_holdings(all_scan: DataFrame, prices: Prices, holder: str, config: ScreeningConfig, store: Store, top: int = 50, final: int = 3) -> dict[str, DataFrame]:
     """The whole scan by market cap, the largest rises, their momentum, and the best of it.
 
@@ -180,6 +194,7 @@ def run_holdings(
     universe: DataFrame, pages: Pages, prices: Prices, holder: str, config: ScreeningConfig, store: Store, market_caps: DataFrame | None = None, top: int = 50, final: int = 3, progress: Progress | None = None, parts: int = 1
 ) -> dict[str, DataFrame]:
     """Scan, market caps from ``market_caps`` (symbol, market_cap) if the scan has none at all, and the screen."""
+    store = store.begin()
     found = scan(universe, pages, holder, store, progress, parts)
     if market_caps is not None and not found.where("market_cap_cr IS NOT NULL").take(1):
         found = store.save(f"{holder.lower()}_marketcap_partial", inst.enrich_market_cap(found, market_caps))

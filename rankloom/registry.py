@@ -330,6 +330,13 @@ def fundamental_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fund.apply_rules(stand_ins(spark, sf_dir)).select("ticker", "fundamental_pass", "fundamental_notes")
 
 
+@query
+def exact_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes on values with more than two decimals, ties of the binary number among them: eighths of the part's price."""
+    part = t.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 8).alias("market_cap_cr"), (F.col("l_quantity") / 40).alias("quarterly_growth_pct"), (F.col("l_tax") * 12.5).alias("annual_growth_pct"), (F.col("l_discount") * 1000.125).alias("promoter_change_pct"))
+    return fund.apply_rules(part, FundamentalThresholds(1e6, 10.0, 15.0, 5.0)).select("l_orderkey", "l_linenumber", "fundamental_notes")
+
+
 LENIENT = FundamentalThresholds(1000.0, 5.0, 10.0, 5.0)
 
 
@@ -547,15 +554,20 @@ def user_pages(spark: SparkSession, sf_dir: str):
     return lambda wanted: found.join(wanted.select("ticker"), "ticker", "left_semi")
 
 
-@query
-def holdings_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole holding screen in two saved parts, and made anew from what it saved."""
+def screened_users(spark: SparkSession, sf_dir: str):
+    """Every user as a security, and their prices for whatever table asks."""
     users = t.table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id").distinct()
     rows = users.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"))
     rows = rows.withColumns({"symbol": F.concat("ticker", F.lit(".NS")), "page_url": universe.page_url(F.col("ticker"))})
-    saved, config = store.Store(spark, scratch_dir(spark, "holdings")), ScreeningConfig(gate=(5,))
     panel = t.user_panel(spark, sf_dir)
-    quoted = lambda some: panel.join(some.select(F.upper("symbol").alias("ticker")).distinct(), "ticker", "left_semi")
+    return rows, lambda some: panel.join(some.select(F.upper("symbol").alias("ticker")).distinct(), "ticker", "left_semi")
+
+
+@query
+def holdings_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole holding screen in two saved parts, and made anew from what it saved."""
+    rows, quoted = screened_users(spark, sf_dir)
+    saved, config = store.Store(spark, scratch_dir(spark, "holdings")), ScreeningConfig(gate=(5,))
     screen.run_holdings(rows, user_pages(spark, sf_dir), quoted, "FII", config, saved, top=500, parts=2)
     return recovery.recover_holdings(saved, "FII", quoted, config, top=500)["fii_final"].select("ticker", "score", "holding_change_pct")
 
@@ -575,6 +587,42 @@ def full_run_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.final.select("ticker", "score", "fundamental_notes", *fund.METRICS)
 
 
+@query
+def dii_holdings_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holding screen of the other holder, saved in three parts."""
+    rows, quoted = screened_users(spark, sf_dir)
+    saved = store.Store(spark, scratch_dir(spark, "dii"))
+    return screen.run_holdings(rows, user_pages(spark, sf_dir), quoted, "DII", ScreeningConfig(gate=(5,)), saved, top=500, parts=3)["dii_final"].select("ticker", "score", "holding_change_pct")
+
+
+@query
+def saved_scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickers, rises, failed fetches and the largest change of a scan in two parts, as observed while it was saved."""
+    rows, _ = screened_users(spark, sf_dir)
+    saved = store.Store(spark, scratch_dir(spark, "counts"))
+    screen.scan(rows, user_pages(spark, sf_dir), "FII", saved, parts=2)
+    found = screen.saved_counts(saved, "fii_partial")
+    return spark.createDataFrame([tuple(found.values())], "n_tickers long, n_rising long, n_failed long, max_change double")
+
+
+@query
+def saved_momentum_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that saved its returns and no more: its momentum list is made of them, and the final list is the first of it."""
+    saved, config = store.Store(spark, scratch_dir(spark, "fallback")), ScreeningConfig(final_count=40)
+    panel = t.supplier_panel(spark, sf_dir)
+    screen.price_returns(t.supplier_universe(spark, sf_dir), lambda rows: panel, saved)
+    return recovery.recover(saved, config)["final"].select("ticker", "score")
+
+
+@query
+def bare_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run without fundamentals, with settings brought into their ranges: every table is there, and how many rows each has."""
+    config = ScreeningConfig.within_ranges(top_momentum=1, final_count=99_999, backtest_months=99)
+    saved, panel = store.Store(spark, scratch_dir(spark, "bare")), t.supplier_panel(spark, sf_dir)
+    tables = screen.run_full(t.supplier_universe(spark, sf_dir), lambda rows: panel, None, config, saved).tables()
+    return spark.createDataFrame([(name, saved.rows(name)) for name in tables if name not in ("curves", "normalized_curves")], "name string, n long")
+
+
 @query
 def recovered_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that stopped after its fundamentals were fetched: the final list is what passes of the saved parts, or the
