@@ -6,9 +6,13 @@ between the languages of neighbouring words are learned with the feature weights
 sequences spliced from segments of differently labelled texts, so that switching within a text is seen in training.
 Forward-backward gives each word its marginal probabilities; a document takes the language with the highest mean.
 
-The fit takes a sample of every language, some ``per_lang`` documents of each by a hash of the id, and fewer (``LEAST``
-at least) where there are more than 64 languages or where they are longer than ``CHARS`` on average; labelling is
-vectorised over the documents of a batch and reads each text to its end.
+The fit takes a sample of every language: the first ``per_lang`` documents of each by a hash of the id, or all where a
+language has fewer, and fewer (``LEAST`` at least) only where there are more than 64 languages. How long texts are has
+no part in that. Of a drawn text longer than its share of characters (``CHARS``, or less where ``CELLS`` words times
+languages would be passed) as many segments, spread evenly from its beginning to its end, are learned from, so that the
+driver's memory is bounded; no labelled text is cut. Labelling is vectorised over the documents of a batch and reads
+each text to its end: a text of more than ``LONG`` characters is taken in blocks, and its chain is solved in parallel
+pieces that are tied together by their transfer matrices, which gives the same marginals.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing could be learned; rows are
 judged one by one, so repeated rows and null ids get their own rows; further columns are ignored.
@@ -22,13 +26,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.quality import span_hashes
 from rankloom.llm.shared import KEY, hash_share, held_out
 
 PER_LANG, LEAST, SAMPLE, CHARS, BITS = 120, 24, 64 * 120, 8000, 15
+#: Words times languages of a fit at most, at some six characters a word, and the segments of a text that is longer than
+#: its share.
+CELLS, SEGMENTS = 12_000_000, 8
+#: Characters from which a text is labelled in blocks.
+LONG = 1_000_000
 #: A letter of any script. The standard library's word characters hold numerals that are none.
 LETTER = regex.compile(r"\p{L}")
 #: Bytes of longer characters that are no letters, marks or numbers would join words: they become blanks.
@@ -176,21 +185,89 @@ def fit(texts: list[str], langs: list[str], bits: int = BITS, steps: int = 30, r
     return model
 
 
+def segments(text: Column, most: int) -> Column:
+    """The text, or of a longer one ``SEGMENTS`` segments of ``most`` characters in all, spread evenly over it."""
+    size = max(1, most // SEGMENTS)
+    step = (F.length(text) - size) / F.lit(float(SEGMENTS - 1))
+    parts = [F.substr(text, (F.floor(step * k) + 1).cast("int"), F.lit(size)) for k in range(SEGMENTS)]
+    return F.when(F.length(text) > most, F.concat_ws(" ", *parts)).otherwise(text)
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on some ``per_lang`` documents of every language, or its share of ``SAMPLE``, without the held-out fold. What
-    the driver fits on is bounded in rows, and on average in characters; the rows that it draws are read whole."""
+    """Fit on ``per_lang`` documents of every language, or its share of ``SAMPLE``, without the held-out fold. What the
+    driver fits on is bounded in rows and in characters, and every language that has rows is in it."""
     doc_id = F.col(f"`{id_col}`").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return fit([], [])
     each = min(per_lang, max(LEAST, SAMPLE // len(counts)))
-    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n, each * CHARS / max(r.chars, 1))) for r in counts], "lang string, share double")
-    sample = rows.join(F.broadcast(shares), "lang").where(hash_share(F.col("doc_id"), F.lit(7)) < F.col("share")).select("lang", "text").toPandas().sort_values(["lang", "text"])
+    most = max(SEGMENTS, min(CHARS, 6 * CELLS // (len(counts) ** 2 * each)))
+    # Four times as many rows as are wanted by the hash alone, and of those the first, so that few rows are sorted.
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 4 * each / r.n)) for r in counts], "lang string, share double")
+    drawn = rows.withColumn("at", hash_share(F.col("doc_id"), F.lit(7))).join(F.broadcast(shares), "lang").where(F.col("at") < F.col("share"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id", F.xxhash64("text")))
+    first = drawn.select("lang", "at", "doc_id", segments(F.col("text"), most).alias("text")).withColumn("nth", nth).where(F.col("nth") <= each)
+    sample = first.select("lang", "text").toPandas().sort_values(["lang", "text"])
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
-def label(texts: list[str | None], model: Model, size: int = 1_000_000) -> Iterator[tuple[int, str, float, np.ndarray]]:
+def chain_marginals(em: np.ndarray, start: np.ndarray, trans: np.ndarray, piece: int | None = None) -> np.ndarray:
+    """The marginals that ``forward_backward`` gives, for one long sequence: pieces of it are worked on side by side.
+
+    A piece's transfer matrix, the product of its steps, carries the forward vector over it from the left and the backward
+    vector from the right; with both known at its ends a piece is solved alone.
+    """
+    n, size = em.shape
+    piece = piece or max(1, int(np.sqrt(n)))
+    body = em[1:].astype(np.float64)
+    full = (n - 1) // piece
+    steps, tail = body[: full * piece].reshape(full, piece, size), body[full * piece :]
+    over = np.broadcast_to(np.eye(size), (full, size, size)).copy()
+    for t in range(piece):
+        over = (over @ trans) * steps[:, t, None, :]
+        over /= over.max(axis=(1, 2), keepdims=True)
+    unit = lambda v: v / v.sum(axis=-1, keepdims=True)
+    alpha, gamma = np.empty((n, size)), np.empty((n, size))
+    alpha[0] = unit(start * em[0])
+    left = np.empty((full, size))
+    at = alpha[0]
+    for j in range(full):
+        left[j] = at
+        at = unit(at @ over[j])
+    inside = alpha[1 : 1 + full * piece].reshape(full, piece, size)
+    for t in range(piece):
+        left = unit((left @ trans) * steps[:, t])
+        inside[:, t] = left
+    for t in range(len(tail)):
+        at = alpha[1 + full * piece + t] = unit((at @ trans) * tail[t])
+    back = np.ones(size)
+    for t in range(len(tail) - 1, -1, -1):
+        gamma[1 + full * piece + t] = unit(alpha[1 + full * piece + t] * back)
+        back = unit(trans @ (tail[t] * back))
+    right = np.empty((full, size))
+    for j in range(full - 1, -1, -1):
+        right[j] = back
+        back = unit(over[j] @ back)
+    gamma[0] = unit(alpha[0] * back)
+    of = gamma[1 : 1 + full * piece].reshape(full, piece, size)
+    for t in range(piece - 1, -1, -1):
+        of[:, t] = unit(inside[:, t] * right)
+        right = unit((steps[:, t] * right) @ trans.T)
+    return gamma
+
+
+def blocks(text: str, size: int) -> Iterator[str]:
+    """The text in blocks of some ``size`` characters, parted at spaces."""
+    at = 0
+    while at < len(text):
+        cut = text.find(" ", at + size)
+        cut = len(text) if cut < 0 else cut
+        yield text[at:cut]
+        at = cut
+
+
+def label(texts: list[str | None], model: Model, size: int = LONG) -> Iterator[tuple[int, str, float, np.ndarray]]:
     """For each text, in an order of its own: its place, language, score and the marginals of its words."""
     fine = [k for k, t in enumerate(texts) if t and model.langs and LETTER.search(t)]
     for k in set(range(len(texts))) - set(fine):
@@ -198,23 +275,33 @@ def label(texts: list[str | None], model: Model, size: int = 1_000_000) -> Itera
     fine.sort(key=lambda k: -len(texts[k]))  # long texts together, so that few steps are taken for few texts
     start, trans = np.exp(model.start), np.exp(model.trans)
     bits = len(model.weight).bit_length() - 1
+
+    def likelihoods(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        feats, begins, hashes, words = word_features(some, bits)
+        return (np.exp(model.emissions(feats, begins, model.lexicon_rows(hashes))) if len(begins) else np.zeros((0, len(model.langs)))), words
+
+    def told(k: int, g: np.ndarray) -> tuple[int, str, float, np.ndarray]:
+        mean = g.mean(axis=0) if len(g) else np.zeros(len(model.langs))
+        best = int(mean.argmax())
+        return k, model.langs[best] if len(g) else "und", float(mean[best]), g
+
+    while fine and len(texts[fine[0]]) > size:
+        k = fine.pop(0)
+        em = np.concatenate([likelihoods([part])[0] for part in blocks(texts[k], size)])
+        yield told(k, chain_marginals(em, start, trans) if len(em) else em)
     while fine:
         n, total = 0, 0
         while n < len(fine) and (not n or total < size):
             total += len(texts[fine[n]])
             n += 1
         run, fine = fine[:n], fine[n:]
-        feats, begins, hashes, words = word_features([texts[k] for k in run], bits)
-        em = np.exp(model.emissions(feats, begins, model.lexicon_rows(hashes))) if len(begins) else np.zeros((0, len(model.langs)))
+        em, words = likelihoods([texts[k] for k in run])
         heads = np.cumsum(words) - words
         order = np.argsort(-words, kind="stable")
         full = order[: int((words > 0).sum())]
         gamma, _ = forward_backward(em, words[full], heads[full], start, trans)
         for j in range(n):
-            g = gamma[heads[j] : heads[j] + words[j]]
-            mean = g.mean(axis=0) if len(g) else np.zeros(len(model.langs))
-            best = int(mean.argmax())
-            yield run[j], model.langs[best] if len(g) else "und", float(mean[best]), g
+            yield told(run[j], gamma[heads[j] : heads[j] + words[j]])
 
 
 def labeller(docs: DataFrame, model: Model):

@@ -3,16 +3,21 @@
 Distinct fingerprints are dealt into tiles by the population counts of their four 16-bit quarters. Fingerprints that
 differ in at most ``radius`` bits have quarter counts that differ by at most ``radius`` in sum, so tile pairs beyond
 that are never made; what is left is compared whole with numpy's exclusive-or and bit counts. A tile holds some 512
-fingerprints at most: a crowded cell is dealt into several by hash, and any two of them meet in one task's row.
-A tile pair yields a spanning forest of its links and never the links themselves, so a large group of near copies
+fingerprints at most: a crowded cell is dealt into several by hash, and any two of them meet in one task's row. Tile
+pairs are listed by their keys first and fetch their two tiles by cell and part, so that the pairs of a crowded cell are
+spread over all its parts. A tile pair yields a spanning forest of its links and never the links themselves, so a large group of near copies
 costs comparisons but no rows.
 
-Defined results: a null text counts as empty and gets fingerprint zero, which links like any other; repeated rows
+A text is hashed in blocks of ``BLOCK`` bytes that overlap by a shingle, so that memory doesn't grow with its length by
+more than the text itself.
+
+Defined results: ties don't occur, as every fingerprint within the radius is a link; a null text counts as empty and gets fingerprint zero, which links like any other; repeated rows
 share their class; a null id never names a class unless it is alone in it; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import product
 
@@ -24,27 +29,42 @@ from pyspark.sql import functions as F
 from rankloom.llm.components import components
 from rankloom.llm.shared import KEY, cut, keep_rows, row_key
 
-SHINGLE, SEED, RADIUS, TILE = 3, 42, 3, 512
+SHINGLE, SEED, RADIUS, TILE, BLOCK = 3, 42, 3, 512, 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+
 
+def word_blocks(text: bytes, block: int) -> Iterator[list[bytes]]:
+    """The words of a text, in lists for some ``block`` bytes each."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + block)
+        end = gap.start() if gap else len(text)
+        if words := text[at:end].translate(LOWER).split():  # bytes.split() cuts at just the six ASCII white-space bytes
+            yield words
+        at = end
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> int:
     """The 64-bit fingerprint of one text: a bit is set if it is set in over half of the shingle hashes."""
     from xxhash import xxh64_intdigest
 
-    words = text.translate(LOWER).split()  # bytes.split() cuts at just the six ASCII white-space bytes
-    if not words:
-        return 0
-    line = b" ".join(words)
-    if len(words) <= shingle:
-        return xxh64_intdigest(line, seed)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1]
-    hashes = np.array([xxh64_intdigest(line[s:e], seed) for s, e in zip(starts.tolist(), ends[shingle - 1 :].tolist())], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for part in range(0, len(hashes), 200):  # sums of up to 200 ones fit a byte, which numpy adds fastest
-        counts += np.add.reduce(np.unpackbits(hashes[part : part + 200].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    counts, total, last = np.zeros(64, dtype=np.int64), 0, []
+    for words in word_blocks(text, block):
+        words = last + words
+        if len(words) >= shingle:
+            line = b" ".join(words)
+            ends = np.cumsum([len(w) + 1 for w in words]) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1]
+            hashes = np.array([xxh64_intdigest(line[s:e], seed) for s, e in zip(starts.tolist(), ends[shingle - 1 :].tolist())], dtype="<u8")
+            for part in range(0, len(hashes), 200):  # sums of up to 200 ones fit a byte, which numpy adds fastest
+                counts += np.add.reduce(np.unpackbits(hashes[part : part + 200].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+            total += len(hashes)
+            words = words[len(words) - shingle + 1 :]
+        last = words
+    if not total:
+        return xxh64_intdigest(b" ".join(last), seed) if last else 0
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -119,6 +139,17 @@ class Forest:
         return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([r for _, r in pairs], pa.int64())})
 
 
+def tile_pairs(crowd: DataFrame, radius: int) -> DataFrame:
+    """home, home_part, cell and part of every pair of tiles to compare, once each. ``crowd`` is (cell, parts): a row for
+    each cell that has fingerprints."""
+    crowd = cut(crowd, "cells")
+    steps = F.explode(F.array(*map(F.lit, half_neighbours(radius))))
+    near = crowd.select(F.col("cell").alias("home"), F.col("parts").alias("home_parts"), steps.alias("step")).withColumn("cell", F.col("home") + F.col("step")).join(crowd, "cell")
+    parts = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = near.withColumn("home_part", parts("home_parts")).withColumn("part", parts("parts"))
+    return every.where("home <> cell OR home_part <= part").select("home", "home_part", "cell", "part")
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges a, b between distinct fingerprints that join all those within the radius. ``fps`` has a column fp."""
     distinct = cut(fps.select("fp").distinct().withColumn("cell", cell_code(F.col("fp"))), "fingerprints")
@@ -127,9 +158,10 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
         distinct.join(crowd, "cell").groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part")).agg(F.collect_list("fp").alias("fps")),
         "tiles",
     )
-    steps = F.explode(F.array(*map(F.lit, half_neighbours(radius))))
-    other = tiles.select(F.col("cell").alias("home"), F.col("part").alias("home_part"), F.col("fps").alias("home_fps"), steps.alias("step")).withColumn("cell", F.col("home") + F.col("step"))
-    pairs = other.join(tiles, "cell").where("step <> 0 OR home_part <= part").select("home_fps", "fps", ((F.col("step") == 0) & (F.col("home_part") == F.col("part"))).alias("same"))
+    pairs = tile_pairs(distinct.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("parts")), radius)
+    home = tiles.select(F.col("cell").alias("home"), F.col("part").alias("home_part"), F.col("fps").alias("home_fps"))
+    pairs = pairs.join(home, ["home", "home_part"]).join(tiles, ["cell", "part"])
+    pairs = pairs.select("home_fps", "fps", ((F.col("home") == F.col("cell")) & (F.col("home_part") == F.col("part"))).alias("same"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()

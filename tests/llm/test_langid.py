@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.llm import langid
 
@@ -162,3 +163,41 @@ def test_more_than_64_languages_are_all_learned(spark):
     rows = [(k * 70 + j, " ".join(s * int(rng.integers(1, 3)) for _ in range(12)), f"l{j}") for k in range(30) for j, s in enumerate(letters)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(model.langs) == 70
+
+
+def test_long_texts_lose_no_language(spark):
+    rng = np.random.default_rng(5)
+    short = [(k, sentence("aa", rng, 20), "en") for k in range(200)]
+    long = [(1000 + k, " ".join([sentence("bb", rng, 40)] * 2000), "de") for k in range(12)]
+    model = langid.train(spark.createDataFrame(short + long, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en"]
+    mixed = [(2000 + k, sentence("bb", rng, 20), "de") for k in range(60)] + [(3000, " ".join([sentence("bb", rng, 40)] * 20_000), "de")]
+    docs = spark.createDataFrame(short + mixed, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == ["de", "en"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert got == {k: lang for k, _, lang in short + mixed}
+
+
+def test_segments_are_spread_over_the_text(spark):
+    text = "".join(f"{k:04}" for k in range(1000))
+    got = spark.createDataFrame([(text,), ("short",), ("",)], "t string").select(langid.segments(F.col("t"), 80).alias("s")).collect()
+    parts = got[0].s.split(" ")
+    assert [len(p) for p in parts] == [10] * 8 and text.startswith(parts[0]) and text.endswith(parts[-1]) and got[1].s == "short" and got[2].s == ""
+
+
+@pytest.mark.parametrize("n,piece", [(1, None), (2, 1), (7, 3), (50, 7), (50, 100), (400, None)])
+def test_chain_in_pieces_has_the_same_marginals(n, piece):
+    rng = np.random.default_rng(n)
+    em, start, trans = np.exp(-30 * rng.random((n, 3))), rng.random(3) + 0.1, rng.random((3, 3)) + 0.05
+    want, _ = langid.forward_backward(em, np.array([n]), np.array([0]), start, trans)
+    assert np.allclose(langid.chain_marginals(em, start, trans, piece), want, atol=1e-12)
+
+
+def test_long_texts_are_labelled_in_blocks(model):
+    rng = np.random.default_rng(6)
+    texts = [sentence("aa", rng, 60) + ". " + sentence("bb", rng, 80), sentence("cc", rng, 90), "  12 ", " ".join(["word"] * 5)]
+    plain = {k: (lang, score, g) for k, lang, score, g in langid.label(texts, model)}
+    for size in (20, 100):
+        for k, lang, score, g in langid.label(texts, model, size):
+            assert lang == plain[k][0] and score == pytest.approx(plain[k][1], abs=1e-5) and np.allclose(g, plain[k][2], atol=1e-5)

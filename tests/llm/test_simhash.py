@@ -82,3 +82,26 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 10, 64])
+def test_fingerprint_in_blocks(block):
+    rng = np.random.default_rng(block)
+    for text in [*TEXTS, "  ".join(rng.choice(["a", "Bc", "déf", "\n", "x" * 50], 200))]:
+        assert simhash.fingerprint((text or "").encode(), block=block) == brute_fingerprint(text)
+
+
+def test_pairs_of_a_crowded_cell_are_spread(spark):
+    """5,000 fingerprints of one cell in tiles of 16: every pair of tiles once, and no tile with more than its share."""
+    crowd = spark.createDataFrame([(4 * 32 + 9, 313), (4 * 32 + 10, 2)], "cell int, parts long")
+    pairs = simhash.tile_pairs(crowd, 3)
+    assert pairs.count() == 313 * 314 // 2 + 3 + 313 * 2
+    busiest = pairs.groupBy("home", "home_part").count().agg({"count": "max"}).first()[0]
+    assert busiest <= 313 + 2 and pairs.distinct().count() == pairs.count()
+    rng = np.random.default_rng(3)
+    halves = [int(sum(1 << int(b) for b in rng.permutation(16)[:8])) for _ in range(5000)]
+    fps = [(int(np.uint64(h << 48 | 0xFF00FF00FF).view(np.int64)) if h < 1 << 15 else (h << 48 | 0xFF00FF00FF) - (1 << 64),) for h in halves]
+    got = {(min(r), max(r)) for r in map(tuple, simhash.links(spark.createDataFrame(fps, "fp long"), tile=16).collect())}
+    whole = {(min(r), max(r)) for r in map(tuple, simhash.links(spark.createDataFrame(fps, "fp long"), tile=100_000).collect())}
+    label = lambda edges: len(components(spark.createDataFrame(list(edges), "a long, b long")).select("component").distinct().collect())
+    assert label(got) == label(whole)
