@@ -324,6 +324,10 @@ ORACLES["provider_prices"] = """
 SELECT 'N' || n_nationkey || '.NS' AS ticker, CAST(DATE '2023-01-01' + CAST(k AS INTEGER) AS DATE) AS date, 100.0::DOUBLE + (n_nationkey + 1) * k * 0.5::DOUBLE AS close
 FROM nation, range(60) r(k)
 """
+ORACLES["pushed_prices"] = f"SELECT * FROM ({PX['nation']}) WHERE ticker IN ('N3.NS', 'N7.NS', 'N11.NS') AND date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND close > 0"
+ORACLES["streamed_prices"] = f"SELECT * FROM ({PX['nation']}) WHERE close IS NOT NULL AND date BETWEEN DATE '1990-01-01' AND DATE '2010-12-31'"
+ORACLES["fetched_prices"] = f"SELECT * FROM ({PX['nation']}) WHERE close IS NOT NULL AND date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'"
+ORACLES["flat_ticker_prices"] = f"SELECT * FROM ({PX['nation']}) WHERE ticker = 'N5.NS'"
 ORACLES["wide_prices"] = f"""
 WITH px AS ({PX['nation']}), d AS (SELECT DISTINCT date FROM px), n AS (SELECT 'N' || k || '.NS' AS ticker FROM range(25) r(k))
 SELECT n.ticker, d.date, close FROM n, d LEFT JOIN px ON px.ticker = n.ticker AND px.date = d.date
@@ -404,7 +408,7 @@ SELECT pid, ticker, count(close) AS n, min(close) AS low, max(close) AS high FRO
 DATES = {
     ("date",): ("price_panel_supplier", "price_panel_nation", "price_panel_part", "price_panel_user", "forward_fill_panel", "period_growth", "walk_forward_curve", "walk_forward_curve_nation",
                 "benchmark_overlay", "first_available_benchmark", "normalized_curve", "buy_and_hold_curve", "unpivot_curve", "unpivot_curve_all", "latest_prices",
-                "provider_prices", "wide_prices", "backtest_of_picks"),
+                "provider_prices", "wide_prices", "backtest_of_picks", "pushed_prices", "streamed_prices", "fetched_prices", "flat_ticker_prices"),
     ("ordered", "shipped", "next_shipped"): ("asof_nation_prices",),
     ("entry", "exit"): ("rebalance_schedule",),
     ("entry", "signal"): ("signal_date_asof",),

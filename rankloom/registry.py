@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from datetime import date, timedelta
 
@@ -487,6 +489,57 @@ def provider_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.long_panel(spark.read.format("screening_prices").option("tickers", names).option("batch", "10").option("span", "15mo").load())
 
 
+def nation_provider(spark: SparkSession, sf_dir: str):
+    """A stand-in for a price service: it has the closes of the nations' panel (25 tickers by trading dates, sorted), and
+    fails when it is asked for other tickers than those."""
+    rows = t.nation_panel(spark, sf_dir).where("close IS NOT NULL").toPandas().sort_values("date")
+    known = {ticker: (of["date"].tolist(), of["close"].tolist()) for ticker, of in rows.groupby("ticker")}
+
+    def answer(tickers: list[str], since: date, until: date):
+        for ticker in tickers:
+            days, closes = known[ticker]
+            for k in range(bisect_left(days, since), bisect_right(days, until)):
+                yield ticker, days[k], closes[k]
+
+    return answer
+
+
+@query
+def pushed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year of three tickers, which the price source takes from the query's filters."""
+    name = prices.register_dated_source(spark, nation_provider(spark, sf_dir), f"nation_prices_{uuid.uuid4().hex[:8]}")
+    wanted = F.col("ticker").isin("N3.NS", "N7.NS", "N11.NS") & F.col("date").between(F.lit(date(1997, 1, 1)), F.lit(date(1997, 12, 31)))
+    return spark.read.format(name).load().where(wanted & (F.col("close") > 0))
+
+
+@query
+def streamed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All closes of the nations by daily increments, in two runs of one stream."""
+    folder, tickers = scratch_dir(spark, "stream"), ",".join(f"N{k}.NS" for k in range(25))
+    name = prices.register_dated_source(spark, nation_provider(spark, sf_dir), f"nation_stream_{uuid.uuid4().hex[:8]}")
+    for until in ("1996-06-30", "2010-12-31"):
+        rows = spark.readStream.format(name).option("tickers", tickers).option("since", "1990-01-01").option("until", until).option("batch", "10").load()
+        rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(prices.PANEL).parquet(f"{folder}/out")
+
+
+@query
+def fetched_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prices of every nation's symbol, asked for on the executors in batches of ten."""
+    answer = nation_provider(spark, sf_dir)
+    symbols = t.table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".ns")).alias("ticker"))
+    found = t.nation_panel(spark, sf_dir).select("ticker").distinct()
+    wanted = symbols.join(found, F.upper(symbols["ticker"]) == found["ticker"], "left_semi")
+    return prices.long_panel(prices.fetch_prices(wanted, lambda: answer, date(1994, 1, 1), date(1996, 12, 31), batch=10))
+
+
+@query
+def flat_ticker_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat answer for one ticker: date, open and close without a ticker."""
+    one = t.nation_panel(spark, sf_dir).where("ticker = 'N5.NS'").select(F.col("date").alias("Date"), (F.col("close") / 2).alias("Open"), F.col("close").alias("Close"))
+    return prices.from_answer(one, ["n5.ns"], date="Date")
+
+
 @query
 def wide_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A column for each nation and back: every symbol has a row for every date, with or without a close."""
