@@ -337,6 +337,15 @@ SELECT 'S' || s_suppkey AS ticker, 'https://pages.example.com/company/S' || s_su
        CAST(NULL AS VARCHAR) AS error, s_suppkey + 1.5::DOUBLE AS market_cap_cr
 FROM supplier
 """
+ORACLES["retried_pages"] = """
+WITH s AS (
+  SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 5 = 1 ELSE s_suppkey % 7 = 0 END AS once,
+         CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 7 = 0 ELSE s_suppkey % 21 = 0 END AS again FROM supplier
+)
+SELECT 'S' || s_suppkey AS ticker, CASE WHEN once AND again THEN 'HTTP status 503' END AS error, CASE WHEN once THEN 2 ELSE 1 END AS tries,
+       CASE WHEN NOT (once AND again) THEN s_suppkey + 1.5::DOUBLE END AS market_cap_cr
+FROM s
+"""
 ORACLES["fetched_market_caps"] = f"""
 WITH s AS (SELECT 's' || s_suppkey || '.ns' AS symbol, CASE WHEN s_suppkey % 4 <> 0 AND CAST(s_suppkey AS VARCHAR) NOT LIKE '1%' THEN s_suppkey * 1e7::DOUBLE END AS market_cap FROM supplier)
 SELECT symbol, market_cap, {rnd("market_cap / 10000000.0::DOUBLE")} AS market_cap_cr FROM s

@@ -29,6 +29,7 @@ from rankloom.sources import market_caps, pages, prices, store
 from rankloom.sources import tables as t
 from rankloom.sources import universe_csv as universe_csv_source
 from rankloom.sources.scratch import scratch_dir
+from rankloom.streaming import retry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -568,6 +569,34 @@ def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ticker", "page_url", "error", fund.market_cap(F.col("items")).alias("market_cap_cr"))
 
 
+def site_in_run(run: int):
+    """Which suppliers' pages a site can't give in each of three runs."""
+
+    def get(url: str) -> tuple[int, str]:
+        key = int(url.split("/company/S")[1].split("/")[0])
+        down = (key % 5 == 1, key % 7 == 0, key % 21 == 0)[run]
+        return (503, "") if down else (200, f'<ul id="top-ratios"><li>Market Cap {key + 1}.50 Cr.</li></ul>')
+
+    return lambda: get
+
+
+@query
+def retried_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's page by a stream in three runs: half of them are wanted in the first and half in the second; what
+    fails comes back a run later, and is given up after two tries."""
+    ticker = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
+    wanted = t.table(spark, sf_dir, "supplier").select("s_suppkey", ticker.alias("ticker"), universe.page_url(ticker).alias("page_url"))
+    folder = scratch_dir(spark, "retry")
+    for run in range(3):
+        if run < 2:
+            retry.want(wanted.where(F.col("s_suppkey") % 2 == run), f"{folder}/wanted")
+        else:
+            retry.beat(spark, f"{folder}/wanted")
+        retry.fetch_wanted(spark, f"{folder}/wanted", f"{folder}/out", f"{folder}/checkpoint", site_in_run(run), attempts=2, backoff=0.0).awaitTermination()
+    found = pages.parse_pages(spark.read.schema(retry.FETCHED).parquet(f"{folder}/out"))
+    return found.select("ticker", "error", "tries", fund.market_cap(F.col("items")).alias("market_cap_cr"))
+
+
 def cap_client():
     return lambda symbols: {s: float(s[1:].split(".")[0]) * 1e7 if int(s[1:].split(".")[0]) % 4 else 0 for s in symbols if not s.startswith("S1")}
 

@@ -8,7 +8,7 @@ is column expressions.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -176,17 +176,33 @@ def fetch(url: str, client: Client, sleep: Callable[[float], None] = time.sleep,
     return url, None, error
 
 
+def paced(pages: Iterable[tuple[str, str, str]], client: Client, gap: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple]:
+    """ticker, page_url, html and error of each (ticker, page_url, lane), with ``gap`` seconds at least between two pages of
+    one lane."""
+    last: dict[str, float] = {}
+    for ticker, url, lane in pages:
+        if lane in last:
+            sleep(max(0.0, last[lane] + gap - clock()))
+        last[lane] = clock()
+        yield ticker, *fetch(url, client, sleep)
+
+
 def fetch_pages(wanted: DataFrame, make_client: Callable[[], Client], pause: float = 0.6, max_partitions: int = 4) -> DataFrame:
-    """ticker, page_url, html and error for each (ticker, page_url): every partition has a client and pauses between
-    pages, and the number of partitions bounds how many pages are asked for at once."""
+    """ticker, page_url, html and error for each (ticker, page_url).
+
+    A host is asked for a page every ``pause`` seconds at most, however many tasks there are: its pages are dealt into
+    ``max_partitions`` lanes, every lane is in one task, and waits so many pauses between its pages. Hosts don't wait for
+    one another but where they share a task. Pages asked again at once are the business of ``fetch``; those that are to be
+    tried later, and partial results that outlive a failed task, that of ``streaming.retry``.
+    """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
-        for batch in batches:
-            out = []
-            for ticker, url in zip(batch["ticker"], batch["page_url"]):
-                out.append((ticker, *fetch(url, client)))
-                time.sleep(pause)
-            yield pd.DataFrame(out, columns=["ticker", "page_url", "html", "error"])
-
-    return wanted.select("ticker", "page_url").repartition(max_partitions).mapInPandas(of, "ticker string, page_url string, html string, error string")
+        rows = ((ticker, url, lane) for batch in batches for ticker, url, lane in zip(batch["ticker"], batch["page_url"], batch["lane"]))
+        for found in paced(rows, client, pause * max_partitions):
+            yield pd.DataFrame([found], columns=["ticker", "page_url", "html", "error"])
+
+    host = F.coalesce(F.regexp_extract("page_url", r"^[^:/]*://([^/?#]*)", 1), F.lit(""))
+    lane = F.concat(host, F.lit(" "), F.pmod(F.xxhash64("page_url"), F.lit(max_partitions)).cast("string"))
+    dealt = wanted.select("ticker", "page_url", lane.alias("lane"))
+    return dealt.repartition("lane").mapInPandas(of, "ticker string, page_url string, html string, error string")

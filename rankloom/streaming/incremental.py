@@ -1,7 +1,7 @@
 """An extension: the holding scan as an incremental stream of page files.
 
 New page files are scanned when they come up and appended to a table; the stream's checkpoint is the set of files that
-are done. Rows whose fetch failed are not tried again by the stream: the resumable batch scan does that.
+are done. Pages whose fetch failed are fetched again by ``retry``, before they come here.
 """
 
 from __future__ import annotations
