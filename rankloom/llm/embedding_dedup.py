@@ -63,10 +63,19 @@ def decode(y: np.ndarray) -> np.ndarray:
     return np.where((((y - a) ** 2).sum(axis=1) <= ((y - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
+def product_of(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """x @ q, summed in one order: a row has the same product to the last bit in whatever batch it is, which a library's
+    product of matrices doesn't promise. A point on the border of a cell is so always found on the same side."""
+    out = x[:, :1] * q[0]
+    for k in range(1, len(q)):
+        out += x[:, k, None] * q[k]
+    return out
+
+
 def probed(y: np.ndarray, home: np.ndarray, probes: int, around: np.ndarray) -> np.ndarray:
     """The ``probes`` neighbours of the home cell whose points are nearest, by rows."""
     gap = y - home  # |home + v - y|^2 = |gap|^2 - 2 gap.v + 2 for every minimal v
-    nearest = np.argpartition(-(gap @ around.T), probes - 1, axis=1)[:, :probes]
+    nearest = np.argpartition(-product_of(gap, around.T), probes - 1, axis=1)[:, :probes]
     return home[:, None, :] + around[nearest]
 
 
@@ -110,7 +119,7 @@ class Lattice:
             rng, wide = np.random.default_rng([self.seed, dim]), max(dim, 8)
             self.maps[dim] = [np.linalg.qr(rng.normal(size=(wide, 8)))[0][:dim] / (self.width * np.sqrt(8 / wide)) for _ in range(self.tables)]
         for t, q in enumerate(self.maps[dim]):
-            y = x @ q
+            y = product_of(x, q)
             home = decode(y)
             salt = (labels.astype(np.int64) * 1000003 + dim) * 64 + t
             near = probed(y, home, self.probes, self.around) if probes else np.zeros((len(x), 0, 8))

@@ -128,3 +128,14 @@ def test_doubles_and_a_long_chain(spark):
 
 def test_empty_table(spark):
     assert ed.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_keys_hang_on_the_row_alone():
+    """Whatever the batch, also where points are on the borders of cells."""
+    rng = np.random.default_rng(2)
+    x = ed.unit_rows(np.round(rng.normal(size=(3000, 48)), 1) + 0.05)
+    lattice, labels = ed.Lattice(0.98, 5, 3, 2.0, 8), np.zeros(3000, np.int64)
+    every = list(lattice.keys(x, labels))
+    for rows in (np.array([7]), np.arange(2), rng.permutation(3000)[:501], np.arange(3000)[::-1]):
+        for (homes, probes), (some, others) in zip(every, lattice.keys(x[rows], labels[rows])):
+            assert (homes[rows] == some).all() and (probes[:, rows] == others).all()
