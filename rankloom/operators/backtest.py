@@ -281,17 +281,30 @@ def backtest_top10(picks: DataFrame, panel: DataFrame, months: int = 6, capital:
 
 def buy_and_hold(picks: DataFrame, panel: DataFrame, capital: float = INITIAL_CAPITAL) -> tuple[DataFrame, DataFrame]:
     """Curve and holdings of the ten best current picks, each held from its first price. For comparison only: it picks
-    with hindsight. The weight of a pick without prices stays uninvested."""
+    with hindsight. The weight of a pick without prices stays uninvested.
+
+    The prices of ten tickers become a row for each date with a column for each rank, so that the panel is read once and
+    the curve is a scan of dates.
+    """
     ten = keep_first(picks.select(F.upper("symbol").alias("ticker"), "score"), ["ticker"], [F.desc("score")])
     ten = ten.orderBy(F.desc("score"), "ticker").limit(NAMES).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "ticker")))
-    ten = ten.withColumn("weight", tier_weight(F.col("rank"), F.count("*").over(Window.partitionBy())))
-    few = panel.where("close IS NOT NULL").join(F.broadcast(ten.select("ticker")), "ticker", "left_semi")  # ten tickers
-    held = carry_forward(few, calendar_of(few))
-    first = held.groupBy("ticker").agg(F.min_by("filled", "date").alias("entry_price"))
-    lots = ten.join(first, "ticker").withColumn("lot", F.coalesce(F.lit(capital) * F.col("weight") / F.nullif("entry_price", F.lit(0.0)), F.lit(0.0)))
+    ten = F.broadcast(ten.select("ticker", "rank", F.count("*").over(Window.partitionBy()).alias("n")))
+    few = panel.where("close IS NOT NULL").join(ten, "ticker")
+    weight = lambda rank: tier_weight(rank, F.col("n"))
+    lot = lambda rank, entry: F.coalesce(F.lit(capital) * weight(rank) / F.nullif(entry, F.lit(0.0)), F.lit(0.0))
+
+    ranks = range(1, NAMES + 1)
+    dates = few.groupBy("date").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("rank") == r, F.col("close"))).alias(f"close_{r}") for r in ranks])
+    by_date = Window.orderBy("date")  # a row for each trading date
+    so_far, ever = by_date.rowsBetween(Window.unboundedPreceding, Window.currentRow), by_date.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = dates.select("date", "n", *[c for r in ranks for c in (F.last(f"close_{r}", ignorenulls=True).over(so_far).alias(f"now_{r}"), F.first(f"close_{r}", ignorenulls=True).over(ever).alias(f"entry_{r}"))])
     # Before a ticker's first price the whole curve is undefined, as a sum with a missing part is.
-    total = held.join(F.broadcast(lots.select("ticker", "lot")), "ticker").groupBy("date").agg(F.sum(F.col("filled") * F.col("lot")).alias("value"), F.count("*").alias("n"))
-    full = lots.agg(F.count("*").alias("lots"))
-    curve = total.join(F.broadcast(full), F.col("n") == F.col("lots")).select("date", F.lit("Strategy").alias("series"), "value")
-    holdings = lots.select("rank", "ticker", "weight", rounded(F.col("weight") * capital).alias("allocation"), rounded(F.col("entry_price")).alias("entry_price"), rounded(F.col("lot"), 4).alias("shares"))
+    for r in ranks:
+        known = known.where(F.col(f"entry_{r}").isNull() | F.col(f"now_{r}").isNotNull())
+    value = sum((F.coalesce(F.col(f"now_{r}") * lot(F.lit(r), F.col(f"entry_{r}")), F.lit(0.0)) for r in ranks), F.lit(0.0))
+    curve = known.select("date", F.lit("Strategy").alias("series"), value.alias("value"))
+
+    held = few.groupBy("ticker", "rank", "n").agg(F.min_by("close", "date").alias("entry"))
+    rank = F.col("rank")
+    holdings = held.select("rank", "ticker", weight(rank).alias("weight"), rounded(weight(rank) * capital).alias("allocation"), rounded(F.col("entry")).alias("entry_price"), rounded(lot(rank, F.col("entry")), 4).alias("shares"))
     return curve, holdings
