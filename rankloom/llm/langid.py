@@ -14,7 +14,7 @@ driver's memory is bounded; no labelled text is cut. Labelling is vectorised ove
 each text to its end: a text of more than ``LONG`` characters is taken in blocks, and its chain is solved in parallel
 pieces that are tied together by their transfer matrices, which gives the same marginals.
 
-Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing could be learned; rows are
+Defined results: an empty table gives no rows; ``und`` with score 0 where the text is null or has no letter, or nothing could be learned; rows are
 judged one by one, so repeated rows and null ids get their own rows; further columns are ignored.
 """
 

@@ -13,7 +13,7 @@ bounded by its piece (or by one longer text), not by the corpus.
 Memory: a worker holds some tens of bytes for each character of a run of texts or of one longer text, however long.
 
 A document's score is its loss per token under the target less that under the background, in nats: below zero is
-nearer the target. Defined results: a null or empty text is the end symbol alone (one token); rows are scored one by
+nearer the target. Defined results: an empty table gives no rows; a null or empty text is the end symbol alone (one token); rows are scored one by
 one; without a target both models are the background's and every score is 0; further columns are ignored.
 """
 

@@ -4,15 +4,18 @@ Features of a whole text are the sets of its word 1- and 2-grams and of its word
 shape is the order of its character classes (lower, upper, digit, each mark), and whether it repeats the word before.
 The log-count ratios and the hinge-loss model (dual coordinate descent) are fitted on a bounded sample of labelled
 rows, ``per_class`` of each class, taken by a hash of the id; a fifth of it is kept back to calibrate the margin to a
-probability. Scoring reads whole texts where Spark has them; only the sample's features come to the driver.
+probability. Scoring reads whole texts where Spark has them, a long one in blocks of ``BLOCK`` bytes, so that memory
+doesn't grow with it beyond the text itself; only the sample's features come to the driver. A document that is there
+twice is two rows to learn from.
 
-Defined results: a null text is an empty one; an empty text has no features and gets the score of the bias alone;
+Defined results: an empty table gives no rows; a null text is an empty one; an empty text has no features and gets the score of the bias alone;
 without rows of both classes to learn from every score is the share of the class that there is, or one half; ids
 labelled twice count once with the lower label; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.shared import hash_share, held_out
 
-BITS, PER_CLASS, THRESHOLD = 18, 2500, 0.7
+BITS, PER_CLASS, THRESHOLD, BLOCK = 18, 2500, 0.7, 1 << 20
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,27 +63,40 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return (sums[ends] - sums[starts]) * down[starts]
 
 
-def features(text: bytes, bits: int = BITS) -> np.ndarray:
-    """The hashed features that the text has, each once, in order."""
+def grams(text: bytes, skip: int = 0) -> np.ndarray:
+    """Hashes of the n-grams that end after the first ``skip`` words, in no order; the skipped ones only lead them."""
     raw = np.frombuffer(text, dtype=np.uint8)
     kind = CLASS[raw]
     edge = np.diff(np.concatenate(([0], (kind != 0).view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.zeros(0, dtype=np.int32)
+        return np.zeros(0, dtype=np.uint64)
     words = span_hashes(FOLD[raw], starts, ends)
     turn = np.concatenate(([True], kind[1:] != kind[:-1])) & (kind != 0)
     at = np.concatenate(([0], np.cumsum(turn)))
     shapes = span_hashes(kind[turn].astype(np.uint64), at[starts], at[ends]) * np.uint64(2)
     shapes[1:] += words[1:] == words[:-1]
     mix = ODD | np.uint64(1)
-    grams = [words, words[:-1] * mix + words[1:] + np.uint64(11)]
     two = shapes[:-1] * mix + shapes[1:]
-    grams += [shapes * mix + np.uint64(23), two * mix + np.uint64(37), (two[:-1] * mix + shapes[2:]) * mix + np.uint64(51)]
-    every = np.concatenate(grams)
-    every ^= every >> np.uint64(29)
-    every *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique((every >> np.uint64(64 - bits)).astype(np.int32))
+    every = [words[skip:], (words[:-1] * mix + words[1:] + np.uint64(11))[max(skip - 1, 0) :], (shapes * mix + np.uint64(23))[skip:], (two * mix + np.uint64(37))[max(skip - 1, 0) :]]
+    every.append(((two[:-1] * mix + shapes[2:]) * mix + np.uint64(51))[max(skip - 2, 0) :])
+    return np.concatenate(every)
+
+
+def features(text: bytes, bits: int = BITS, block: int = BLOCK) -> np.ndarray:
+    """The hashed features that the text has, each once, in order. A longer text is taken in blocks, each of which begins
+    with the last three words of the one before."""
+    found, led, at = [], [], 0
+    while at < len(text):
+        gap = GAP.search(text, at + block)
+        end = gap.start() if gap else len(text)
+        part = b" ".join([*led, text[at:end]])
+        every = grams(part, len(led))
+        every ^= every >> np.uint64(29)
+        every *= np.uint64(0xBF58476D1CE4E5B9)
+        found.append(np.unique((every >> np.uint64(64 - bits)).astype(np.int32)))
+        led, at = part.rsplit(None, 3)[-3:], end
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int32)
 
 
 @dataclass

@@ -6,7 +6,7 @@ each, or as many as ``threads`` says: set it to the cores that ``spark.task.cpus
 repeated units come from a cache. Parity is verified on the run: whatever is encoded is also encoded by the
 sentencepiece library and decoded again, and each document tells whether all of it agreed.
 
-Defined results: a null text gives null ids, n_tokens 0 and true checks; an empty text has no tokens; rows are encoded
+Defined results: an empty table gives no rows; a null text gives null ids, n_tokens 0 and true checks; an empty text has no tokens; rows are encoded
 one by one; further columns are ignored. Texts of any length are encoded and decoded whole, in the memory of a few times
 their size.
 """

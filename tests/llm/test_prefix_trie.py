@@ -67,7 +67,7 @@ def made(n, seed):
     for c in range(n):
         c = c * 3 if seed % 2 else c
         long = c % 50 == 0
-        for turn in range(rng.randrange(1, 30 if long else 6)):
+        for turn in range(rng.randrange(1, 14 if long else 6)):
             rows.append((c, turn, rng.choice(["user", None]) if turn % 2 else "user", rng.choice(texts[: 2 + turn % 4]) if rng.random() < 0.9 else None))
     for c in range(n, n + 30):  # copies, over a long run that many share
         rows += [(c * 3 if seed % 2 else c, turn, "system", f"shared {turn}") for turn in range(12 + c % 3)]

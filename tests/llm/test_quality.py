@@ -115,3 +115,12 @@ def test_the_query_scores_as_loops_do(spark):
     for k in short:
         want = brute_score(texts[k], model)
         assert got[k].score == pytest.approx(want, abs=1e-4) and (abs(want - 0.7) < 1e-4 or got[k].predicted == int(want >= 0.7))
+
+
+@pytest.mark.parametrize("block", [1, 7, 40, 300])
+def test_features_in_blocks(block):
+    rng = np.random.default_rng(block)
+    words = ["A", "a", "b1", "x-y", "\u00c9t\u00e9", "\n", "  ", "long" * 30, "12", "a"]
+    for n in (0, 1, 2, 3, 4, 9, 200):
+        text = " ".join(rng.choice(words, n)).encode()
+        assert (quality.features(text, block=block) == quality.features(text)).all(), text
