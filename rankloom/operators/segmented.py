@@ -1,12 +1,12 @@
 """Running values within a key, for keys that may hold most of all rows.
 
 A window by key puts a key's rows in one task. Here the key's rows are cut by a chunk of its order (a year, an hour, a
-block of numbers: any expression that never falls along the order). Each chunk gives one row of a summary, the
-summaries are scanned by key, and what is carried into a chunk is joined to its rows and merged with a window inside
-the chunk. No task holds more than the rows of one (key, chunk) in order, and the scan by key meets one row a chunk.
+block of numbers: any expression that never falls along the order). Each chunk gives one row of a summary, and the
+summaries are scanned by key. What is carried into a chunk joins its rows as one row more, before or after all others,
+so that a window inside the chunk gives the running value of the key. No task holds more than the rows of one (key,
+chunk) in order, and the scan by key meets one row a chunk.
 
-The summaries are summed inside tasks before their shuffle; the rows are shuffled once by key and chunk, which serves
-the join and the windows.
+There is no join. Summaries are made inside tasks before their shuffle; the rows are shuffled once, by key and chunk.
 """
 
 from __future__ import annotations
@@ -14,25 +14,31 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Makes an expression of a window of rows, or of chunks.
-Over = Callable[[WindowSpec], Column]
-
 
 @dataclass(frozen=True)
 class Scan:
-    """A running value in three steps: ``local`` of a column inside a chunk, ``summary`` of a whole chunk (given the
-    column and the order as one value), ``carry`` over the summaries before it (or after it, for ``ahead``), and
-    ``merge`` of local value and carried one."""
+    """A running value: ``running`` of a column over rows in order. It must be the same if rows that were met before (or
+    that come after, with ``ahead``) are put in one row with what ``summary`` and then ``running`` make of them.
+
+    ``summary`` is given the column and the order as one value; ``value`` is what of a column counts.
+    """
 
     column: str
-    local: Callable[[Column], Column]
+    running: Callable[[Column], Column]
     summary: Callable[[Column, Column], Column]
-    carry: Callable[[Column], Column]
-    merge: Callable[[Column, Column], Column]
     ahead: bool = False
+    value: Callable[[Column], Column] = lambda c: c
+
+
+def _first(c: Column) -> Column:
+    return F.first(c, ignorenulls=True)
+
+
+def _last(c: Column) -> Column:
+    return F.last(c, ignorenulls=True)
 
 
 def _known(value: Column, order: Column) -> Column:
@@ -41,34 +47,31 @@ def _known(value: Column, order: Column) -> Column:
 
 def last_known(column: str) -> Scan:
     """The last value that isn't null, up to the row."""
-    last = lambda c: F.last(c, ignorenulls=True)
-    return Scan(column, last, lambda c, o: F.max_by(c, _known(c, o)), last, lambda here, before: F.coalesce(here, before))
+    return Scan(column, _last, lambda c, o: F.max_by(c, _known(c, o)))
 
 
 def next_known(column: str) -> Scan:
     """The first value that isn't null, from the row on."""
-    first = lambda c: F.first(c, ignorenulls=True)
-    return Scan(column, first, lambda c, o: F.min_by(c, _known(c, o)), first, lambda here, after: F.coalesce(here, after), ahead=True)
+    return Scan(column, _first, lambda c, o: F.min_by(c, _known(c, o)), ahead=True)
 
 
 def first_known(column: str) -> Scan:
     """The key's first value that isn't null, null before it."""
-    first = lambda c: F.first(c, ignorenulls=True)
-    return Scan(column, first, lambda c, o: F.min_by(c, _known(c, o)), first, lambda here, before: F.coalesce(before, here))
+    return Scan(column, _first, lambda c, o: F.min_by(c, _known(c, o)))
 
 
 def running_max(column: str) -> Scan:
-    return Scan(column, F.max, lambda c, o: F.max(c), F.max, lambda here, before: F.greatest(here, before))
+    return Scan(column, F.max, lambda c, o: F.max(c))
 
 
 def running_sum(column: str) -> Scan:
     """The sum up to the row; null while all values are."""
-    return Scan(column, F.sum, lambda c, o: F.sum(c), F.sum, lambda here, before: F.coalesce(here + before, here, before))
+    return Scan(column, F.sum, lambda c, o: F.sum(c))
 
 
 def running_count(column: str) -> Scan:
     """How many values up to the row aren't null."""
-    return Scan(column, F.count, lambda c, o: F.count(c), F.sum, lambda here, before: here + F.coalesce(before, F.lit(0)))
+    return Scan(column, F.sum, lambda c, o: F.sum(c), value=lambda c: c.isNotNull().cast("long"))
 
 
 def segmented_scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, scans: Mapping[str, Scan]) -> DataFrame:
@@ -76,17 +79,18 @@ def segmented_scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str], c
 
     A null key is a key; rows whose chunk is null stand before all others, as nulls do in the order.
     """
-    cut = rows.withColumn("_chunk", chunk)
+    cut = rows.withColumns({"_chunk": chunk, **{f"_v_{name}": s.value(F.col(s.column)) for name, s in scans.items()}})
     if not keys:
         cut, keys = cut.withColumn("_one", F.lit(1)), ["_one"]
     at = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    summed = cut.groupBy(*keys, "_chunk").agg(*[s.summary(F.col(s.column), at).alias(f"_s_{name}") for name, s in scans.items()])
+    summed = cut.groupBy(*keys, "_chunk").agg(*[s.summary(F.col(f"_v_{name}"), at).alias(f"_v_{name}") for name, s in scans.items()])
     chunks = Window.partitionBy(*keys).orderBy("_chunk")  # one row a chunk
-    sides = {False: chunks.rowsBetween(Window.unboundedPreceding, -1), True: chunks.rowsBetween(1, Window.unboundedFollowing)}
-    carried = summed.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"), *[s.carry(F.col(f"_s_{name}")).over(sides[s.ahead]).alias(f"_c_{name}") for name, s in scans.items()])
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "_chunk")[:-1]] + [F.col("_chunk").eqNullSafe(F.col("_k_chunk"))]
-    met = cut.join(carried, same)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    here = {False: inside.rowsBetween(Window.unboundedPreceding, Window.currentRow), True: inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)}
-    made = [s.merge(s.local(F.col(s.column)).over(here[s.ahead]), F.col(f"_c_{name}")).alias(name) for name, s in scans.items()]
-    return met.select(*[F.col(c) for c in rows.columns if c not in scans], *made)
+    others = {False: chunks.rowsBetween(Window.unboundedPreceding, -1), True: chunks.rowsBetween(1, Window.unboundedFollowing)}
+    met = cut.withColumn("_edge", F.lit(0))
+    for ahead in {s.ahead for s in scans.values()}:
+        carried = [s.running(F.col(f"_v_{name}")).over(others[ahead]).alias(f"_v_{name}") for name, s in scans.items() if s.ahead == ahead]
+        met = met.unionByName(summed.select(*keys, "_chunk", F.lit(1 if ahead else -1).alias("_edge"), *carried), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_edge", *order)
+    frames = {False: inside.rowsBetween(Window.unboundedPreceding, Window.currentRow), True: inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)}
+    made = [s.running(F.col(f"_v_{name}")).over(frames[s.ahead]).alias(name) for name, s in scans.items()]
+    return met.select("_edge", *[F.col(c) for c in rows.columns if c not in scans], *made).where("_edge = 0").drop("_edge")
