@@ -102,7 +102,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(docs, lm_score.labelled_good(docs, table(spark, sf_dir, "labels"))))
+    return lm_score.score_against(docs, lm_score.good_ids(table(spark, sf_dir, "labels")))
 
 
 @query

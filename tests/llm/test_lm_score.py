@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.llm import lm_score as lm
 
@@ -91,3 +92,39 @@ def test_good_ids_by_broadcast_or_by_merge(spark, monkeypatch):
     assert sorted(map(tuple, lm.labelled_good(docs, labels).collect())) == want
     monkeypatch.setattr(lm, "BROADCAST_IDS", 1)
     assert sorted(map(tuple, lm.labelled_good(docs, labels).collect())) == want
+
+
+def test_ids_as_target_match_brute_force_in_pieces_of_any_size(spark, monkeypatch):
+    rows = ROWS + [(9, "xyz " * 30, "x", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    ids = spark.createDataFrame([(0,), (4,), (4,), (None,), (77,)], "doc_id int")
+    key = lambda r: (r[0] is None, r[0], r[1])
+    want = sorted(brute(rows, {0, 4}), key=key)
+    for size in (30, 4_000_000):
+        monkeypatch.setattr(lm, "PIECE", size)
+        got = sorted(map(tuple, lm.score_against(docs, ids, SYMBOLS, ORDER).collect()), key=key)
+        for have, need in zip(got, want, strict=True):
+            assert have[:2] == need[:2] and have[2:4] == pytest.approx(need[2:], rel=1e-9) and have[4] == pytest.approx(need[2] - need[3], abs=1e-9)
+
+
+def test_both_ways_to_score_agree(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 7} of many" * (k % 5)) for k in range(60)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 3 % 2) for k in range(60)], "doc_id long, quality int")
+    one = {r.doc_id: r.score for r in lm.score(docs, lm.train(docs, lm.labelled_good(docs, labels))).collect()}
+    two = {r.doc_id: r.score for r in lm.score_against(docs, lm.good_ids(labels)).collect()}
+    assert two == {k: pytest.approx(v, abs=1e-12) for k, v in one.items()} and len(two) == 60
+
+
+def test_ids_as_target_of_nothing(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    none = lm.good_ids(spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.score for r in lm.score_against(docs, none).collect()} == {0.0}
+    assert lm.score_against(docs.limit(0), none).count() == 0
+
+
+def test_texts_are_not_shuffled_after_they_are_in_buckets(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    pieces = lm.in_pieces(docs, "doc_id", "text")
+    other = spark.range(5).select(F.col("id").alias("piece"), "id")
+    plan = pieces.groupBy("piece").cogroup(other.groupBy("piece")).applyInArrow(lambda a, b: a, "doc_id long, text string, piece long")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
