@@ -84,5 +84,5 @@ def recover_holdings(store: Store, holder: str, prices: Prices, config: Screenin
     source = newest_scan(store, holder)
     found = store.load(source) if source else None
     if found is None:
-        raise FileNotFoundError(f"No saved {holder.upper()} scan found yet.")
+        raise FileNotFoundError(f"no {holder.upper()} scan is saved in {store.folder}")
     return finish_holdings(found, prices, holder, config, store, top, final)
