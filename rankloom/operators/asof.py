@@ -7,7 +7,7 @@ its chunks of time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +42,27 @@ def asof_join(
     return met.select("_left.*", *[F.col(f"_met.`{named.get(c, c)}`") for c in taken])
 
 
+def asof_both(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, after: Mapping[str, str], chunk: Column | None = None, ties: Sequence[str] = (), few: bool = False) -> DataFrame:
+    """Each left row with the columns of the last right row of its keys at or before it, and of the first one after it
+    (named by ``after``, for each column of ``right`` but the keys); null where there is none.
+
+    For left rows that share their moments, as orders share days: every moment of a key is matched once, both ways by
+    one scan, and left rows fetch what it met by a join on equality. No left row is sorted. ``few`` tells that the
+    moments are few however many rows there are, so that they are broadcast. ``chunk`` and ``ties`` are those of
+    ``asof_join``. As in SQL, null keys and left rows without a time meet nothing.
+    """
+    taken = [c for c in right.columns if c not in keys]
+    by_key = [f"_key_{k}" for k in keys]
+    keys_of = [F.col(k).alias(named) for k, named in zip(keys, by_key, strict=True)]
+    moments = left.select(*keys_of, F.col(left_at).alias("at")).dropna().distinct().withColumn("_side", F.lit(1))
+    rights = right.dropna(subset=[*keys, right_at]).select(*keys_of, F.col(right_at).alias("at"), F.lit(0).alias("_side"), F.struct(*taken).alias("_right"), *[F.col(t).alias(f"_tie_{t}") for t in ties])
+    scans = {"_before": last_known("_right"), "_after": next_known("_right")}
+    met = segmented_scan(moments.unionByName(rights, allowMissingColumns=True), by_key, ["at", "_side", *[f"_tie_{t}" for t in ties]], F.year("at") if chunk is None else chunk, scans).where("_side = 1")
+    met = met.select(*[F.col(named).alias(k) for k, named in zip(keys, by_key, strict=True)], F.col("at").alias(left_at), "_before", "_after")
+    found = left.join(F.broadcast(met) if few else met, [*keys, left_at], "left")
+    return found.select(*left.columns, *[F.col(f"_before.`{c}`") for c in taken], *[F.col(f"_after.`{c}`").alias(after[c]) for c in taken])
+
+
 def first_on_or_after(anchors: DataFrame, calendar: DataFrame, anchor: str = "anchor", name: str = "entry") -> DataFrame:
     """``anchors`` with the first calendar date on or after each; null where there is none."""
     return asof_join(anchors, calendar.select(F.col("date").alias(name)), [], anchor, name, ahead=True)

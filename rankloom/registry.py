@@ -156,9 +156,7 @@ def asof_nation_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = prices_.groupBy(F.col("s_nationkey").alias("nation"), F.to_date("l_shipdate").alias("shipped")).agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     wanted = t.table(spark, sf_dir, "orders").join(t.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation")), F.col("o_custkey") == F.col("c_custkey"))
     wanted = wanted.select("o_orderkey", "nation", F.to_date("o_orderdate").alias("ordered"))
-    back = asof.asof_join(wanted, daily, ["nation"], "ordered", "shipped")
-    ahead = daily.select("nation", F.col("shipped").alias("next_shipped"), F.col("price").alias("next_price"))
-    return asof.asof_join(back, ahead, ["nation"], "ordered", "next_shipped", ahead=True, strict=True)
+    return asof.asof_both(wanted, daily, ["nation"], "ordered", "shipped", {"shipped": "next_shipped", "price": "next_price"}, few=True)  # one moment a nation and day
 
 
 @query

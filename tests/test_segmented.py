@@ -1,12 +1,15 @@
 """Segmented scans, as-of and interval joins, and the last observations of a key, against plain loops."""
 
 import random
-from datetime import date, timedelta
+import re
+from datetime import date, datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators.asof import asof_join
+from rankloom import registry
+from rankloom.operators.asof import asof_both, asof_join
 from rankloom.operators.interval import interval_join
 from rankloom.operators.returns import DEALT, trailing_returns
 from rankloom.operators.segmented import first_known, last_known, next_known, running_count, running_max, running_sum, segmented_scan
@@ -67,6 +70,39 @@ def test_asof_has_no_pairs(spark):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_asof_both_ways_equals_a_loop(spark, few):
+    rng = random.Random(4)
+    day = lambda: rng.choice([None, *[date(2023, 12, 1) + timedelta(days=k) for k in range(60)]])
+    left = [(i, rng.choice(["x", "y", None, "w"]), day()) for i in range(90)]
+    right = [(rng.choice(["x", "y", None, "z"]), day(), rng.randrange(5)) for _ in range(50)]
+    found = asof_both(spark.createDataFrame(left, "i int, k string, d date"), spark.createDataFrame(right, "k string, e date, v int"), ["k"], "d", "e", {"e": "e2", "v": "v2"}, F.trunc("at", "month"), ["v"], few)
+    assert found.columns == ["i", "k", "d", "e", "v", "e2", "v2"]
+    got = {r.i: tuple(r)[3:] for r in found.collect()}
+    assert len(got) == len(left)
+    for i, k, d in left:
+        met = sorted((e, v) for j, e, v in right if None not in (k, d, e) and j == k)
+        assert got[i] == (*max((m for m in met if m[0] <= d), default=(None, None)), *min((m for m in met if m[0] > d), default=(None, None)))
+
+
+def test_prices_of_a_nation_and_day_are_matched_once(spark, tmp_path):
+    """Orders of one nation and day are one row of the scan, however many, and a null nation meets nothing, as in SQL."""
+    at = lambda d: datetime(2024, 1, d)
+    tables = {
+        "customer": ([(1, 7), (2, None), (3, 8)], "c_custkey long, c_nationkey int"), "supplier": ([(1, 7), (2, None)], "s_suppkey long, s_nationkey int"),
+        "orders": ([(k, 1 + k % 3, at(1 + k % 2)) for k in range(600)], "o_orderkey long, o_custkey long, o_orderdate timestamp"),
+        "lineitem": ([(s, 2.0, 10.0 * d, at(d)) for s in (1, 2) for d in (1, 3)], "l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp"),
+    }
+    db = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = registry.QUERIES["asof_nation_prices"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == set(db.execute(registry.ORACLES["asof_nation_prices"]).fetchall())
+    text = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not re.search(r"Window .*o_orderkey|Sort .*o_orderkey|named_struct\(o_orderkey", text)
+
+
 @pytest.mark.parametrize("width", [1, 5, 64])
 def test_interval_join_equals_a_loop(spark, width):
     rng = random.Random(width)
