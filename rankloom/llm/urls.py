@@ -14,7 +14,8 @@ url weighs ``heavy`` characters at most, so that a huge one among few doesn't ou
 Scoring explodes each url into its characters, looks their contexts up in the model and adds up again; sums are
 combined within the task, so that one row per url is shuffled. The model is broadcast only when its rows, counted, are
 at most ``BROADCAST_ROWS``; with a larger one each distinct window of characters is looked up once, by shuffles, and the
-urls' characters meet it by one join. Each url is judged by itself: repeated rows and null ids get their own rows, and a third of all urls on one host is no group of anything.
+urls' characters meet it by one join. Each url is judged by itself: repeated rows and null ids get their own rows, and a
+third of all urls on one host is no group of anything.
 
 Defined results: an empty table gives no rows; a null url or one without ``://`` has an empty host and path and is no example; a null or empty one is
 judged on its end alone; a very long url is read to its end, in time that grows with its length; without examples of
